@@ -1,0 +1,43 @@
+"""Equi-joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    row_id: str,
+    how: str = "inner",
+    hot_rows: int = 1_000_000,
+    salts: int = 64,
+) -> DataFrame:
+    """Join on ``key`` where ``left`` may be heavily skewed and ``right`` has few rows per key.
+
+    Keys with more than ``hot_rows`` left rows get their rows spread over ``salts`` sub-keys, and
+    only those keys' right rows are repeated. There can be at most rows/hot_rows hot keys, which
+    bounds the broadcast list. All other rows join plainly.
+    """
+    hot = (
+        left.groupBy(key)
+        .count()
+        .where(F.col("count") > hot_rows)
+        .select(key, F.lit(True).alias("_hot"))
+    )
+    small = F.broadcast(hot)
+    salted = (
+        left.join(small, key, "left")
+        .withColumn(
+            "_salt",
+            F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0),
+        )
+        .drop("_hot")
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    spread = right.join(small, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")
