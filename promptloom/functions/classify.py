@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import rules
 from promptloom.functions.regex import (
+    OTHER_LINE_ENDS,
     any_of,
     contains_any,
     contains_one_of,
@@ -15,7 +16,7 @@ from promptloom.functions.regex import (
     let,
     sql_text,
 )
-from promptloom.functions.text import lines, strip, unify_line_ends, words
+from promptloom.functions.text import lines, strip, unify_line_ends
 
 CLASSIFICATION = (
     "struct<input_type:string,risk_level:string,should_optimize:boolean,reason:string,"
@@ -37,17 +38,41 @@ _DANGEROUS = "array({})".format(
 )
 
 
-def _two_words(segment: Column) -> Column:
-    """First two shell words of a segment, quotes removed where they balance."""
-    quoted = contains_any(segment, ["'", '"', "\\"])
+_QUOTES = ["'", '"', "\\"]
+_SPACE = r"[ \t\r\n]"
+# A plain word, and one that a command separator (&&, |, ;) also ends.
+_PLAIN = r"[^ \t\r\n]++"
+_PLAIN_TO_SEPARATOR = r"(?:[^ \t\r\n|;&]|&(?!&))++"
 
-    def pick(word: str) -> Column:
-        head = rf"\A[ \t\r\n]*+({word})(?:[ \t\r\n]++({word}))?"
-        return F.array(F.regexp_extract(segment, head, 1), F.regexp_extract(segment, head, 2))
 
-    unquote = F.transform(pick(_SHELL_WORD), lambda w: F.regexp_replace(w, _UNQUOTE, "$1$2$3"))
-    balanced = segment.rlike(_BALANCED)
-    return F.when(quoted & balanced, unquote).otherwise(pick(r"[^ \t\r\n]++"))
+def _pick_two(col: Column, word: str) -> Column:
+    head = rf"\A{_SPACE}*+({word})(?:{_SPACE}++({word}))?"
+    return F.array(F.regexp_extract(col, head, 1), F.regexp_extract(col, head, 2))
+
+
+def _quoted_words(segment: Column) -> Column:
+    """First two words of a segment with quotes: removed where they balance, else kept."""
+    unquoted = F.transform(
+        _pick_two(segment, _SHELL_WORD), lambda w: F.regexp_replace(w, _UNQUOTE, "$1$2$3")
+    )
+    return F.when(segment.rlike(_BALANCED), unquoted).otherwise(_pick_two(segment, _PLAIN))
+
+
+def _two_words(text: Column, first_segment: bool) -> Column:
+    """First two shell words of a text or of its first segment.
+
+    Quotes can change them only if one of the two contains a quote; else the rest of the text is
+    never looked at.
+    """
+
+    def checked(pair: Column) -> Column:
+        segment = text
+        if first_segment:
+            segment = strip(F.get(F.split(text, r"&&|[|;]", 2), F.lit(0)))
+        quoted = contains_any(F.concat(pair[0], pair[1]), _QUOTES)
+        return F.when(quoted, _quoted_words(segment)).otherwise(pair)
+
+    return let(_pick_two(text, _PLAIN_TO_SEPARATOR if first_segment else _PLAIN), checked)
 
 
 def _runs_command(word: Column, prefixes: list[str]) -> Column:
@@ -61,7 +86,6 @@ def shell_line(line: Column, prefixes: list[str] | None = None) -> Column:
         line.startswith("$ ") | line.startswith("# "),
         strip(F.substring(line, F.lit(3), F.length(line))),
     ).otherwise(line)
-    segment = strip(F.get(F.split(bare, r"&&|[|;]", 2), F.lit(0)))
 
     def verdict(pair: Column) -> Column:
         second = pair[1]
@@ -71,7 +95,7 @@ def shell_line(line: Column, prefixes: list[str] | None = None) -> Column:
         assigned = first.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*=") & (second != "")
         return _runs_command(first, prefixes) | (assigned & _runs_command(second, prefixes))
 
-    return (line != "") & let(segment, lambda s: let(_two_words(s), verdict))
+    return (line != "") & let(bare, lambda b: let(_two_words(b, True), verdict))
 
 
 def looks_like_shell(text: Column, prefixes: list[str] | None = None) -> Column:
@@ -81,14 +105,18 @@ def looks_like_shell(text: Column, prefixes: list[str] | None = None) -> Column:
         full = F.filter(F.transform(rows, strip), lambda r: r != "")
         return F.forall(full, lambda r: shell_line(r, prefixes))
 
-    multi = ~has_marker(text, rules.AI_MARKERS) & block(lines(text))
-    return F.when(F.contains(unify_line_ends(text), F.lit("\n")), multi).otherwise(
+    # Most prose fails on its first line; only the rest pays for the other tests.
+    first = let(
+        strip(F.substring_index(text, "\n", 1)), lambda f: (f == "") | shell_line(f, prefixes)
+    )
+    multi = first & ~has_marker(text, rules.AI_MARKERS) & block(lines(text))
+    return F.when(contains_any(text, ["\n", *OTHER_LINE_ENDS]), multi).otherwise(
         shell_line(text, prefixes)
     )
 
 
 def shell_type(text: Column) -> Column:
-    first = let(_two_words(strip(text)), lambda p: p[0])
+    first = let(_two_words(strip(text), False), lambda p: p[0])
     return let(
         first,
         lambda w: F.when(w == "git", F.lit("git_instruction"))
@@ -123,7 +151,7 @@ def is_moderate_risk_shell(text: Column) -> Column:
     return found(text, rules.MODERATE_RISK)
 
 
-def looks_like_log(text: Column) -> Column:
+def looks_like_log(text: Column, low: Column | None = None) -> Column:
     """At least two lines, and a third of the non-blank ones, start like log records."""
     unified = unify_line_ends(text)
     log_lines = F.regexp_count(unified, F.lit(rf"(?dUmi)^[^\S\n]*{rules.LOG_PREFIX}"))
@@ -154,7 +182,7 @@ def looks_like_instruction(text: Column) -> Column:
     return (
         text.endswith("?")
         | F.lower(text).rlike(r"(?dU)\A" + rules.IMPERATIVE[1:])
-        | ((F.size(words(text)) >= rules.INSTRUCTION_WORDS) & ~shell_line(text))
+        | (text.rlike(rf"(?dU)\A\s*+(?:\S++\s++){{{rules.INSTRUCTION_WORDS - 1}}}\S") & ~shell_line(text))
     )
 
 
@@ -175,39 +203,31 @@ def classify(col: Column, prefixes: list[str] | None = None) -> Column:
     def flag(name: str, value: Column) -> Column:
         return F.create_map(F.lit(name), value.cast("string"))
 
-    def chain(text: Column, low: Column, shell: Column) -> Column:
-        debug = contains_one_of(low, rules.DEBUG_MARKERS)
-        ai = contains_one_of(low, rules.AI_MARKERS)
-        code = contains_one_of(low, rules.CODE_MARKERS)
-        fence, logs, paths = has_fence(text), looks_like_log(text), has_path(text)
-        on_path = F.when(paths, F.lit("medium")).otherwise(F.lit("low"))
-        danger = dangerous_rule(text)
-        return (
-            F.when(text == "", result("ai_prompt", "low", False, rules.REASON_EMPTY))
-            .when(
-                (shell | is_destructive_sql(text)) & danger.isNotNull(),
-                result(
-                    "dangerous_command", "high", False,
-                    F.concat(F.lit(rules.REASON_DANGEROUS), danger),
-                ),
-            )
-            .when(
-                shell,
-                result(
-                    shell_type(text),
-                    F.when(is_moderate_risk_shell(text), F.lit("medium")).otherwise(F.lit("low")),
-                    False, rules.REASON_SHELL, flag("shell_like", F.lit(True)),
-                ),
-            )
-            .when(
-                debug & (low.contains("traceback") | logs),
-                result(
-                    F.when(ai, F.lit("debugging_request")).otherwise(F.lit("log_or_traceback")),
-                    on_path, True, rules.REASON_DEBUG, flag("has_paths", paths),
-                ),
+    def command(text: Column, danger: Column) -> Column:
+        return F.when(
+            danger.isNotNull(),
+            result(
+                "dangerous_command", "high", False, F.concat(F.lit(rules.REASON_DANGEROUS), danger)
+            ),
+        ).otherwise(
+            result(
+                shell_type(text),
+                F.when(is_moderate_risk_shell(text), F.lit("medium")).otherwise(F.lit("low")),
+                False, rules.REASON_SHELL, flag("shell_like", F.lit(True)),
             )
+        )
+
+    def prose(text: Column, low: Column, seen: Column) -> Column:
+        ai, code, fence, logs = seen["ai"], seen["code"], seen["fence"], seen["logs"]
+        debug_context = result(
+            F.when(ai, F.lit("debugging_request")).otherwise(F.lit("log_or_traceback")),
+            F.when(has_path(text), F.lit("medium")).otherwise(F.lit("low")),
+            True, rules.REASON_DEBUG, flag("has_paths", has_path(text)),
+        )
+        return (
+            F.when(seen["debug"] & (low.contains("traceback") | logs), debug_context)
             .when(
-                (ai | code) & fence,
+                fence & (ai | code),
                 result(
                     "mixed_input", "medium", True, rules.REASON_MIXED,
                     flag("has_code_fence", F.lit(True)),
@@ -233,6 +253,21 @@ def classify(col: Column, prefixes: list[str] | None = None) -> Column:
             .otherwise(result("ai_prompt", "low", True, rules.REASON_OTHER))
         )
 
+    def chain(text: Column, low: Column, shell: Column) -> Column:
+        seen = F.struct(
+            contains_one_of(low, rules.DEBUG_MARKERS).alias("debug"),
+            contains_one_of(low, rules.AI_MARKERS).alias("ai"),
+            contains_one_of(low, rules.CODE_MARKERS).alias("code"),
+            has_fence(text).alias("fence"),
+            looks_like_log(text, low).alias("logs"),
+        )
+        dangerous_sql = low.contains("drop") & is_destructive_sql(text)
+        return (
+            F.when(text == "", result("ai_prompt", "low", False, rules.REASON_EMPTY))
+            .when(shell | dangerous_sql, let(dangerous_rule(text), lambda d: command(text, d)))
+            .otherwise(let(seen, lambda m: prose(text, low, m)))
+        )
+
     def with_low(text: Column) -> Column:
         shell = looks_like_shell(text, prefixes)
         return let(F.lower(text), lambda low: let(shell, lambda sh: chain(text, low, sh)))

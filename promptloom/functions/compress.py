@@ -1,7 +1,7 @@
 """Prompt compression steps: each takes a text column and gives a text column.
 
-The order-dependent steps (clause and traceback de-duplication) are folds over the sentences or
-blocks of one text, so they run inside the row without any shuffle. Substring tests guard regexes
+All steps work inside one row, without any shuffle; all but clause de-duplication are built-in
+expressions. Substring tests guard regexes
 throughout: on most rows most rules cannot fire, and a substring test costs about a hundredth of a
 regex pass.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptloom.functions import rules
+from promptloom.functions.clauses import fold_udf
 from promptloom.functions.regex import (
     contains_any,
     contains_one_of,
@@ -21,8 +22,8 @@ from promptloom.functions.regex import (
     let,
     sql_text,
     sub,
-    text_array,
 )
+from promptloom.functions.staging import evaluate_here
 from promptloom.functions.text import (
     FENCE_KEY_HEAD,
     fences,
@@ -160,97 +161,37 @@ def drop_stop_lines(col: Column, level: str) -> Column:
     return F.array_join(kept, "\n")
 
 
-def keyword_bag(sentence: Column) -> Column:
-    """Distinct lower-case words of three or more letters that are not stop words."""
-    found_words = F.regexp_extract_all(F.lower(sentence), F.lit("[a-z]{3,}"), F.lit(0))
-    return F.array_except(found_words, text_array(rules.STOPWORDS))
-
-
-def bag_signature(bag: Column) -> Column:
-    """64-bit set signature: a bit per hashed word. Bounds any overlap from above, exactly."""
-    bit = lambda w: F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int")
-    )
-    return F.aggregate(bag, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(bit(w)))
-
-
-def overlaps(a: Column, b: Column, threshold: float) -> Column:
-    """Is ``|A and B| / min(|A|, |B|)`` at least the threshold? ``a``/``b``: struct(bag, sig).
+def dedupe_masked_clauses(col: Column, level: str) -> Column:
+    """Greedy clause de-duplication of text whose fences are already masked.
 
-    A signature bit of A missing from B proves at least one word of A is not in B; only pairs the
-    signatures cannot rule out pay for the exact intersection.
+    A Python UDF must stay a stage of its own: Spark cannot run one inside a lambda's input.
     """
-    smaller = F.least(F.size(a["bag"]), F.size(b["bag"]))
-    missing_a = F.bit_count(a["sig"].bitwiseAND(F.bitwise_not(b["sig"])))
-    missing_b = F.bit_count(b["sig"].bitwiseAND(F.bitwise_not(a["sig"])))
-    bound = F.least(F.size(a["bag"]) - missing_a, F.size(b["bag"]) - missing_b)
-    exact = F.size(F.array_intersect(a["bag"], b["bag"])) / smaller >= F.lit(threshold)
-    return (bound / smaller >= F.lit(threshold)) & exact
-
-
-def clause_items(parts: Column) -> Column:
-    def item(s: Column) -> Column:
-        is_fence = s.startswith(FENCE_KEY_HEAD)
-        empty = F.array().cast("array<string>")
-        return let(
-            F.when(is_fence, empty).otherwise(keyword_bag(s)),
-            lambda bag: F.struct(s.alias("s"), bag.alias("bag"), bag_signature(bag).alias("sig")),
-        )
-
-    return F.transform(F.filter(parts, lambda s: s != ""), item)
-
-
-_CLAUSE_STATE = "struct<kept:array<string>,bags:array<struct<bag:array<string>,sig:bigint>>>"
-
-
-def dedupe_masked_clauses(col: Column, level: str) -> Column:
-    """Greedy clause de-duplication of text whose fences are already masked."""
     if level == "conservative":
         return col
-    threshold = rules.CLAUSE_THRESHOLD[level]
-    start = F.struct(
-        F.array().cast("array<string>").alias("kept"),
-        F.array().cast("array<struct<bag:array<string>,sig:bigint>>").alias("bags"),
-    ).cast(_CLAUSE_STATE)
-
-    def step(acc: Column, item: Column) -> Column:
-        bag = F.struct(item["bag"].alias("bag"), item["sig"].alias("sig"))
-        keep = F.struct(
-            F.array_append(acc["kept"], item["s"]).alias("kept"),
-            F.when(F.size(item["bag"]) == 0, acc["bags"])
-            .otherwise(F.array_append(acc["bags"], bag))
-            .alias("bags"),
-        ).cast(_CLAUSE_STATE)
-        repeated = (F.size(item["bag"]) > 0) & F.exists(
-            acc["bags"], lambda b: overlaps(item, b, threshold)
-        )
-        return F.when(repeated, acc).otherwise(keep)
+    return evaluate_here(fold_udf(rules.CLAUSE_THRESHOLD[level], FENCE_KEY_HEAD)(col))
 
-    def fold(parts: Column) -> Column:
-        state = F.aggregate(clause_items(parts), start, step)
-        return F.array_join(state["kept"], " ")
 
-    return let(
-        col,
-        lambda text: let(
-            sentences(strip(text)),
-            lambda parts: F.when(F.size(parts) <= 1, text).otherwise(fold(parts)),
-        ),
-    )
+def first_of_each(items: Column, keys: Column) -> Column:
+    """Items whose key did not occur earlier, in order.
 
+    Texts without a repeated key (nearly all) pay one hash pass; the others sort their keys, so
+    the cost stays n log n for a text of any length.
+    """
 
-def dedupe_clauses(col: Column, level: str) -> Column:
-    return restore_fences(dedupe_masked_clauses(protect_fences(col), level), fences(col))
-
-
-def first_of_each(items: Column, keys: Column, always=None) -> Column:
-    """Items whose key did not occur earlier. ``always`` marks items kept regardless."""
-
-    def keep(item: Column, i: Column) -> Column:
-        fresh = F.array_position(keys, F.get(keys, i)) == i + 1
-        return fresh if always is None else always(item) | fresh
+    def firsts(ranked: Column) -> Column:
+        first = F.transform(
+            ranked,
+            lambda r, j: F.when((j == 0) | (F.get(ranked, j - 1)["k"] != r["k"]), r["i"]),
+        )
+        at = F.sort_array(F.filter(first, lambda i: i.isNotNull()))
+        return F.transform(at, lambda i: F.get(items, i))
 
-    return F.filter(items, keep)
+    ranked = F.sort_array(
+        F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+    )
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), items).otherwise(
+        let(ranked, firsts)
+    )
 
 
 def sentence_key(sentence: Column) -> Column:
@@ -263,8 +204,7 @@ def dedupe_masked_sentences(col: Column) -> Column:
     def is_fence(s: Column) -> Column:
         return s.startswith(FENCE_KEY_HEAD)
 
-    def rebuild(parts: Column, keys: Column) -> Column:
-        kept = first_of_each(parts, keys, is_fence)
+    def rebuild(parts: Column, kept: Column) -> Column:
         removed = F.size(parts) - F.size(kept)
         body = F.array_join(kept, " ")
         marker = F.concat(
@@ -272,25 +212,23 @@ def dedupe_masked_sentences(col: Column) -> Column:
         )
         return F.when(removed >= 2, F.concat(body, marker)).otherwise(body)
 
-    def run(text: Column, parts: Column) -> Column:
-        # A fence placeholder must not share its key with a sentence that is not one.
+    def run(parts: Column) -> Column:
+        # Fence placeholders are kept however often they occur: each gets a key of its own.
         keys = F.transform(
             parts,
-            lambda s: F.when(is_fence(s), F.concat(F.lit("\n"), s)).otherwise(sentence_key(s)),
-        )
-        return let(
-            keys,
-            lambda k: F.when(F.size(parts) <= 1, text)
-            .when(F.size(F.array_distinct(k)) == F.size(k), F.array_join(parts, " "))
-            .otherwise(rebuild(parts, k)),
+            lambda s, i: F.when(
+                is_fence(s), F.concat(F.lit("\n"), i.cast("string"))
+            ).otherwise(sentence_key(s)),
         )
+        kept = let(keys, lambda k: first_of_each(parts, k))
+        return let(kept, lambda k: rebuild(parts, k))
 
     return let(
         col,
         lambda text: let(
             sentences(strip(text)),
             lambda all_parts: F.when(F.size(all_parts) <= 1, text).otherwise(
-                let(F.filter(all_parts, lambda s: s != ""), lambda parts: run(text, parts))
+                let(F.filter(all_parts, lambda s: s != ""), run)
             ),
         ),
     )
@@ -303,8 +241,7 @@ def dedupe_sentences(col: Column) -> Column:
 def dedupe_paragraphs(col: Column) -> Column:
     """Keep the first of equal paragraphs (white space aside)."""
 
-    def rebuild(paras: Column, keys: Column) -> Column:
-        kept = first_of_each(paras, keys)
+    def rebuild(paras: Column, kept: Column) -> Column:
         removed = F.size(paras) - F.size(kept)
         marker = F.concat(
             F.lit("[removed "), removed.cast("string"), F.lit(" duplicate paragraph(s)]")
@@ -314,7 +251,8 @@ def dedupe_paragraphs(col: Column) -> Column:
         )
 
     def run(paras: Column) -> Column:
-        return let(F.transform(paras, squeeze), lambda keys: rebuild(paras, keys))
+        kept = let(F.transform(paras, squeeze), lambda keys: first_of_each(paras, keys))
+        return let(kept, lambda k: rebuild(paras, k))
 
     def split_up(text: Column) -> Column:
         pieces = F.transform(F.split(text, r"(?dU)\n\s*\n", -1), strip)
@@ -662,10 +600,17 @@ def effective_gate(level: str, min_score: float) -> float:
     return min(min_score, rules.MODERATE_GATE) if level == "moderate" else min_score
 
 
+def ready_for_python(text: Column, level: str) -> Column:
+    """Stop-phrase removal as a stage of its own, so that the UDF after it reads a plain column:
+    Spark leaves a UDF unplanned when its collapsed input mixes lambdas and staged fields."""
+    out = drop_stop_lines(text, level)
+    return out if level == "conservative" else evaluate_here(out)
+
+
 # Compaction of masked text after the filler phrases are gone: step(text, level), in order.
 COMPACT_STEPS = [
     finish_filler,
-    drop_stop_lines,
+    ready_for_python,
     dedupe_masked_clauses,
     lambda t, level: dedupe_tracebacks(t),
     lambda t, level: dedupe_masked_sentences(t),

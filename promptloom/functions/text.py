@@ -124,17 +124,11 @@ def text_hash(col: Column) -> Column:
 
 # --- token estimate ---------------------------------------------------------------------------
 
-def estimate_tokens(col: Column, low: Column | None = None) -> Column:
-    """Heuristic token count. Pass ``low`` (the lower-cased text) inside lambdas, where Spark
-    does not share repeated sub-expressions."""
-    low = F.lower(col) if low is None else low
-    code = contains_any(col, list(rules.TOKEN_CODE_SYMBOLS)) | (
-        contains_any(col, rules.TOKEN_CODE_WORDS)
-        & found(col, rf"\b(?:{'|'.join(rules.TOKEN_CODE_WORDS)})\b")
-    )
-    log = contains_any(low, rules.TOKEN_LOG_WORDS + ["ſ", "ı", "İ"]) & found(
-        col, rf"\b(?:{'|'.join(rules.TOKEN_LOG_WORDS)})\b", "i"
-    )
+def estimate_tokens(col: Column) -> Column:
+    """Heuristic token count: characters over four, denser for code, logs and many lines."""
+    code_words, log_words = "|".join(rules.TOKEN_CODE_WORDS), "|".join(rules.TOKEN_LOG_WORDS)
+    code = found(col, rf"[{rules.TOKEN_CODE_SYMBOLS}]|\b(?:{code_words})\b")
+    log = found(col, rf"\b(?:{log_words})\b", "i")
     many_lines = col.contains("\n") & (line_count(col) > rules.TOKEN_LINES_OVER)
     factor = F.lit(1.0)
     for test, extra in (
@@ -240,7 +234,9 @@ def restore_fences(col: Column, blocks: Column) -> Column:
         numbered = F.transform(blocks, lambda b, i: F.struct(_fence_key(i).alias("k"), b.alias("b")))
         return F.aggregate(numbered, text, lambda acc, kb: F.replace(acc, kb["k"], kb["b"]))
 
-    return F.when(col.contains(FENCE_KEY_HEAD), put_back(col)).otherwise(col)
+    return let(
+        col, lambda t: F.when(t.contains(FENCE_KEY_HEAD), put_back(t)).otherwise(t)
+    )
 
 
 # --- command line payload ---------------------------------------------------------------------

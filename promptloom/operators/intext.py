@@ -5,38 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.functions import compress
-from promptloom.functions.regex import let
-from promptloom.functions.text import sentences, strip
+from promptloom.functions.clauses import overlap_udf
+from promptloom.functions.compress import dedupe_masked_clauses
+from promptloom.functions.staging import evaluate_here
+from promptloom.functions.text import fences, protect_fences, restore_fences
+
+
+def dedupe_clauses(df: DataFrame, level: str, text: str = "text", into: str = "deduped"):
+    """Drop sentences that repeat the intent of an earlier kept one; code is left alone."""
+    masked = df.withColumn(into, evaluate_here(protect_fences(F.col(text))))
+    folded = masked.withColumn(into, dedupe_masked_clauses(F.col(into), level))
+    return folded.withColumn(into, restore_fences(F.col(into), fences(F.col(text))))
 
 
 def overlapping_clauses(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """For each sentence that overlaps an earlier one: the first such sentence and their number.
 
-    The comparison stays inside the row that holds the text, so no pairs are shuffled or emitted;
-    set signatures rule out nearly all pairs before any exact intersection.
+    The comparison stays inside the row that holds the text: no pairs are shuffled or emitted.
     """
-
-    def report(items):
-        def one(item, i):
-            earlier = F.filter(
-                F.transform(
-                    F.slice(items, 1, i),
-                    lambda other, j: F.when(
-                        (F.size(other["bag"]) > 0)
-                        & (F.size(item["bag"]) > 0)
-                        & compress.overlaps(item, other, threshold),
-                        j,
-                    ),
-                ),
-                lambda j: j.isNotNull(),
-            )
-            return F.struct(
-                i.alias("pos"), F.get(earlier, F.lit(0)).alias("first_pos"),
-                F.size(earlier).alias("partners"),
-            )
-
-        return F.filter(F.transform(items, one), lambda r: r["partners"] > 0)
-
-    items = compress.clause_items(sentences(strip(F.col(text))))
-    return df.select(key, F.explode(let(items, report)).alias("r")).select(key, "r.*")
+    found = overlap_udf(threshold)(F.col(text))
+    return df.select(key, found.alias("_found")).select(
+        key, F.explode("_found").alias("r")
+    ).select(key, "r.*")

@@ -30,10 +30,6 @@ RESULT_FIELDS = [
 ]
 
 
-def _tokens_once(text: Column) -> Column:
-    return let(F.lower(text), lambda low: estimate_tokens(text, low))
-
-
 def _fact_columns(text: Column) -> dict[str, Column]:
     """Everything about the input that does not depend on the level."""
     go = F.col("_class.should_optimize")
@@ -65,7 +61,7 @@ def _compact_stages(level: str) -> list[dict[str, Column]]:
         return let(text, lambda t: F.when(wanted, compress.compress_log(t)).otherwise(t))
 
     def restore(text: Column, _: str) -> Column:
-        return strip(let(text, lambda t: restore_fences(t, F.col("_fences"))))
+        return strip(restore_fences(text, F.col("_fences")))
 
     name = f"_compact_{level}"
     steps = [*compress.COMPACT_STEPS, log_step, restore]
@@ -92,7 +88,7 @@ def _scored(candidates: Column, level: str, bonus: Column) -> Column:
                 ),
             )
 
-        return let(_tokens_once(text), with_tokens)
+        return let(estimate_tokens(text), with_tokens)
 
     stripped = F.filter(F.transform(candidates, strip), lambda t: t != "")
     return F.transform(stripped, score)

@@ -15,10 +15,6 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]"
 
 
-def _fill(template: str) -> str:
-    return " || ".join(q(part) for part in template.split("{T}")).replace(" || ", " || text || ")
-
-
 def _template(template: str) -> str:
     parts = [q(part) for part in template.split("{T}")]
     return " || text || ".join(parts)
@@ -503,7 +499,7 @@ ORACLE["k1_top_commands"] = query(
 ORACLE["k2_newest_first"] = query(
     "observed",
     f"""SELECT event_id, {stamp('created_at')} AS created_at, raw_command_preview FROM logged
-    WHERE risk_level = 'medium' ORDER BY logged.created_at DESC, event_seq DESC LIMIT 50""",
+    WHERE risk_level = 'low' ORDER BY logged.created_at DESC, event_seq DESC LIMIT 50""",
     *LOGGED,
 )
 ORACLE["k3_best_candidate"] = query(
@@ -532,3 +528,32 @@ ORACLE["u4_expired_count"] = query(
     f"SELECT count(*) FILTER (created_at < {NOW} - INTERVAL 90 DAY) AS deleted FROM logged", *LOGGED
 )
 ORACLE["u5_reset"] = query("observed", f"SELECT {_EVENT_COLS} FROM logged WHERE false", *LOGGED)
+
+# --- tool outputs -----------------------------------------------------------------------------
+_ROUTED = f"""routed AS (SELECT *, {s.ROUTE} AS route
+    FROM (SELECT *, coalesce(args[1], '') AS a1 FROM tool_outputs))"""
+_CONDENSED = f"""condensed AS MATERIALIZED (SELECT *, {s.condensed()} AS condensed
+    FROM (SELECT *, {s.lines(s.strip('output'))} AS o_rows FROM routed))"""
+ORACLE["o0_router"] = query("tool_outputs", "SELECT output_id, route FROM routed", _ROUTED)
+for _name, _kinds in {
+    "o1_git_status": ["git_status"], "o2_git_log": ["git_log"], "o3_git_diff": ["git_diff"],
+    "o4_git_action": ["git_action"], "o5_tests": ["test"], "o6_docker": ["docker"],
+    "o7_listings": ["kubectl", "listing", "matches"], "o8_file_read": ["file_read"],
+    "o9_build": ["build"], "o10_lint": ["lint"], "o11_cloud": ["cloud"],
+    "o12_download": ["download"], "o13_generic": ["generic"],
+}.items():
+    ORACLE[_name] = query(
+        "tool_outputs",
+        f"SELECT output_id, route, condensed FROM condensed WHERE {s.within('route', _kinds)}",
+        _ROUTED, _CONDENSED,
+    )
+ORACLE["a8_output_savings"] = query(
+    "tool_outputs",
+    f"""SELECT coalesce(command_name, 'TOTAL') AS command_name, raw_lines, condensed_lines,
+    CASE WHEN raw_lines > 0 THEN trunc((raw_lines - condensed_lines) * 100.0::DOUBLE / raw_lines)::BIGINT
+      ELSE 0 END AS saved_percent
+    FROM (SELECT command_name, sum(raw)::BIGINT AS raw_lines, sum(kept)::BIGINT AS condensed_lines
+      FROM (SELECT command_name, len({s.lines('output')}) AS raw, len({s.lines('condensed')}) AS kept
+        FROM condensed) GROUP BY ROLLUP (command_name))""",
+    _ROUTED, _CONDENSED,
+)

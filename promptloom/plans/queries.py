@@ -319,11 +319,17 @@ def p25(spark, sf_dir):
 
 # --- in-text operators ------------------------------------------------------------------------
 
+def _clause_query(level: str) -> Query:
+    def run(spark, sf_dir):
+        return intext.dedupe_clauses(texts(spark, sf_dir), level).select("id", "deduped")
+
+    return run
+
+
 for _level in ("moderate", "aggressive"):
     over(f"t1_drop_stop_lines_{_level}", stop_texts, "prompt_id",
          kept=lambda lv=_level: compress.drop_stop_lines(col(), lv))
-    over(f"t2_dedupe_clauses_{_level}", texts, "id",
-         deduped=lambda lv=_level: compress.dedupe_clauses(col(), lv))
+    QUERIES[f"t2_dedupe_clauses_{_level}"] = _clause_query(_level)
 over("t3_dedupe_sentences", texts, "id", deduped=lambda: compress.dedupe_sentences(col()))
 over("t4_dedupe_paragraphs", texts, "id", deduped=lambda: compress.dedupe_paragraphs(col()))
 over("t5_collapse_repeated_lines", texts, "id",
@@ -532,7 +538,7 @@ def k1(spark, sf_dir):
 
 @register("k2_newest_first")
 def k2(spark, sf_dir):
-    return events.audit(logged(spark, sf_dir), "medium", 50).select(
+    return events.audit(logged(spark, sf_dir), "low", 50).select(
         "event_id", stamp("created_at").alias("created_at"), "raw_command_preview"
     )
 
@@ -556,7 +562,7 @@ def k4(spark, sf_dir):
 def u1(spark, sf_dir):
     """Rule tables: every tool seen in the events, and every command word, as exclusion rules."""
     seen = starts(spark, sf_dir).select(t.command_pattern(F.col("command")).alias("pattern"))
-    names = starts(spark, sf_dir).select(t.command_name(F.col("command")).alias("pattern"))
+    names = seen.select(t.command_name(F.col("pattern")).alias("pattern"))
     return events.merge_rules(seen, names)
 
 

@@ -725,3 +725,207 @@ def optimize_ctes(source: str, level: str, name: str, pick: str = "first", gate:
     {name} AS (SELECT *, won > 0 AS was_optimized,
         CASE won WHEN 1 THEN t_1 WHEN 2 THEN t_2 ELSE text END AS optimized_text,
         CASE won WHEN 1 THEN n_1 WHEN 2 THEN n_2 ELSE n_in END AS n_out FROM {name}_y)"""
+
+
+# --- tool outputs -----------------------------------------------------------------------------
+
+def cap(text: str, rows: str, n: int, tail: str = " total lines]") -> str:
+    return (
+        f"CASE WHEN len({rows}) <= {n} THEN {text} ELSE {join(f'{rows}[1:{n}]')} || chr(10) || '[' "
+        f"|| len({rows}) || {q(tail)} END"
+    )
+
+
+def cap_text(text: str, n: int) -> str:
+    return let(text, lambda t: let(lines(strip(t)), lambda rows: cap(t, rows, n)))
+
+
+def _labelled(label: str, xs: str) -> str:
+    return let(
+        xs,
+        lambda v: f"CASE WHEN len({v}) > 0 THEN {q(label + ': ')} || {join(f'{v}[1:10]', ', ')} END",
+    )
+
+
+def git_status(t: str, rows: str) -> str:
+    staged = ["new file:", "modified:", "deleted:", "renamed:"]
+    noise = ["#", "On branch", "Your branch", "Changes", "Untracked", "  (use"]
+    other = lambda r: (
+        f"NOT {starts_any(strip(r), staged)} AND {strip(r)} <> '' AND NOT {starts_any(strip(r), noise)}"
+    )
+    pick = lambda test: each(keep(rows, test), strip)
+    untracked = each(pick(lambda r: f"{other(r)} AND contains({r}, '??')"), lambda r: f"ltrim({r}, '? ')")
+    report = (
+        f"concat_ws(chr(10), {strip(keep(rows, lambda r: has(r, 'On branch')) + '[1]')}, "
+        f"{_labelled('staged', pick(lambda r: starts_any(strip(r), staged)))}, "
+        f"{_labelled('modified', pick(lambda r: f'{other(r)} AND NOT ' + has(r, '??')))}, "
+        f"{_labelled('untracked', untracked)})"
+    )
+    return (
+        f"CASE WHEN len({rows}) = 0 THEN {t} ELSE "
+        f"{let(report, lambda x: f'''CASE WHEN {x} = '' THEN 'clean' ELSE {x} END''')} END"
+    )
+
+
+def git_log(t: str, rows: str) -> str:
+    """A message counts when the last commit line or message before it is a commit line."""
+    head = lambda r: f"starts_with({r}, 'commit ')"
+    message = lambda r: f"(starts_with({r}, '    ') AND {strip(r)} <> '')"
+
+    def subjects(marks: str) -> str:
+        pair = lambda m, i: (
+            f"CASE WHEN {i} > 1 AND NOT {head(m)} AND {head(f'{marks}[{i} - 1]')} AND "
+            f"length({marks}[{i} - 1]) > 7 THEN substring({marks}[{i} - 1], 8, 7) || ' ' || {strip(m)} END"
+        )
+        return keep(each_i(marks, pair), lambda x: f"{x} IS NOT NULL")
+
+    commits = let(keep(rows, lambda r: f"{head(r)} OR {message(r)}"), subjects)
+    long = keep(f"{rows}[1:5]", lambda r: f"length({r}) >= 120")
+    author = keep(f"{rows}[1:10]", lambda r: f"starts_with({r}, 'Author:')")
+    return (
+        f"CASE WHEN len({long}) = 0 AND len({author}) = 0 THEN {t} ELSE "
+        f"{let(commits, lambda c: f'CASE WHEN len({c}) > 0 THEN {join(c)} ELSE {t} END')} END"
+    )
+
+
+def git_diff(t: str, rows: str) -> str:
+    kept = keep(rows, lambda r: starts_any(r, ["diff --", "---", "+++", "@@", "+", "-"]))
+    report = let(
+        kept,
+        lambda k: f"CASE WHEN len({k}) > 80 THEN {join(f'{k}[1:80]')} || chr(10) || "
+        f"'[diff truncated, ' || len({rows}) || ' total lines]' ELSE {join(k)} END",
+    )
+    return f"CASE WHEN len({rows}) <= 50 THEN {t} ELSE {report} END"
+
+
+def git_action(verb: str, t: str, rows: str, code: str) -> str:
+    arrow = keep(rows, lambda r: has(r, "->"))
+    return (
+        f"CASE WHEN {code} <> 0 THEN {cap(t, rows, 30)} "
+        f"WHEN {verb} = 'push' THEN 'ok ' || coalesce(regexp_extract({strip(arrow + '[1]')}, '\\S+$'), 'pushed') "
+        f"WHEN {verb} = 'commit' THEN 'ok ' || coalesce(nullif(regexp_extract({rows}[1], '[0-9a-f]{{7,}}'), ''), 'committed') "
+        f"ELSE 'ok' END"
+    )
+
+
+def _tail(rows: str, n: int) -> str:
+    return f"{rows}[greatest(len({rows}) - {n - 1}, 1):]"
+
+
+def suite(t: str, rows: str, code: str) -> str:
+    good = keep(_tail(rows, 10), lambda r: found(r, r"pass|ok|success|\d+ test", "i"))
+    bad = each(keep(rows, lambda r: found(r, "fail|error|panic|assert", "i")), strip)
+    count = keep(_tail(rows, 5), lambda r: found(r, r"\d+.*(?:pass|fail)", "i"))
+    return (
+        f"CASE WHEN {code} = 0 THEN {let(good, lambda g: f'''CASE WHEN len({g}) > 0 THEN {join(g)} WHEN len({rows}) > 0 THEN {rows}[-1] ELSE 'ok' END''')} "
+        f"ELSE {let(bad, lambda b: f'CASE WHEN len({b}) > 0 THEN {join(f'list_concat({b}[1:30], {each(count, strip)}[1:1])')} ELSE {cap(t, rows, 40)} END')} END"
+    )
+
+
+def collapse_output(t: str, rows: str, n: int) -> str:
+    def runs(keys: str) -> str:
+        starts = keep(
+            each_i(
+                keys,
+                lambda k, i: f"CASE WHEN {i} > 1 AND {k} = {keys}[{i} - 1] THEN 0 ELSE {i} END",
+            ),
+            lambda i: f"{i} > 0",
+        )
+        emit = lambda at: each_i(
+            at,
+            lambda x, j: let(
+                f"coalesce({at}[{j} + 1], len({rows}) + 1) - {x}",
+                lambda m: f"CASE WHEN {m} > 1 THEN [{rows}[{x}], '  [repeated ' || {m} || 'x]'] "
+                f"ELSE [{rows}[{x}]] END",
+            ),
+        )
+        kept = let(starts, lambda at: f"flatten({emit(at)})")
+        return let(
+            kept,
+            lambda k: f"CASE WHEN len({k}) > {n} THEN {join(f'{k}[1:{n}]')} || chr(10) || '[' || "
+            f"len({rows}) || ' total lines]' ELSE {join(k)} END",
+        )
+
+    return f"CASE WHEN len({rows}) <= {n} THEN {t} ELSE {let(each(rows, strip), runs)} END"
+
+
+def docker(sub_command: str, t: str, rows: str) -> str:
+    table = join(f"list_concat({rows}[1:1], {each(f'{rows}[2:21]', lambda r: sub(r, chr(92) + 's{2,}', '  '))})")
+    return (
+        f"CASE WHEN {sub_command} = 'ps' THEN {table} WHEN {sub_command} IN ('logs', 'compose') "
+        f"THEN {collapse_output(t, rows, 40)} ELSE {cap(t, rows, 40)} END"
+    )
+
+
+def file_read(t: str, rows: str) -> str:
+    return (
+        f"CASE WHEN len({rows}) <= 80 THEN {t} ELSE {join(f'{rows}[1:40]')} || chr(10) || '...' || "
+        f"chr(10) || '[' || len({rows}) || ' total lines]' || chr(10) || {join(_tail(rows, 10))} END"
+    )
+
+
+def build_run(t: str, rows: str, code: str) -> str:
+    errors = keep(rows, lambda r: found(r, "error|Error|ERROR"))
+    return (
+        f"CASE WHEN {code} = 0 THEN {rows}[-1] ELSE "
+        f"{let(errors, lambda e: f'CASE WHEN len({e}) > 0 THEN {join(f'{e}[1:20]')} ELSE {cap(t, rows, 30)} END')} END"
+    )
+
+
+def lint_run(t: str, rows: str) -> str:
+    issues = keep(rows, lambda r: found(r, "error|warning|warn|Error|Warning"))
+    summary = keep(_tail(rows, 5), lambda r: found(r, r"\d+"))
+    return (
+        f"CASE WHEN len({rows}) <= 30 THEN {t} ELSE "
+        f"{join(f'list_concat({issues}[1:30], {summary})')} END"
+    )
+
+
+def cloud(t: str) -> str:
+    return (
+        f"CASE WHEN length({t}) > 2000 THEN left({t}, 2000) || chr(10) || '[truncated, ' || "
+        f"length({t}) || ' bytes total]' ELSE {t} END"
+    )
+
+
+def download(rows: str) -> str:
+    return cap_text(join(keep(rows, lambda r: f"NOT {found(r, '^(?:' + chr(92) + 's*' + chr(92) + 'd+%|#|=+>)')}")), 50)
+
+
+def generic(t: str, rows: str) -> str:
+    return cap_text(collapse_output(t, rows, 60), 60)
+
+
+ROUTE = f"""CASE
+    WHEN command_name = 'git' AND a1 = 'status' THEN 'git_status'
+    WHEN command_name = 'git' AND a1 = 'log' THEN 'git_log'
+    WHEN command_name = 'git' AND a1 IN ('diff', 'show') THEN 'git_diff'
+    WHEN command_name = 'git' AND a1 IN ('push', 'pull', 'fetch', 'add', 'commit') THEN 'git_action'
+    WHEN command_name IN ('cargo', 'npm', 'pnpm', 'yarn', 'go') AND a1 = 'test' THEN 'test'
+    WHEN command_name IN ('pytest', 'jest', 'vitest', 'mocha') THEN 'test'
+    WHEN command_name = 'python' AND list_contains(args, '-m') AND list_contains(args, 'pytest') THEN 'test'
+    WHEN command_name = 'docker' AND len(args) > 0 THEN 'docker'
+    WHEN command_name = 'kubectl' THEN 'kubectl'
+    WHEN command_name IN ('ls', 'find', 'tree') THEN 'listing'
+    WHEN command_name IN ('cat', 'head', 'tail', 'bat') THEN 'file_read'
+    WHEN command_name IN ('grep', 'rg', 'ag') THEN 'matches'
+    WHEN command_name IN ('cargo', 'npm', 'pnpm') AND a1 = 'build' THEN 'build'
+    WHEN command_name IN ('eslint', 'ruff', 'clippy', 'golangci-lint', 'rubocop') THEN 'lint'
+    WHEN command_name = 'cargo' AND a1 = 'clippy' THEN 'lint'
+    WHEN command_name = 'aws' THEN 'cloud' WHEN command_name IN ('curl', 'wget') THEN 'download'
+    ELSE 'generic' END"""
+
+
+def condensed() -> str:
+    t, rows, code, a1 = "output", "o_rows", "exit_code", "a1"
+    by = {
+        "git_status": git_status(t, rows), "git_log": git_log(t, rows),
+        "git_diff": git_diff(t, rows), "git_action": git_action(a1, t, rows, code),
+        "test": suite(t, rows, code), "docker": docker(a1, t, rows), "kubectl": cap(t, rows, 30),
+        "listing": cap(t, rows, 30, " total entries]"), "file_read": file_read(t, rows),
+        "matches": cap(t, rows, 30, " matches total]"), "build": build_run(t, rows, code),
+        "lint": lint_run(t, rows), "cloud": cloud(t), "download": download(rows),
+        "generic": generic(t, rows),
+    }
+    cases = " ".join(f"WHEN route = {q(k)} THEN ({v})" for k, v in by.items())
+    return f"CASE WHEN length(output) < 100 THEN output {cases} END"
