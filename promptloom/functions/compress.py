@@ -32,9 +32,11 @@ from promptloom.functions.text import (
     protect_fences,
     restore_fences,
     rstrip,
+    rstrip_chars,
     sentences,
     squeeze,
     strip,
+    strip_chars,
     take,
     take_last,
 )
@@ -120,7 +122,7 @@ def clean_fragments(col: Column) -> Column:
     """Drop one-word fragments, join the sentences by one space, capitalise the start."""
 
     def whole(s: Column) -> Column:
-        return s.rlike(r"^\p{Lu}") | found(rstrip(s, ".!?"), r"\S\s+\S")
+        return s.rlike(r"^\p{Lu}") | found(rstrip_chars(s, ".!?"), r"\S\s+\S")
 
     kept = F.filter(sentences(strip(col)), lambda s: (s != "") & whole(s))
     out = sub(F.array_join(kept, " "), r"([.!?])\s*\1+", r"\1")
@@ -195,7 +197,7 @@ def first_of_each(items: Column, keys: Column) -> Column:
 
 
 def sentence_key(sentence: Column) -> Column:
-    return squeeze(strip(F.lower(sentence), " .!?"))
+    return squeeze(strip_chars(F.lower(sentence), " .!?"))
 
 
 def dedupe_masked_sentences(col: Column) -> Column:
@@ -435,7 +437,7 @@ def extract_constraints(col: Column) -> Column:
     stated = F.filter(
         lines(col), lambda r: let(F.lower(r), lambda low: contains_one_of(low, rules.CONSTRAINT_WORDS))
     )
-    cleaned = F.filter(F.transform(stated, lambda r: strip(r, " -\t")), lambda r: r != "")
+    cleaned = F.filter(F.transform(stated, lambda r: strip_chars(r, " -\t")), lambda r: r != "")
     return let(
         col,
         lambda t: F.when(
@@ -468,7 +470,7 @@ def derive_task(input_type: Column, col: Column) -> Column:
         )
         .when(input_type == "code_instruction", F.lit(rules.TASK_CODE))
         .when(input_type == "mixed_input", F.lit(rules.TASK_MIXED))
-        .otherwise(let(rstrip(remove_filler(first_meaningful_line(col)), "."), sentence))
+        .otherwise(let(rstrip_chars(remove_filler(first_meaningful_line(col)), "."), sentence))
     )
 
 
@@ -482,11 +484,11 @@ def structured_prompt(
         rest = strip(
             let(lines(context), lambda rows: F.array_join(F.slice(rows, 2, F.size(rows)), "\n"))
         )
-        stated = (first != "") & F.contains(F.lower(task), rstrip(F.lower(first), "."))
+        stated = (first != "") & F.contains(F.lower(task), rstrip_chars(F.lower(first), "."))
         return F.when(stated, rest).otherwise(context)
 
     def terse(context: Column) -> Column:
-        repeats = rstrip(F.lower(context), ".") == rstrip(F.lower(task), ".")
+        repeats = rstrip_chars(F.lower(context), ".") == rstrip_chars(F.lower(task), ".")
         return strip(
             F.concat_ws(
                 "\n",

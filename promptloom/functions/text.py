@@ -21,11 +21,21 @@ from promptloom.functions.regex import (
 _OTHER_LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def strip(col: Column, chars: str = WHITE_SPACE) -> Column:
+def strip(col: Column) -> Column:
+    """Trim white space at both ends. One parameter only: Spark would fill a second one with the
+    element index when the function is used as a lambda."""
+    return strip_chars(col, WHITE_SPACE)
+
+
+def rstrip(col: Column) -> Column:
+    return rstrip_chars(col, WHITE_SPACE)
+
+
+def strip_chars(col: Column, chars: str) -> Column:
     return F.trim(col, F.lit(chars))
 
 
-def rstrip(col: Column, chars: str = WHITE_SPACE) -> Column:
+def rstrip_chars(col: Column, chars: str) -> Column:
     return F.rtrim(col, F.lit(chars))
 
 

@@ -21,10 +21,10 @@ PROMPT_TEMPLATES = [
     "git push origin main",
     "rm -rf ./build",
     "2024-01-01 ERROR job failed\n" * 3 + "{T}",
-    "I keep getting an error over and over. You must keep the format. Do not rename files.\n"
-    "Here is my log output below:\nI hope this helps you out.\n{T}",
+    "I keep getting an error over and over.\n  - You must keep the format.\n\tDo not rename files. \n"
+    "   Here is my log output below:\n I hope this helps you out.\n{T}",
     "Please explain this token sk-1234567890abcdef1234567890abcdef and summarize. {T}",
-    "api_key: abcdef0123456789\nDB_PASSWORD = hunter2\n{T}",
+    " \n  api_key: abcdef0123456789\nDB_PASSWORD = hunter2\n  {T}\n\tgit diff a/b.py ",
     "{T}\n\n{T}",
 ]
 EVENT_COMMANDS = [
@@ -41,7 +41,7 @@ TOOL_ROUTES = [
     ("git", ["diff"], "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n-old\n+new\n", ""),
     ("git", ["push"], "To example.org:x/y.git\n   abc1234..def5678  main -> main\n", ""),
     ("git", ["commit", "-m", "x"], "[main abc1234f] Fix it\n", ""),
-    ("pytest", [], "", "\nFAILED test_x - assert error\n3 passed, 1 failed in 0.10s"),
+    ("pytest", [], "", "\n  FAILED test_x - assert error \n  3 passed, 1 failed in 0.10s"),
     ("docker", ["ps"], "CONTAINER   IMAGE    STATUS\na1   b2    up\n", ""),
     ("kubectl", ["get", "pods"], "", ""),
     ("find", ["."], "", ""),
@@ -51,7 +51,7 @@ TOOL_ROUTES = [
     ("ruff", ["check"], "a.py:1: warning: unused\n", "\nFound 3 errors"),
     ("aws", ["s3", "ls"], "", ""),
     ("curl", ["-s", "x"], " 10%\n# banner\n==>\n", ""),
-    ("ps", ["aux"], "a\na\na\n", ""),
+    ("ps", ["aux"], "a\n a \n\ta\n", ""),
 ]
 DOCKER_ARGS = ["ps", "logs", "run"]
 EXCLUDE_RULES = [
