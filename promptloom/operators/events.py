@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import rules
 from promptloom.functions.regex import any_of, found, sub
+from promptloom.functions.staging import built_once
 from promptloom.functions.text import (
     clip,
     command_pattern,
@@ -67,21 +68,23 @@ def merge_rules(global_rules: DataFrame, project_rules: DataFrame) -> DataFrame:
 
 def log_events(starts: DataFrame, own_tool: str = rules.OWN_TOOL) -> DataFrame:
     """Start rows as stored: observable only, redacted, classified, estimated, shaped."""
-    observed = observable_commands(starts, "command") if own_tool == rules.OWN_TOOL else (
-        starts.where(is_observable(F.col("command"), own_tool))
-    )
+    observed = starts.where(is_observable(F.col("command"), own_tool))
     bare = observed.withColumn("_command", strip(F.col("command")))
     redacted = with_classification(bare, "_command", "_class").withColumn(
         "_redacted", redact(F.col("_command"))
     )
+    return redacted.select(*built_once("events/stored", _stored_columns))
+
+
+def _stored_columns() -> list[Column]:
     text = F.col("_redacted")
-    return redacted.select(
+    return [
         F.sha2(F.concat(F.lit("event:"), F.col("event_seq").cast("string")), 256).alias("event_id"),
-        "event_seq",
+        F.col("event_seq"),
         F.col("ts").alias("created_at"),
-        "shell",
-        "pid",
-        "cwd",
+        F.col("shell"),
+        F.col("pid"),
+        F.col("cwd"),
         text_hash(text).alias("command_hash"),
         clip(redact(text), rules.PREVIEW_LIMIT).alias("raw_command_preview"),
         F.lit("").alias("optimized_preview"),
@@ -91,7 +94,7 @@ def log_events(starts: DataFrame, own_tool: str = rules.OWN_TOOL) -> DataFrame:
         F.lit(False).alias("was_modified"),
         F.lit("started").alias("status"),
         command_pattern(text).alias("command_pattern"),
-    )
+    ]
 
 
 def complete_events(events: DataFrame, chunk_seconds: int = 3600) -> DataFrame:

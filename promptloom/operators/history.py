@@ -53,25 +53,25 @@ def prompt_patterns(runs: DataFrame) -> DataFrame:
     """Prompt shapes of the optimized runs: use count, mean saving, last previews.
 
     All aggregates combine partially before the shuffle, so a shape that holds a third of all runs
-    costs one row per task. Only the newest run's previews travel, cut to the pattern limit.
+    costs one row per task. Previews are cut to the pattern limit before the aggregation sorts
+    them, and only each task's newest travel.
     """
     when_id = F.struct("created_at", "run_id")
+    limit = rules.PATTERN_PREVIEW_LIMIT
+    short = runs.where("was_optimized").select(
+        "pattern_hash", "token_savings_percent", "input_type", "run_id", "created_at",
+        evaluate_here(clip(F.col("input_preview"), limit)).alias("original"),
+        evaluate_here(clip(F.col("optimized_preview"), limit)).alias("optimized"),
+    )
     return (
-        runs.where("was_optimized")
-        .groupBy("pattern_hash")
+        short.groupBy("pattern_hash")
         .agg(
             F.count(F.lit(1)).alias("usage_count"),
             F.avg("token_savings_percent").alias("average_savings_percent"),
             F.min_by("input_type", when_id).alias("pattern_type"),
             F.min_by("run_id", when_id).alias("first_run_id"),
             F.min("created_at").alias("first_seen_at"),
-            F.max_by(
-                F.struct(
-                    clip(F.col("input_preview"), rules.PATTERN_PREVIEW_LIMIT).alias("original"),
-                    clip(F.col("optimized_preview"), rules.PATTERN_PREVIEW_LIMIT).alias("optimized"),
-                ),
-                when_id,
-            ).alias("_last"),
+            F.max_by(F.struct("original", "optimized"), when_id).alias("_last"),
         )
         .select(
             "pattern_hash",
@@ -197,13 +197,18 @@ def distinct_hashes(runs: DataFrame) -> DataFrame:
 
     Distinct counts run as grouped counts: equal hashes merge before they are shuffled.
     """
+    none = F.lit(0).cast("bigint")
     inputs = runs.groupBy("input_hash").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("runs"), F.count(F.lit(1)).alias("distinct_inputs")
+        F.coalesce(F.sum("n"), none).alias("runs"),
+        F.count(F.lit(1)).alias("distinct_inputs"),
+        none.alias("distinct_shapes"),
     )
-    shapes = runs.groupBy("pattern_hash").agg(F.lit(1).alias("one")).agg(
-        F.count(F.lit(1)).alias("distinct_shapes")
+    shapes = runs.select("pattern_hash").distinct().agg(
+        none.alias("runs"), none.alias("distinct_inputs"),
+        F.count(F.lit(1)).alias("distinct_shapes"),
     )
-    return inputs.join(shapes)
+    totals = ["runs", "distinct_inputs", "distinct_shapes"]
+    return inputs.unionAll(shapes).agg(*[F.sum(c).alias(c) for c in totals])
 
 
 def retain(df: DataFrame, now: Column, days: int = rules.HISTORY_DAYS, at: str = "created_at"):

@@ -173,7 +173,9 @@ def _staged(df: DataFrame, text: str, levels: tuple[str, ...], classifier) -> Da
     """Classification, facts and the compact form of each level, as columns."""
     body, build = F.col(text), _builder(text, classifier)
     staged = df.withColumn("_class", build("class", lambda: evaluate_here(classifier(body))))
-    staged = staged.withColumn("input_token_estimate", estimate_tokens(body))
+    staged = staged.withColumn(
+        "input_token_estimate", build("tokens", lambda: estimate_tokens(body))
+    )
     staged = staged.withColumns(build("facts", lambda: _fact_columns(body)))
     highest = max(levels, key=rules.LEVELS.index)
     for stage in build(f"phrases/{highest}", lambda: _phrase_stages(highest)):
@@ -253,7 +255,13 @@ def with_level_results(
         F.col("_class.input_type").alias("input_type"),
         F.col("_class.risk_level").alias("risk_level"),
         "input_token_estimate",
-        *[_result(body, F.col(f"_chosen_{lv}"), pick).alias(f"result_{lv}") for lv in levels],
+        *[
+            build(
+                f"result/{lv}/{pick}",
+                lambda: _result(body, F.col(f"_chosen_{lv}"), pick).alias(f"result_{lv}"),
+            )
+            for lv in levels
+        ],
     )
 
 

@@ -17,7 +17,7 @@ from promptloom.operators import events, history, intext, outputs
 from promptloom.operators import optimize as opt
 from promptloom.plans import streams
 from promptloom.sources import derived
-from promptloom.sources.tables import as_json, with_output
+from promptloom.sources.tables import as_json, stored, with_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,20 +106,18 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.valid_feedback(derived.feedback(spark, sf_dir))
 
 
-def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.prompt_patterns(runs(spark, sf_dir))
-
-
-def rated_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_runs = runs(spark, sf_dir)
-    rated = history.feedback_to_runs(feedback(spark, sf_dir), all_runs)
-    return history.runs_to_patterns(rated, history.prompt_patterns(all_runs))
+def rated_patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Patterns, and the feedback that reached one. The runs are stored first, as they are in
+    practice: feedback comes later and reads them."""
+    all_runs = stored(runs(spark, sf_dir))
+    patterns = stored(history.prompt_patterns(all_runs))
+    rated = stored(history.feedback_to_runs(feedback(spark, sf_dir), all_runs))
+    return patterns, history.runs_to_patterns(rated, patterns)
 
 
 def bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.history_bonus(
-        patterns(spark, sf_dir), history.pattern_success(rated_patterns(spark, sf_dir))
-    )
+    patterns, rated = rated_patterns(spark, sf_dir)
+    return history.history_bonus(patterns, history.pattern_success(rated))
 
 
 
@@ -443,7 +441,7 @@ def j2(spark, sf_dir):
 
 @register("j3_runs_to_patterns")
 def j3(spark, sf_dir):
-    return rated_patterns(spark, sf_dir).select(
+    return rated_patterns(spark, sf_dir)[1].select(
         "feedback_id", "rating", "pattern_hash", "pattern_type"
     )
 
@@ -483,7 +481,7 @@ def a2(spark, sf_dir):
 
 @register("a3_prompt_patterns")
 def a3(spark, sf_dir):
-    return patterns(spark, sf_dir).select(
+    return history.prompt_patterns(runs(spark, sf_dir)).select(
         "pattern_hash", "pattern_type", "original_pattern_preview", "optimized_pattern_preview",
         "usage_count", F.round("average_savings_percent", 6).alias("average_savings_percent"),
         "first_run_id",
@@ -501,7 +499,7 @@ def a4(spark, sf_dir):
 
 @register("a5_pattern_success")
 def a5(spark, sf_dir):
-    return history.pattern_success(rated_patterns(spark, sf_dir))
+    return history.pattern_success(rated_patterns(spark, sf_dir)[1])
 
 
 @register("a6_history_bonus")
@@ -523,7 +521,7 @@ def a8(spark, sf_dir):
 
 @register("a9_distinct_hashes")
 def a9(spark, sf_dir):
-    return history.distinct_hashes(runs(spark, sf_dir))
+    return history.distinct_hashes(stored(runs(spark, sf_dir)))
 
 
 # --- sort, limit, set operations --------------------------------------------------------------

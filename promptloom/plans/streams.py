@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.functions import rules
 from promptloom.sources import derived
-from promptloom.sources.tables import SHELL_EVENTS
+from promptloom.sources.tables import SHELL_EVENTS, work_dir
 from promptloom.streaming import events as live
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder in the shared folder the cluster names; a local one only where unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="promptloom-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def _typed(df: DataFrame, schema: str) -> DataFrame:
     fields = [field.rsplit(" ", 1) for field in schema.split(", ")]
     return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptloom.functions.staging import built_once
+
 TRACEBACK = (
     'Traceback (most recent call last):\n  File "/tmp/app/main.py", line 4, in <module>\n'
     "    run()\nValueError: bad config"
@@ -84,16 +86,20 @@ def _fill(template: str, text: Column) -> Column:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    number = (F.col("conv_id") * 7 + F.col("turn")) % 12
-    text = F.lit(None).cast("string")
-    for k, template in reversed(list(enumerate(PROMPT_TEMPLATES))):
-        text = F.when(number == k, _fill(template, F.col("text"))).otherwise(text)
+
+    def filled() -> Column:
+        number = (F.col("conv_id") * 7 + F.col("turn")) % 12
+        text = F.lit(None).cast("string")
+        for k, template in reversed(list(enumerate(PROMPT_TEMPLATES))):
+            text = F.when(number == k, _fill(template, F.col("text"))).otherwise(text)
+        return text
+
     prompt_id = F.col("conv_id") * 1000 + F.col("turn")
     return turns.select(
         prompt_id.alias("prompt_id"),
         _after_start(prompt_id).alias("created_at"),
         _pick(F.col("conv_id") % 3, PROMPT_COMMANDS).alias("command_name"),
-        text.alias("text"),
+        built_once("derived/prompt", filled).alias("text"),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +118,24 @@ def _replace_partitions(spark: SparkSession, path: str, touched: DataFrame, kept
         kept.write.mode("append").partitionBy("date").parquet(path)
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder in the shared folder the cluster names; a local one only where unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="promptloom-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table in the shared folder.
+
+    For a frame that several later steps need: it is computed once, its lineage is cut, and a lost
+    executor costs a re-read instead of a re-run of the text pipeline.
+    """
+    path = f"{work_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """One JSON text per row."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
