@@ -129,8 +129,9 @@ def clip(x: str, limit: int) -> str:
 
 def tokens(x: str) -> str:
     def body(t: str) -> str:
-        code = found(t, r"[{}();]|\b(?:" + "|".join(rules.TOKEN_CODE_WORDS) + r")\b")
-        log = found(t, r"\b(?:" + "|".join(rules.TOKEN_LOG_WORDS) + r")\b", "i")
+        ascii_words = _encode(t)
+        code = found(ascii_words, r"[{}();]|\b(?:" + "|".join(rules.TOKEN_CODE_WORDS) + r")\b")
+        log = found(ascii_words, r"\b(?:" + "|".join(rules.TOKEN_LOG_WORDS) + r")\b", "i")
         many = f"(contains({t}, chr(10)) AND len({lines(t)}) > 8)"
         case = lambda c, v: f"CASE WHEN {c} THEN {v}::DOUBLE ELSE 0.0::DOUBLE END"
         factor = f"(1.0::DOUBLE + {case(code, 0.15)} + {case(log, 0.15)} + {case(many, 0.10)})"
