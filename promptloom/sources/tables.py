@@ -92,7 +92,7 @@ def rewrite_retained(
     """Drop rows older than ``days`` from a day-partitioned table; returns how many went.
 
     Only the partition of the limit day can hold rows of both kinds. It alone is rewritten; older
-    partitions are overwritten with nothing. Newer ones are not touched.
+    partitions are deleted. Newer ones are not touched.
     """
     table = spark.read.parquet(path)
     limit = F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days))
@@ -109,13 +109,19 @@ def rewrite_retained(
 
 
 def _replace_partitions(spark: SparkSession, path: str, touched: DataFrame, kept) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    for row in touched.select("date").distinct().collect():
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"date={row['date']}"), True)
+    """Overwrite the days that keep rows, each in one commit; then delete the days that keep none.
+
+    Only day names reach the driver.
+    """
+    days = {row["date"] for row in touched.select("date").distinct().collect()}
     if kept is not None:
-        kept.write.mode("append").partitionBy("date").parquet(path)
+        days -= {row["date"] for row in kept.select("date").distinct().collect()}
+        overwrite = kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        overwrite.partitionBy("date").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in days:
+        fs.delete(folder(folder(path), f"date={day}"), True)
 
 
 def work_dir(spark: SparkSession) -> str:
