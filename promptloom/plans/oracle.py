@@ -56,6 +56,7 @@ TABLES = {
           CASE WHEN (doc_id // 16) % 2 <> 0 THEN chr(10) || 'error: x' ELSE '' END AS output,
         ((doc_id // 16) % 2)::INTEGER AS exit_code
         FROM documents""",
+    "tool_texts": "SELECT output_id, output AS text FROM tool_outputs",
     "raw_feedback": f"""SELECT 'f' || doc_id AS feedback_id,
         {START} + to_seconds(pid + CASE WHEN doc_id % 5 = 0 THEN -1 ELSE 600 END) AS created_at,
         sha256('run:' || pid) AS run_id,
@@ -77,7 +78,8 @@ TABLES = {
 ORDER = list(TABLES)
 NEEDS = {
     "texts": ["prompts"], "shell_events": ["shell_starts", "shell_dones"],
-    "feedback": ["raw_feedback"], "stop_texts": ["prompts"], "observed": ["shell_starts"],
+    "feedback": ["raw_feedback"], "stop_texts": ["prompts"], "tool_texts": ["tool_outputs"],
+    "observed": ["shell_starts"],
 }
 
 
@@ -321,7 +323,7 @@ over("t3_dedupe_sentences", "texts", "id",
 over("t4_dedupe_paragraphs", "texts", "id", deduped=s.dedupe_paragraphs("text"))
 over("t5_collapse_repeated_lines", "texts", "id", collapsed=s.collapse_lines("text"))
 over("t6_dedupe_tracebacks", "texts", "id", deduped=s.dedupe_tracebacks("text"))
-over("t7_compress_log", "texts", "id", compressed=s.compress_log("text"))
+over("t7_compress_log", "tool_texts", "output_id", compressed=s.compress_log("text"))
 over("t8_extract_constraints", "texts", "id", constraints=s.join(s.constraints("text"), "|"))
 for _level in rules.LEVELS:
     ORACLE[f"t9_compact_{_level}"] = query(
@@ -515,7 +517,7 @@ ORACLE["u1_merge_rules"] = query(
     f"""SELECT {s.command_pattern('command')} AS pattern FROM shell_starts
     UNION SELECT split_part({s.command_pattern('command')}, ' ', 1) FROM shell_starts""",
 )
-over("u2_line_picks", "texts", "id",
+over("u2_line_picks", "tool_texts", "output_id",
      picks=f"len({s.let(s.compress_log('text'), s.lines)})::INTEGER")
 ORACLE["u4_retain"] = query(
     "observed",

@@ -67,6 +67,11 @@ def tool_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_output(derived.tool_outputs(spark, sf_dir))
 
 
+def tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool outputs as texts of many lines."""
+    return tool_outputs(spark, sf_dir).select("output_id", F.col("output").alias("text"))
+
+
 def stop_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts with one sentence per line, so that whole-line stop phrases occur."""
     return derived.prompts(spark, sf_dir).withColumn(
@@ -333,7 +338,7 @@ over("t4_dedupe_paragraphs", texts, "id", deduped=lambda: compress.dedupe_paragr
 over("t5_collapse_repeated_lines", texts, "id",
      collapsed=lambda: compress.collapse_repeated_lines(col()))
 over("t6_dedupe_tracebacks", texts, "id", deduped=lambda: compress.dedupe_tracebacks(col()))
-over("t7_compress_log", texts, "id", compressed=lambda: compress.compress_log(col()))
+over("t7_compress_log", tool_texts, "output_id", compressed=lambda: compress.compress_log(col()))
 over("t8_extract_constraints", texts, "id",
      constraints=lambda: F.array_join(compress.extract_constraints(col()), "|"))
 
@@ -564,7 +569,7 @@ def u1(spark, sf_dir):
     return events.merge_rules(seen, names)
 
 
-over("u2_line_picks", texts, "id", picks=lambda: F.size(t.lines(compress.compress_log(col()))))
+over("u2_line_picks", tool_texts, "output_id", picks=lambda: F.size(t.lines(compress.compress_log(col()))))
 
 
 @register("u3_candidates")

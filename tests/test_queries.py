@@ -23,7 +23,7 @@ MUST_CHANGE = {
     "t4_dedupe_paragraphs": ("texts", "id", "deduped"),
     "t5_collapse_repeated_lines": ("texts", "id", "collapsed"),
     "t6_dedupe_tracebacks": ("texts", "id", "deduped"),
-    "t7_compress_log": ("texts", "id", "compressed"),
+    "t7_compress_log": ("tool_texts", "output_id", "compressed"),
 }
 
 
