@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 21) -
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
