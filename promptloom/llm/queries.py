@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import line_dedup, mixing, packing, simhash, toxicity
+from promptloom.llm import line_dedup, mixing, packing, phrases, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrases.remove_repeats(_table(spark, sf_dir, "documents"), window=20, digest=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -40,4 +45,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), *columns)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_line_dedup, op7_simhash, op8_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_line_dedup, op6_phrases, op7_simhash, op8_mixing, op10_toxicity)}
