@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import line_dedup, mixing, packing, phrases, simhash, toxicity
+from promptloom.llm import hilbert, line_dedup, mixing, packing, phrases, quantised, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93).drop("label")
+
+
 def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = phrases.remove_repeats(_table(spark, sf_dir, "documents"), window=20, digest=True)
     return kept.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
@@ -45,4 +53,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), *columns)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_line_dedup, op6_phrases, op7_simhash, op8_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_hilbert, op2_packing, op4_line_dedup, op5_quantised, op6_phrases, op7_simhash, op8_mixing, op10_toxicity)}

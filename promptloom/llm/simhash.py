@@ -149,7 +149,7 @@ def close_rows(a: np.ndarray, b: np.ndarray, radius: int, step: int = 8) -> np.n
     return np.unpackbits(near.astype("<u8").view(np.uint8), bitorder="little")[: len(a)].astype(bool)
 
 
-def _spanning(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest with the components of the links: at most n - 1 of them."""
     labels = np.arange(n)
     while True:  # the smallest label wins along the links, then labels are followed to their roots
@@ -191,9 +191,9 @@ def _compare(radius: int, small: int = 48):
             for at in range(0, len(rows), 1024):
                 q, c = close_pairs(p[rows[at : at + 1024]], p[columns], radius)
                 a, b = rows[q + at], columns[c]
-                near.append(_spanning(a[a != b], b[a != b], len(p)))
+                near.append(spanning(a[a != b], b[a != b], len(p)))
             a, b = (np.concatenate(x) for x in zip(*near, strict=True)) if near else (np.zeros(0, int),) * 2
-            a, b = _spanning(a, b, len(p))
+            a, b = spanning(a, b, len(p))
             yield d[a], d[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
