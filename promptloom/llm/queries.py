@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import hilbert, line_dedup, mixing, packing, phrases, quantised, simhash, toxicity
+from promptloom.llm import hilbert, langid, line_dedup, mixing, packing, phrases, pii, quantised, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.fit(documents)).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def _held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
@@ -53,4 +62,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), *columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert, op2_packing, op4_line_dedup, op5_quantised, op6_phrases, op7_simhash, op8_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_hilbert, op2_packing, op3_pii, op4_line_dedup, op5_quantised, op6_phrases, op7_simhash, op8_mixing, op9_langid, op10_toxicity)}
