@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,9 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` written to the folder of spark.checkpoint.dir and read from there: cuts the lineage, and what
-    several branches read is computed once. Without such a folder only a local session may go on, with a
-    folder of its own; on a cluster it is an error, as executors would each write to their own disk."""
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where none is named only a local session may go on, with a folder of its
+    own; on a cluster it is an error, as executors would each write to their own disk."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -29,9 +28,24 @@ def settled(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of `df`: cuts the lineage, and what several branches read is computed once. For narrow frames; Spark
+    removes its files when nothing refers to them and spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: as `settled`, but compressed, for frames of many rows. A range
+    partitioning whose edges matter must be read from one such table: planned twice, it may be cut elsewhere."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     """Explicit number for repartition calls: a stated number is not changed between two reads of one exchange."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -103,11 +117,9 @@ def single_thread() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that `df` does not have."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name = f"_{name}"
-    return name
+def packed_rows(df: DataFrame) -> DataFrame:
+    """One struct column, `row`: no column of `df` can clash with one made here. `row.*` unpacks it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
 def text_only(documents: DataFrame, *columns: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from promptloom.llm.common import SPACE, byte_texts, partitions, run_starts, slices, text_only
+from promptloom.llm.common import SPACE, byte_texts, packed_rows, partitions, run_starts, slices, text_only, written
 
 DROP, OPEN, EDGE = 1, 0, 2
 _RUNS = "kind int, h1 long, h2 long, doc long, pos long"
@@ -180,7 +180,7 @@ def line_keep_bitmaps(documents: DataFrame, min_chars: int = 20, min_docs: int =
     lines = text_only(documents, "doc_id", "text").mapInArrow(_hashes(min_chars), "h1 long, h2 long, doc long, pos long")
     n = partitions(documents.sparkSession)
     ordered = lines.repartitionByRange(n, "h1", "h2", F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "pos")
-    runs = ordered.mapInArrow(_stream(min_docs), _RUNS)
+    runs = written(ordered.mapInArrow(_stream(min_docs), _RUNS))
     edges = runs.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.sum("pos").alias("docs"), F.max("doc").alias("keeper"))
     undecided = (
         runs.where(F.col("kind") == OPEN)
@@ -207,10 +207,11 @@ def kept_lines(text: bytes, bitmap: bytes | None) -> list[bytes]:
 
 
 def _with_bitmaps(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """documents with the columns __keep; joined on the id and the text's checksum."""
-    side = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("text_crc").alias("__crc"), F.col("keep_bitmap").alias("__keep"))
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return documents.join(side, (documents["doc_id"] == side["__doc"]) & (crc == side["__crc"]), "left").drop("__doc", "__crc")
+    """(row, keep) of `documents`, joined on the id and the text's checksum."""
+    crc = F.crc32(F.coalesce("row.text", F.lit("")).cast("binary"))
+    side = bitmaps.select("doc_id", "text_crc", F.col("keep_bitmap").alias("keep"))
+    joined = packed_rows(documents).join(side, (F.col("row.doc_id") == side["doc_id"]) & (crc == side["text_crc"]), "left")
+    return joined.select("row", "keep")
 
 
 @F.pandas_udf(StringType())
@@ -221,8 +222,9 @@ def _kept_text(text, bitmap):
 def drop_lines(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """`documents` with the lines that `bitmaps` marks taken out of `text`; other columns stay. Texts that lose
     nothing, null ones included, are as they were."""
-    joined = _with_bitmaps(documents, bitmaps)
-    return joined.withColumn("text", F.when(F.col("__keep").isNull(), F.col("text")).otherwise(_kept_text("text", "__keep"))).drop("__keep")
+    keep, text = F.col("keep"), F.col("row.text")
+    left = F.when(keep.isNull(), text).otherwise(_kept_text(text, keep))
+    return _with_bitmaps(documents, bitmaps).select(F.col("row").withField("text", left).alias("row")).select("row.*")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,4 +245,4 @@ def line_digests(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     """doc_id, n_lines, n_dropped, kept_sha256 per row of `documents`."""
     narrow = text_only(documents, "doc_id", "text")
     joined = _with_bitmaps(narrow, line_keep_bitmaps(narrow, min_chars, min_docs))
-    return joined.select("doc_id", "text", "__keep").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.select("row.doc_id", "row.text", "keep").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import settled
+from promptloom.llm.common import packed_rows, settled, text_only
 
 #: `[^\x20\x09-\x0D]+`
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,7 +69,7 @@ def mix(
     An empty table gives no rows.
     """
     key = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")), F.lit(seed))
-    rows = documents.select(
+    rows = text_only(documents, "doc_id", "text", "source").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
         F.col("source").cast("string").alias("source"),
@@ -104,17 +104,12 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, sh
     """`documents` as the mix takes them: a row for each epoch that takes it, whole. Rows with an empty text add
     nothing to a budget and stay once. Rows equal in id, source and text are taken alike, by the largest count."""
     taken = mix(documents, weights, share, most, seed, whole=True)
-    times = (
-        taken.groupBy("doc_id", "text_hash", "source")
-        .agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-        .select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"), "__times")
-        .where("__times > 0")
+    times = F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("taken") / F.col("size"))).cast("int").alias("times")
+    taken = taken.groupBy("doc_id", "text_hash", "source").agg(times).where("times > 0")
+    same = (
+        F.col("row.doc_id").eqNullSafe(taken["doc_id"])
+        & (F.xxhash64("row.text") == taken["text_hash"])
+        & F.col("row.source").cast("string").eqNullSafe(taken["source"])
     )
-    joined = documents.join(
-        times,
-        documents["doc_id"].eqNullSafe(times["__doc"])
-        & (F.xxhash64(documents["text"]) == times["__hash"])
-        & documents["source"].cast("string").eqNullSafe(times["__source"]),
-    )
-    columns = [documents[f"`{c}`"] for c in documents.columns]
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__epoch")).select(*[F.col(f"`{c}`") for c in documents.columns])
+    joined = packed_rows(documents).join(taken, same)
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("epoch")).select("row.*")

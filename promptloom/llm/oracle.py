@@ -1,3 +1,60 @@
-"""DuckDB reference SQL of the operators that SQL can express."""
+"""DuckDB reference SQL of the operators that SQL can express. The others rest on hashes that DuckDB lacks, learned
+scores or token ids; tests/llm holds them against brute-force versions."""
 
-ORACLE: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP4 = rf"""
+WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), E'\n') AS l FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(l, 1) AS place, unnest(l) AS line FROM texts),
+keyed AS (
+  SELECT doc_id, place, line, translate(trim(line, E' \t\n\x0B\f\r'), '{_UPPER}', '{_UPPER.lower()}') AS k FROM lines),
+shared AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT doc_id, place, line, coalesce(keeper <> doc_id, false) AS dropped FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, E'\n' ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+OP5 = """
+WITH vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (
+  WITH RECURSIVE r(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN links l ON r.other = l.a)
+  SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN reached USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
+OP6 = rf"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+windows AS (
+  SELECT doc_id, place, array_to_string(w[place:place + 19], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS place FROM texts)),
+later AS (
+  SELECT doc_id, place FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, place) > 1),
+covered AS (SELECT DISTINCT doc_id, place + step AS place FROM later, range(0, 20) steps(step)),
+words AS (SELECT doc_id, generate_subscripts(w, 1) AS place, unnest(w) AS word FROM texts),
+judged AS (
+  SELECT doc_id, place, word, c.place IS NOT NULL AS removed
+  FROM words LEFT JOIN covered c USING (doc_id, place)),
+summed AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (removed) AS gone,
+    string_agg(word, ' ' ORDER BY place) FILTER (NOT removed) AS kept
+  FROM judged GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN summed USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4, "op5_quantised": OP5, "op6_phrases": OP6}

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import SPACE, byte_texts, partitions, slices, text_only
+from promptloom.llm.common import SPACE, byte_texts, partitions, slices, text_only, written
 
 WINDOW, PHRASE = 20, 8
 _IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE, np.uint8))
@@ -177,8 +177,11 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before = None
 
     def rows(kind, table, keep):
-        n = len(table[0][keep])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(t[keep]) for t in table)], ["kind", "h1", "h2", "doc", "pos"])
+        columns = [t[keep] for t in table]
+        if kind == LATER:  # their hashes have done their work
+            columns[:2] = [np.zeros_like(c) for c in columns[:2]]
+        kinds = np.full(len(columns[0]), kind, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, columns)], ["kind", "h1", "h2", "doc", "pos"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -217,7 +220,8 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, phrase: int = P
     shards = narrow.join(located, narrow["doc_id"] == located["doc"], "left").select("doc_id", "text", "places")
     found = shards.mapInArrow(_candidates(window, phrase), "h1 long, h2 long, doc long, pos long")
     order = ("h1", "h2", "doc", "pos")
-    rows = found.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_later, "kind int, h1 long, h2 long, doc long, pos long")
+    found = found.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = written(found.mapInArrow(_later, "kind int, h1 long, h2 long, doc long, pos long"))
     lasts = F.broadcast(rows.where(F.col("kind") == LAST).select("h1", "h2", F.struct("doc", "pos").alias("before")))
     firsts = rows.where(F.col("kind") == FIRST).join(lasts, ["h1", "h2"]).where(F.col("before") < F.struct("doc", "pos")).select("doc", "pos")
     later = rows.where(F.col("kind") == LATER).select("doc", "pos").unionByName(firsts)

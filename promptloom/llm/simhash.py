@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import byte_texts, partitions, run_starts, settled, slices, text_only, whole_groups
+from promptloom.llm.common import byte_texts, packed_rows, partitions, run_starts, settled, slices, text_only, whole_groups
 from promptloom.llm.components import components
 
 BITS = 64
@@ -272,5 +272,5 @@ def keep_first(documents: DataFrame, words: int = 3, radius: int = 3, blocks: in
     """`documents` with one document of each near-duplicate group, the smallest doc_id. Rows without an id stay.
     Of rows that repeat a doc_id all or none stay: they are one document."""
     groups = near_duplicates(documents, words, radius, blocks, seed)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return packed_rows(documents).join(gone, F.col("row.doc_id") == gone["doc_id"], "left_anti").select("row.*")

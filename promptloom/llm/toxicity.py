@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import byte_texts, settled, slices, text_only
+from promptloom.llm.common import byte_texts, packed_rows, settled, slices, text_only
 
 #: ASCII signs other than letters and digits part words; other letters belong to them.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -237,6 +237,5 @@ def score(documents: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """`documents` without those predicted toxic; columns and all other rows stay."""
-    columns = documents.columns
-    verdict = score(documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text")), fit(documents, labels))
+    verdict = score(packed_rows(documents), fit(documents, labels), "row.text")
     return verdict.where(F.col("toxicity.predicted") == 0).select("row.*")
