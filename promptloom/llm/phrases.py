@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import SPACE, byte_texts, partitions, slices, text_only, written
+from promptloom.llm.common import SPACE, byte_texts, partitions, settled, slices, text_only, written
 
 WINDOW, PHRASE = 20, 8
 _IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE, np.uint8))
@@ -164,7 +164,7 @@ def _candidates(window: int, phrase: int):
             of = words.of[at]
             other = second.runs(mix(words.hashes), at, at + window)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rolling.runs(words.hashes, at, at + window).view(np.int64)), pa.array(other.view(np.int64)), pa.array(ids[of]), pa.array(tags[of] | words.place[at])],
+                [pa.array(rolling.runs(words.hashes, at, at + window).view(np.int64)), pa.array((other >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[of]), pa.array(tags[of] | words.place[at])],
                 ["h1", "h2", "doc", "pos"],
             )
 
@@ -201,27 +201,43 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_windows(documents: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, starts: the windows of `window` words of a document that start earlier elsewhere, by (doc_id, start).
-    A start is a word's place in its text, behind the text's CRC-32 (bits 31 and up). Documents without any are left out.
+    Whole copies of another document, whose windows all do, and documents without any are left out. A start is a word's place in its text, behind the text's CRC-32 (bits 31 and up).
 
     1. Each window chooses one phrase of `phrase` words by its hash, so equal windows choose equal phrases: about one
        place in seven. Their hashes are range-partitioned and sorted with the place; those met twice recur.
     2. Documents meet their recurring phrases by id. A task compiles those of a shard of about 2 MB of text into an
        Aho-Corasick automaton over word numbers and streams the shard through it: every occurrence is located, and an
        automaton is as large as its shard's phrases, not as those of the corpus.
-    3. Windows around occurrences are range-partitioned by their 128-bit hash and place, sorted and streamed: all but
+    3. Windows around occurrences are range-partitioned by their 96-bit hash and place, sorted and streamed: all but
        the first of a hash repeat. A passage that a third of the documents share is spread by place over partitions;
        a partition only asks its neighbours about its first row.
     """
-    n = partitions(documents.sparkSession)
+    return _starts(_with_copies(documents), window, phrase)
+
+
+def _with_copies(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, copied): whether a smaller doc_id has the very same text. All windows of a copy repeat, and none
+    of them is ever the first, so copies need not be looked at again."""
     narrow = text_only(documents, "doc_id", "text")
+    keys = narrow.where("doc_id IS NOT NULL").select("doc_id", *(F.xxhash64(*c).alias(k) for k, c in (("k1", ["text"]), ("k2", [F.lit(1), "text"]))))
+    firsts = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    copies = keys.join(firsts, ["k1", "k2"]).where("doc_id > first").groupBy(F.col("doc_id").alias("copy")).agg(F.collect_set("k1").alias("copied"))
+    joined = narrow.join(settled(copies), F.col("doc_id") == F.col("copy"), "left")
+    copied = F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False))
+    return joined.select("doc_id", "text", copied.alias("copied"))
+
+
+def _starts(texts: DataFrame, window: int, phrase: int) -> DataFrame:
+    n = partitions(texts.sparkSession)
+    narrow = texts.where("NOT copied").select("doc_id", "text")
     anchors = narrow.mapInArrow(_anchors(window, phrase), "h long, doc long, pos long")
     anchors = anchors.repartitionByRange(n, "h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
     located = anchors.mapInArrow(_recurring, "doc long, pos long").groupBy("doc").agg(F.collect_list("pos").alias("places"))
-    shards = narrow.join(located, narrow["doc_id"] == located["doc"], "left").select("doc_id", "text", "places")
-    found = shards.mapInArrow(_candidates(window, phrase), "h1 long, h2 long, doc long, pos long")
+    shards = texts.join(located, texts["doc_id"] == located["doc"], "left").where("NOT copied").select("doc_id", "text", "places")
+    found = shards.mapInArrow(_candidates(window, phrase), "h1 long, h2 int, doc long, pos long")
     order = ("h1", "h2", "doc", "pos")
     found = found.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = written(found.mapInArrow(_later, "kind int, h1 long, h2 long, doc long, pos long"))
+    rows = written(found.mapInArrow(_later, "kind int, h1 long, h2 int, doc long, pos long"))
     lasts = F.broadcast(rows.where(F.col("kind") == LAST).select("h1", "h2", F.struct("doc", "pos").alias("before")))
     firsts = rows.where(F.col("kind") == FIRST).join(lasts, ["h1", "h2"]).where(F.col("before") < F.struct("doc", "pos")).select("doc", "pos")
     later = rows.where(F.col("kind") == LATER).select("doc", "pos").unionByName(firsts)
@@ -243,9 +259,9 @@ def _kept(window: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             total, gone, kept, froms, tos = [], [], [], [], []
-            for text, starts in zip(byte_texts(batch), batch.column(2).to_pylist(), strict=True):
+            for text, copied, starts in zip(byte_texts(batch), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
                 words = text.split()
-                runs = spans(starts, zlib.crc32(text) << 31, window)
+                runs = [(0, len(words))][: len(words) >= window] if copied else spans(starts, zlib.crc32(text) << 31, window)
                 total.append(len(words))
                 gone.append(sum(b - a for a, b in runs))
                 for a, b in reversed(runs):
@@ -270,9 +286,9 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, phrase: int = PHR
     count as one document whose texts follow each other by checksum; equal rows are the same place, and repeat nothing
     of each other. A text of fewer than `window` words keeps all. An empty table gives no rows.
     """
-    narrow = text_only(documents, "doc_id", "text")
-    starts = repeated_windows(documents, window, phrase)
-    joined = narrow.join(starts.select(F.col("doc_id").alias("doc"), "starts"), F.col("doc_id") == F.col("doc"), "left")
-    return joined.select("doc_id", "text", "starts").mapInArrow(
+    texts = _with_copies(documents)
+    starts = _starts(texts, window, phrase).withColumnRenamed("doc_id", "doc")
+    joined = texts.join(starts, F.col("doc_id") == F.col("doc"), "left")
+    return joined.select("doc_id", "text", "copied", "starts").mapInArrow(
         _kept(window, digest), "doc_id long, n_words long, n_removed long, kept string, from_word array<long>, to_word array<long>"
     )
