@@ -18,7 +18,9 @@ from promptloom.llm.common import byte_texts, settled, single_thread, slices, te
 LENGTH, END_ID, OPEN_WINDOWS = 4096, 2, 64
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks whose ids a worker remembers; it then starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Chunks encoded at a time: the library's results are large beside the ids.
+BATCH = 1024
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"
 _ARROW = pa.schema(
@@ -42,18 +44,41 @@ class ChunkTokens:
     def __init__(self, tokenizer: str):
         self.tokenizer = _tokenizer(tokenizer)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # what was known until `known` was full; what is met again moves back
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         chunks = [t.split() for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = list({c for text in chunks for c in text if c not in known})
-        for c, found in zip(fresh, self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False), strict=True):
-            known[c] = np.array(found.ids, "<u4").tobytes()
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        known, fresh = self.known, []
+        for c in {c for text in chunks for c in text if c not in known}:
+            ids = self.before.get(c)
+            if ids is None:
+                fresh.append(c)
+            else:
+                known[c] = ids
+        for at in range(0, len(fresh), BATCH):
+            self._encode(fresh[at : at + BATCH])
         return [b"".join([known[c] for c in text]) for text in chunks]
 
+    def _encode(self, chunks: list[bytes]) -> None:
+        """One text of the chunks, parted again by where the tokens begin: less per chunk than a text for each."""
+        parts = [c.decode() for c in chunks]
+        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(p) + 1 for p in parts]))
+        at = 0
+        for chunk, cut in zip(chunks, cuts.tolist(), strict=True):
+            self.known[chunk] = ids[at:cut].tobytes()
+            at = cut
+
+
+@lru_cache(maxsize=1)
+def _chunk_tokens(tokenizer: str) -> ChunkTokens:
+    """One for all tasks of a worker."""
+    return ChunkTokens(tokenizer)
+
 
 class Packer:
     """Open windows by fill; at most `most` of them. A window is a list of the pieces put in it."""
@@ -117,7 +142,7 @@ def _pack(tokenizer: str, end_id: int, length: int, most: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer, out = ChunkTokens(tokenizer), Packer(length, most), _Out(0, TaskContext.get().partitionId())
+        tokens, packer, out = _chunk_tokens(tokenizer), Packer(length, most), _Out(0, TaskContext.get().partitionId())
         for batch in slices(batches, "text"):
             for doc, ids in zip(batch.column(0).to_pylist(), tokens(byte_texts(batch)), strict=True):
                 ids += end
