@@ -17,7 +17,7 @@ from promptloom.plans.queries import QUERIES
 from promptloom.session import build_session
 
 HEADLINE = {
-    "p1_redact": "prompts",
+    "p1_redact": "texts",
     "p4_estimate_tokens": "texts",
     "p21_classify": "texts",
     "p24_optimize_conservative": "prompts",

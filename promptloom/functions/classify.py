@@ -107,7 +107,7 @@ def looks_like_shell(text: Column, prefixes: list[str] | None = None) -> Column:
 
     # Most prose fails on its first line; only the rest pays for the other tests.
     first = let(
-        strip(F.substring_index(text, "\n", 1)), lambda f: (f == "") | shell_line(f, prefixes)
+        strip(F.substring_index(unify_line_ends(text), "\n", 1)), lambda f: (f == "") | shell_line(f, prefixes)
     )
     multi = first & ~has_marker(text, rules.AI_MARKERS) & block(lines(text))
     return F.when(contains_any(text, ["\n", *OTHER_LINE_ENDS]), multi).otherwise(

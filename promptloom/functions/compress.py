@@ -122,7 +122,7 @@ def clean_fragments(col: Column) -> Column:
     """Drop one-word fragments, join the sentences by one space, capitalise the start."""
 
     def whole(s: Column) -> Column:
-        return s.rlike(r"^\p{Lu}") | found(rstrip_chars(s, ".!?"), r"\S\s+\S")
+        return s.rlike(r"^\p{IsUppercase}") | found(rstrip_chars(s, ".!?"), r"\S\s+\S")
 
     kept = F.filter(sentences(strip(col)), lambda s: (s != "") & whole(s))
     out = sub(F.array_join(kept, " "), r"([.!?])\s*\1+", r"\1")
@@ -130,7 +130,7 @@ def clean_fragments(col: Column) -> Column:
     return let(
         out,
         lambda t: F.when(
-            t.rlike(r"^\p{Ll}"),
+            t.rlike(r"^\p{IsLowercase}"),
             F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t))),
         ).otherwise(t),
     )
@@ -571,16 +571,27 @@ def risk_facts(col: Column) -> Column:
     )
 
 
+def _lost_distinct(paths: Column, candidate: Column) -> Column:
+    """How many of the distinct paths the candidate lost; paths it names itself need no search."""
+    return F.size(F.filter(F.array_except(paths, extract_paths(candidate)), lambda x: ~F.contains(candidate, x)))
+
+
 def risk_penalty_of(facts: Column, candidate: Column, level: str) -> Column:
-    def missing(items: Column, weight: float) -> Column:
-        return F.size(F.filter(items, lambda x: ~F.contains(candidate, x))) * F.lit(weight)
+    def missing(items: Column, weight: float, own: Column | None = None) -> Column:
+        """Items that the candidate lost. What it holds of the same kind (``own``) is a set, so only items
+        outside it are looked for in the text."""
+        if own is None:
+            return F.size(F.filter(items, lambda x: ~F.contains(candidate, x))) * F.lit(weight)
+        lost = F.filter(F.array_except(items, own), lambda x: ~F.contains(candidate, x))
+        every = let(lost, lambda gone: F.when(F.size(gone) == 0, 0).otherwise(F.size(F.filter(items, lambda x: F.array_contains(gone, x)))))
+        return every * F.lit(weight)
 
     error_lost = facts["error"].isNotNull() & ~F.contains(candidate, facts["error"])
     critical = missing(facts["fences"], rules.PENALTY_FENCE) + F.when(
         error_lost, F.lit(rules.PENALTY_ERROR)
     ).otherwise(F.lit(0.0))
-    soft = missing(facts["paths"], rules.PENALTY_PATH) + missing(
-        facts["shell"], rules.PENALTY_SHELL
+    soft = _lost_distinct(facts["paths"], candidate) * F.lit(rules.PENALTY_PATH) + missing(
+        facts["shell"], rules.PENALTY_SHELL, extract_shell_lines(candidate)
     )
     if level == "aggressive":
         return let(critical, lambda c: c + F.when(c == 0, soft * F.lit(0.5)).otherwise(soft))

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BUILT: dict[tuple, object] = {}
+_BUILT: OrderedDict[tuple, object] = OrderedDict()
+KEPT = 512
 
 
-def built_once(name: str, build: Callable[[], object]):
+def built_once(name: str, build: Callable[[], object], owner: object = None):
     """Build an expression over fixed column names once per Spark application.
 
     Building a long expression costs thousands of driver-to-JVM calls; the result is an unresolved
-    expression that any later frame with the same column names can use again.
+    expression that any later frame with the same column names can use again. ``owner`` is an object that
+    the expression depends on; the last ``KEPT`` expressions are held.
     """
-    key = (SparkContext.getOrCreate().applicationId, name)
+    key = (SparkContext.getOrCreate().applicationId, name, owner)  # holds the owner: its id is not used again
     if key not in _BUILT:
         _BUILT[key] = build()
+        while len(_BUILT) > KEPT:
+            _BUILT.popitem(last=False)
+    _BUILT.move_to_end(key)
     return _BUILT[key]
 
 

@@ -135,10 +135,10 @@ def text_hash(col: Column) -> Column:
 # --- token estimate ---------------------------------------------------------------------------
 
 def estimate_tokens(col: Column) -> Column:
-    """Heuristic token count: characters over four, denser for code, logs and many lines."""
-    code_words, log_words = "|".join(rules.TOKEN_CODE_WORDS), "|".join(rules.TOKEN_LOG_WORDS)
-    code = found(col, rf"[{rules.TOKEN_CODE_SYMBOLS}]|\b(?:{code_words})\b")
-    log = found(col, rf"\b(?:{log_words})\b", "i")
+    """Heuristic token count: characters over four, denser for code, logs and many lines. No text, null
+    or empty, has none."""
+    code = found(col, rules.TOKEN_CODE)
+    log = found(col, rules.TOKEN_LOG, "i")
     many_lines = col.contains("\n") & (line_count(col) > rules.TOKEN_LINES_OVER)
     factor = F.lit(1.0)
     for test, extra in (
@@ -148,7 +148,7 @@ def estimate_tokens(col: Column) -> Column:
     ):
         factor = factor + F.when(test, F.lit(extra)).otherwise(F.lit(0.0))
     raw = F.length(col) / F.lit(rules.TOKEN_CHARS) * factor + F.lit(rules.TOKEN_ROUND_UP)
-    return F.when(col == "", F.lit(0)).otherwise(F.greatest(F.lit(1), raw.cast("int")))
+    return F.when(col.isNull() | (col == ""), F.lit(0)).otherwise(F.greatest(F.lit(1), raw.cast("int")))
 
 
 def savings(before: Column, after: Column, clamp: bool = False) -> Column:
@@ -165,11 +165,13 @@ def savings_percent(before: Column, after: Column, clamp: bool = False) -> Colum
 
 # --- shapes -----------------------------------------------------------------------------------
 
-def prompt_shape(col: Column) -> Column:
+def prompt_shape(col: Column, limit: int | None = None) -> Column:
+    """Text without its particulars. Keys are made of the whole shape; ``limit`` cuts it for display."""
     shaped = sub(col, rules.FENCE, "<code_block>")
     shaped = sub(shaped, rules.SHAPE_PATH, "<path>")
     shaped = sub(shaped, r"\b\d+\b", "<num>")
-    return F.substring(F.lower(strip(squeeze(shaped))), 1, rules.SHAPE_LIMIT)
+    whole = F.lower(strip(squeeze(shaped)))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def prompt_pattern_hash(input_type: Column, redacted: Column) -> Column:
@@ -181,7 +183,8 @@ def words(col: Column) -> Column:
     return F.filter(F.split(col, r"(?U)\s+", -1), lambda w: w != "")
 
 
-def command_pattern(col: Column) -> Column:
+def command_pattern(col: Column, first_words: int | None = None) -> Column:
+    """Command without its particulars, all of it; ``first_words`` cuts it for display."""
     def generalise(token: Column) -> Column:
         return (
             F.when(token.startswith("-"), token)
@@ -190,8 +193,8 @@ def command_pattern(col: Column) -> Column:
             .otherwise(token)
         )
 
-    head = take(words(col), rules.COMMAND_PATTERN_TOKENS)
-    return F.array_join(F.transform(head, generalise), " ")
+    parts = words(col) if first_words is None else take(words(col), first_words)
+    return F.array_join(F.transform(parts, generalise), " ")
 
 
 def command_name(pattern: Column) -> Column:
@@ -238,11 +241,22 @@ def protect_fences(col: Column) -> Column:
 
 
 def restore_fences(col: Column, blocks: Column) -> Column:
-    """Put fences back in place of their placeholders, first to last."""
+    """Put fences back in place of their placeholders, in one pass over the text. A placeholder without a
+    block stays."""
 
     def put_back(text: Column) -> Column:
-        numbered = F.transform(blocks, lambda b, i: F.struct(_fence_key(i).alias("k"), b.alias("b")))
-        return F.aggregate(numbered, text, lambda acc, kb: F.replace(acc, kb["k"], kb["b"]))
+        numbers = F.regexp_extract_all(text, F.lit(f"{FENCE_KEY_HEAD}([0-9]+)__"), F.lit(1))
+
+        def block(number: Column) -> Column:
+            at = number.try_cast("int")
+            known = F.when(at.cast("string") == number, F.get(blocks, at))
+            return F.coalesce(known, F.concat(F.lit(FENCE_KEY_HEAD), number, F.lit("__")))
+
+        def join(parts: Column) -> Column:
+            filled = let(F.transform(numbers, block), lambda b: F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(b, i), F.lit("")))))
+            return F.array_join(filled, "")
+
+        return let(F.split(text, f"{FENCE_KEY_HEAD}[0-9]+__", -1), join)
 
     return let(
         col, lambda t: F.when(t.contains(FENCE_KEY_HEAD), put_back(t)).otherwise(t)

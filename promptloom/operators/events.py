@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions import rules
@@ -40,14 +40,19 @@ def without_prefix(command: Column) -> Column:
     return sub(strip(command), rules.COMMAND_PREFIX, "")
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it."""
+    try:
+        SparkSession.active().sql("SELECT '' AS x").select(found(F.col("x"), pattern)).collect()
+    except (PySparkException, Py4JJavaError):
+        return False
+    return True
+
+
 def matches_rule(bare: Column, pattern: str) -> Column:
     """``^...`` is a regex (a broken one falls back to a prefix test), else a command prefix."""
     if pattern.startswith("^"):
-        try:
-            re.compile(pattern)
-        except re.error:
-            return bare.startswith(pattern.lstrip("^"))
-        return found(bare, pattern)
+        return found(bare, pattern) if _compiles(pattern) else bare.startswith(pattern.lstrip("^"))
     return (bare == pattern) | bare.startswith(pattern + " ")
 
 

@@ -14,7 +14,6 @@ from promptloom.functions.text import (
     redact,
     text_hash,
 )
-from promptloom.operators.skew import skew_join
 
 
 def run_key(prompt_id: Column) -> Column:
@@ -129,18 +128,21 @@ def rejected_feedback(feedback: DataFrame) -> DataFrame:
 
 
 def feedback_to_runs(feedback: DataFrame, runs: DataFrame) -> DataFrame:
-    """Feedback with its run, null where the run is unknown. Popular runs are salted."""
-    slim = runs.select("run_id", "input_type", "input_preview")
-    return skew_join(feedback, slim, "run_id", "feedback_id", "left")
+    """Feedback with its run's type and shape hash, null where the run is unknown.
+
+    Runs are unique by id, so adaptive execution may split the feedback of a popular run over tasks.
+    Feedback without a run id does not take part in the join: it would all land in one task.
+    """
+    slim = runs.select("run_id", "input_type", "pattern_hash")
+    nothing = [F.lit(None).cast(slim.schema[c].dataType).alias(c) for c in ("input_type", "pattern_hash")]
+    joined = feedback.where("run_id IS NOT NULL").join(slim, "run_id", "left").select(*feedback.columns, *slim.columns[1:])
+    return joined.unionByName(feedback.where("run_id IS NULL").select("*", *nothing))
 
 
 def runs_to_patterns(rated: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rated runs with the pattern of their shape, if it existed when the feedback came."""
-    shaped = rated.where(F.col("input_preview").isNotNull()).withColumn(
-        "pattern_hash", prompt_pattern_hash(F.col("input_type"), F.col("input_preview"))
-    )
     known = patterns.select("pattern_hash", "pattern_type", "first_seen_at")
-    return skew_join(shaped, known, "pattern_hash", "feedback_id").where(
+    return rated.where(F.col("pattern_hash").isNotNull()).join(known, "pattern_hash").where(
         F.col("first_seen_at") <= F.col("created_at")
     )
 

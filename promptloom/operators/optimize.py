@@ -165,8 +165,7 @@ def _result(text: Column, chosen: Column, pick: str) -> Column:
 
 
 def _builder(text: str, classifier):
-    own = "" if classifier is classify else f"/{id(classifier)}"
-    return lambda part, make: built_once(f"optimize/{part}/{text}{own}", make)
+    return lambda part, make: built_once(f"optimize/{part}/{text}", make, classifier)
 
 
 def _staged(df: DataFrame, text: str, levels: tuple[str, ...], classifier) -> DataFrame:

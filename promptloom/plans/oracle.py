@@ -147,7 +147,7 @@ PATTERNS = (
 RATED = (
     *PATTERNS,
     f"""rated AS (SELECT f.feedback_id, f.rating, f.created_at,
-        sha256(r.input_type || ':' || {s.shape('r.input_preview')}) AS pattern_hash
+        r.pattern_hash
         FROM feedback f JOIN runs r ON f.run_id = r.run_id)""",
     """rated_patterns AS (SELECT r.feedback_id, r.rating, r.pattern_hash, p.pattern_type
         FROM rated r JOIN prompt_patterns p ON r.pattern_hash = p.pattern_hash
@@ -190,6 +190,11 @@ ORACLE["s6_export_json"] = query(
     'should_optimize': c_go, 'reason': c_reason})::VARCHAR AS value FROM classed""",
     CLASSED,
 )
+ORACLE["s6_export_tsv"] = query(
+    "prompts",
+    "SELECT prompt_id, c_type AS input_type, c_risk AS risk_level, c_go AS should_optimize, c_reason AS reason FROM classed",
+    CLASSED,
+)
 ORACLE["s7_archive_failures"] = query(
     "tool_outputs",
     f"""SELECT output_id, {stamp('ts')} AS ts,
@@ -201,7 +206,7 @@ ORACLE["s7_archive_failures"] = query(
 )
 
 # --- projections ------------------------------------------------------------------------------
-over("p1_redact", "prompts", "prompt_id", redacted=s.redact("text"))
+over("p1_redact", "texts", "id", redacted=s.redact("text"))
 over("p2_preview", "texts", "id", preview=s.clip(s.redact("text"), 4096),
      short_preview=s.clip(s.redact("text"), 512))
 over("p3_text_hash", "texts", "id", text_hash=f"sha256({s.redact('text')})")
@@ -223,7 +228,7 @@ over("p8_command_pattern", "shell_starts", "event_seq", pattern=s.command_patter
 over("p9_command_name", "shell_starts", "event_seq",
      command_name=f"split_part({s.command_pattern('command')}, ' ', 1)")
 over("p10_base_name", "shell_starts", "event_seq",
-     base_name="string_split(string_split(command, ' ')[-1], '/')[-1]")
+     base_name="string_split(string_split(command, ' ')[1], '/')[-1]")
 over("p11_protect_fences", "texts", "id", protected=s.protect("text"),
      fences=f"len({s.find_all('text', rules.FENCE)})::INTEGER",
      same=f"{s.restore(s.protect('text'), s.find_all('text', rules.FENCE))} = text")
@@ -303,6 +308,12 @@ ORACLE["p24_optimize_best_moderate"] = query(
     "prompts", f"SELECT {_RESULT} FROM o", CLASSED,
     s.optimize_ctes("classed", "moderate", "o", "best", 3.0),
 )
+ORACLE["p24_optimize_with_bonus"] = query(
+    "prompts feedback", f"SELECT {_RESULT} FROM ob", *RATED,
+    """classed_b AS (SELECT c.*, coalesce(b.bonus, 0.0::DOUBLE) AS earned FROM classed c
+        LEFT JOIN bonuses b ON c.c_type = b.input_type)""",
+    s.optimize_ctes("classed_b", "conservative", "ob", bonus="earned"),
+)
 ORACLE["p25_dry_run"] = query(
     "prompts",
     f"""SELECT prompt_id, text AS original_input, c_type AS classified_type, c_risk AS risk_level,
@@ -518,18 +529,18 @@ ORACLE["u1_merge_rules"] = query(
     UNION SELECT split_part({s.command_pattern('command')}, ' ', 1) FROM shell_starts""",
 )
 over("u2_line_picks", "tool_texts", "output_id",
-     picks=f"len({s.let(s.compress_log('text'), s.lines)})::INTEGER")
+     picks=s.compress_log("text"))
 ORACLE["u4_retain"] = query(
     "observed",
     f"""SELECT event_id, {stamp('created_at')} AS created_at FROM logged
     WHERE created_at >= {NOW} - INTERVAL 90 DAY""",
     *LOGGED,
 )
+ORACLE["u4_rewrite"] = ORACLE["u4_retain"]
 ORACLE["u4_expired_count"] = query(
     "observed",
     f"SELECT count(*) FILTER (created_at < {NOW} - INTERVAL 90 DAY) AS deleted FROM logged", *LOGGED
 )
-ORACLE["u5_reset"] = query("observed", f"SELECT {_EVENT_COLS} FROM logged WHERE false", *LOGGED)
 
 # --- tool outputs -----------------------------------------------------------------------------
 _ROUTED = f"""routed AS (SELECT *, {s.ROUTE} AS route
@@ -559,3 +570,21 @@ ORACLE["a8_output_savings"] = query(
         FROM condensed) GROUP BY ROLLUP (command_name))""",
     _ROUTED, _CONDENSED,
 )
+
+# --- streaming: what the batch form gives ---------------------------------------------------------
+ORACLE["st1_complete_stream"] = (
+    "SELECT event_seq, shell, pid, exit_code, completed_at FROM (" + ORACLE["j1_complete_events"] + ") WHERE status = 'completed'"
+)
+ORACLE["st2_running_patterns"] = query(
+    "observed",
+    "SELECT command_pattern, usage_count, round(average_token_estimate, 6) AS average_token_estimate FROM command_patterns",
+    *LOGGED,
+)
+ORACLE["st3_ingest"] = query(
+    "observed",
+    "SELECT event_id, command_hash, raw_command_preview, token_estimate, input_type, risk_level FROM logged",
+    *LOGGED,
+)
+ORACLE["st4_retention_stream"] = query(
+    "shell_events", "SELECT strftime(ts, '%Y-%m-%d') AS day, kind, count(*) AS events FROM shell_events GROUP BY ALL"
+)

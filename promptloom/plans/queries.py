@@ -17,7 +17,8 @@ from promptloom.operators import events, history, intext, outputs
 from promptloom.operators import optimize as opt
 from promptloom.plans import streams
 from promptloom.sources import derived
-from promptloom.sources.tables import as_json, stored, with_output
+from promptloom.sources import tables
+from promptloom.sources.tables import stored, with_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,8 +116,8 @@ def rated_patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     """Patterns, and the feedback that reached one. The runs are stored first, as they are in
     practice: feedback comes later and reads them."""
     all_runs = stored(runs(spark, sf_dir))
-    patterns = stored(history.prompt_patterns(all_runs))
-    rated = stored(history.feedback_to_runs(feedback(spark, sf_dir), all_runs))
+    patterns = history.prompt_patterns(all_runs)
+    rated = history.feedback_to_runs(feedback(spark, sf_dir), all_runs)
     return patterns, history.runs_to_patterns(rated, patterns)
 
 
@@ -132,23 +133,42 @@ def col() -> Column:
 
 # --- sources and sinks ------------------------------------------------------------------------
 
+def _read_back(df: DataFrame, write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """Through the sink and the table it makes."""
+    path = f"{tables.work_dir(df.sparkSession)}/table"
+    write(df, path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classed_prompts(spark, sf_dir).select(
+        "prompt_id", "input_type", F.col("class.risk_level").alias("risk_level"),
+        F.col("class.should_optimize").alias("should_optimize"),
+        F.col("class.reason").alias("reason"),
+    )
+
+
 @register("s1_read_prompts")
 def s1(spark, sf_dir):
-    return derived.prompts(spark, sf_dir).select(
+    path = f"{tables.work_dir(spark)}/prompts"
+    tables.typed(derived.prompts(spark, sf_dir), tables.PROMPTS).write.parquet(path)
+    return tables.read_prompts(spark, path).select(
         "prompt_id", stamp("created_at").alias("created_at"), "command_name", "text"
     )
 
 
 @register("s2_read_tool_outputs")
 def s2(spark, sf_dir):
-    return tool_outputs(spark, sf_dir).select(
+    path = f"{tables.work_dir(spark)}/outputs"
+    tables.typed(derived.tool_outputs(spark, sf_dir), tables.TOOL_OUTPUTS).write.parquet(path)
+    return tables.read_tool_outputs(spark, path).select(
         "output_id", "command_name", F.array_join("args", " ").alias("args"), "exit_code", "output"
     )
 
 
 @register("s3_write_runs")
 def s3(spark, sf_dir):
-    return runs(spark, sf_dir).select(
+    return _read_back(runs(spark, sf_dir), tables.write_runs).select(
         "run_id", stamp("created_at").alias("created_at"), "input_hash", "input_preview",
         "optimized_preview", "input_token_estimate", "optimized_token_estimate", "token_savings",
         F.round("token_savings_percent", 6).alias("token_savings_percent"), "input_type",
@@ -158,7 +178,7 @@ def s3(spark, sf_dir):
 
 @register("s4_write_shell_events")
 def s4(spark, sf_dir):
-    return logged(spark, sf_dir).select(
+    return _read_back(logged(spark, sf_dir), tables.write_shell_events).select(
         "event_id", stamp("created_at").alias("created_at"), "shell", "pid", "cwd", "command_hash",
         "raw_command_preview", "optimized_preview", "token_estimate", "input_type", "risk_level",
         "was_modified", "status",
@@ -167,20 +187,24 @@ def s4(spark, sf_dir):
 
 @register("s5_write_feedback")
 def s5(spark, sf_dir):
-    return feedback(spark, sf_dir).select(
+    return _read_back(feedback(spark, sf_dir), tables.write_feedback).select(
         "feedback_id", stamp("created_at").alias("created_at"), "run_id", "rating", "notes"
     )
 
 
 @register("s6_export_json")
 def s6(spark, sf_dir):
-    return as_json(
-        classed_prompts(spark, sf_dir).select(
-            "prompt_id", "input_type", F.col("class.risk_level").alias("risk_level"),
-            F.col("class.should_optimize").alias("should_optimize"),
-            F.col("class.reason").alias("reason"),
-        )
-    )
+    path = f"{tables.work_dir(spark)}/json"
+    tables.export_json(_report(spark, sf_dir), path)
+    return spark.read.text(path)
+
+
+@register("s6_export_tsv")
+def s6_tsv(spark, sf_dir):
+    path = f"{tables.work_dir(spark)}/tsv"
+    report = _report(spark, sf_dir)
+    tables.export_tsv(report, path)
+    return spark.read.schema(report.schema).option("sep", "\t").option("header", True).csv(path)
 
 
 @register("s7_archive_failures")
@@ -192,7 +216,7 @@ def s7(spark, sf_dir):
 
 # --- projections ------------------------------------------------------------------------------
 
-over("p1_redact", derived.prompts, "prompt_id", redacted=lambda: t.redact(col()))
+over("p1_redact", texts, "id", redacted=lambda: t.redact(col()))
 over("p2_preview", texts, "id", preview=lambda: t.preview(col()),
      short_preview=lambda: t.preview(col(), rules.NOTES_PREVIEW_LIMIT))
 over("p3_text_hash", texts, "id", text_hash=lambda: t.text_hash(t.redact(col())))
@@ -223,7 +247,7 @@ over("p8_command_pattern", starts, "event_seq", pattern=lambda: t.command_patter
 over("p9_command_name", starts, "event_seq",
      command_name=lambda: t.command_name(t.command_pattern(F.col("command"))))
 over("p10_base_name", starts, "event_seq",
-     base_name=lambda: t.base_name(F.element_at(F.split("command", " "), -1)))
+     base_name=lambda: t.base_name(F.element_at(F.split("command", " "), 1)))
 over("p11_protect_fences", texts, "id", protected=lambda: t.protect_fences(col()),
      fences=lambda: F.size(t.fences(col())),
      same=lambda: t.restore_fences(t.protect_fences(col()), t.fences(col())) == col())
@@ -313,6 +337,15 @@ for _level in rules.LEVELS:
 QUERIES["p24_optimize_best_moderate"] = _optimized("moderate", "best")
 
 
+@register("p24_optimize_with_bonus")
+def p24_bonus(spark, sf_dir):
+    """Prompts, runs, feedback, bonus, and prompts again with what they have earned."""
+    columns = derived.prompts(spark, sf_dir).columns
+    earned = history.with_history_bonus(classed_prompts(spark, sf_dir), bonus(spark, sf_dir))
+    results = opt.optimize(earned.select(*columns, "bonus"), "conservative", bonus="bonus")
+    return results.select("prompt_id", *RESULT, F.round("optimization_score", 6).alias("score"))
+
+
 @register("p25_dry_run")
 def p25(spark, sf_dir):
     return opt.dry_run(derived.prompts(spark, sf_dir), "aggressive").withColumn(
@@ -569,7 +602,7 @@ def u1(spark, sf_dir):
     return events.merge_rules(seen, names)
 
 
-over("u2_line_picks", tool_texts, "output_id", picks=lambda: F.size(t.lines(compress.compress_log(col()))))
+over("u2_line_picks", tool_texts, "output_id", picks=lambda: compress.compress_log(col()))
 
 
 @register("u3_candidates")
@@ -589,16 +622,20 @@ def u4(spark, sf_dir):
     return kept.select("event_id", stamp("created_at").alias("created_at"))
 
 
+@register("u4_rewrite")
+def u4_rewrite(spark, sf_dir):
+    """The stored table after its expired days are gone."""
+    path = f"{tables.work_dir(spark)}/events"
+    tables.write_shell_events(logged(spark, sf_dir), path)
+    tables.rewrite_retained(spark, path, "2024-04-10 00:00:00", 90)
+    return spark.read.parquet(path).select("event_id", stamp("created_at").alias("created_at"))
+
+
 @register("u4_expired_count")
 def u4_count(spark, sf_dir):
     return history.expired_count(logged(spark, sf_dir), F.expr(NOW), 90)
 
 
-@register("u5_reset")
-def u5(spark, sf_dir):
-    return history.reset(s4(spark, sf_dir))
-
-
 # --- tool outputs -----------------------------------------------------------------------------
 
 @register("o0_router")

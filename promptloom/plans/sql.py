@@ -10,6 +10,9 @@ from promptloom.functions.regex import WHITE_SPACE
 _names = count()
 
 
+NOT_EMPTY = " <> ''"
+
+
 def q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -130,13 +133,13 @@ def clip(x: str, limit: int) -> str:
 def tokens(x: str) -> str:
     def body(t: str) -> str:
         ascii_words = _encode(t)
-        code = found(ascii_words, r"[{}();]|\b(?:" + "|".join(rules.TOKEN_CODE_WORDS) + r")\b")
-        log = found(ascii_words, r"\b(?:" + "|".join(rules.TOKEN_LOG_WORDS) + r")\b", "i")
+        code = found(ascii_words, rules.TOKEN_CODE)
+        log = found(ascii_words, rules.TOKEN_LOG, "i")
         many = f"(contains({t}, chr(10)) AND len({lines(t)}) > 8)"
         case = lambda c, v: f"CASE WHEN {c} THEN {v}::DOUBLE ELSE 0.0::DOUBLE END"
         factor = f"(1.0::DOUBLE + {case(code, 0.15)} + {case(log, 0.15)} + {case(many, 0.10)})"
         raw = f"trunc(length({t})::DOUBLE / 4.0::DOUBLE * {factor} + 0.999::DOUBLE)::INTEGER"
-        return f"CASE WHEN {t} = '' THEN 0 ELSE greatest(1, {raw}) END"
+        return f"CASE WHEN coalesce({t}, '') = '' THEN 0 ELSE greatest(1, {raw}) END"
 
     return let(x, body)
 
@@ -152,7 +155,7 @@ def shape(x: str) -> str:
     out = sub(x, rules.FENCE, "<code_block>")
     out = sub(out, rules.SHAPE_PATH, "<path>")
     out = sub(out, r"\b\d+\b", "<num>")
-    return f"left(lower({strip(squeeze(out))}), 512)"
+    return f"lower({strip(squeeze(out))})"
 
 
 def command_pattern(x: str) -> str:
@@ -160,7 +163,7 @@ def command_pattern(x: str) -> str:
         f"CASE WHEN starts_with({t}, '-') THEN {t} WHEN contains({t}, '/') OR {found(t, '[0-9]')} "
         f"THEN '<arg>' WHEN length({t}) > 40 THEN '<long>' ELSE {t} END"
     )
-    return join(each(f"({words(x)})[1:8]", general), " ")
+    return join(each(words(x), general), " ")
 
 
 # --- fences -----------------------------------------------------------------------------------
@@ -511,7 +514,7 @@ def dedupe_tracebacks(x: str) -> str:
             return let(
                 f"coalesce({ends}[1], len({rows}))",
                 lambda e: f"{{'body': {strip(join(each(f'{rows}[1:{e}]', rstrip)))}, 'tail': "
-                f"{keep(each(f'{rows}[({e}+1):]', rstrip), lambda r: strip(r) + chr(60) + chr(62) + q(''))}}}",
+                f"{keep(each(f'{rows}[({e}+1):]', rstrip), lambda r: strip(r) + NOT_EMPTY)}}}",
             )
 
         return let(lines(f"{q(head)} || {part}"), cut)
@@ -519,7 +522,7 @@ def dedupe_tracebacks(x: str) -> str:
     def rebuild(parts: str) -> str:
         def assemble(bs: str) -> str:
             bodies = each(bs, lambda b: f"{b}['body']")
-            tails = f"flatten({each(bs, lambda b: f'{b}' + chr(91) + q('tail') + chr(93))})"
+            tails = f"flatten({each(bs, lambda b: b + "['tail']")})"
             uniq = let(bodies, lambda b: let(each(b, squeeze), lambda k: first_of_each(b, k)))
             suffix = let(tails, lambda t: let(each(t, strip), lambda k: join(first_of_each(t, k))))
             return let(
@@ -570,7 +573,7 @@ def compress_log(x: str, n: int = 80) -> str:
 
 
 def first_line(x: str) -> str:
-    return f"coalesce({keep(each(lines(x), strip), lambda r: r + chr(60) + chr(62) + q(''))}[1], '')"
+    return f"coalesce({keep(each(lines(x), strip), lambda r: r + NOT_EMPTY)}[1], '')"
 
 
 def constraints(x: str) -> str:
@@ -687,11 +690,11 @@ def compact_ctes(source: str, level: str, name: str, text: str = "text", kind: s
     return ",\n".join(out)
 
 
-def optimize_ctes(source: str, level: str, name: str, pick: str = "first", gate: float = 0.0):
+def optimize_ctes(source: str, level: str, name: str, pick: str = "first", gate: float = 0.0, bonus: str = "0.0"):
     """CTE chain from classified prompts to results (c_* columns must be there)."""
     order = ["s_text", "compact"] if pick == "first" else ["compact", "s_text"]
     score = lambda c, i: (
-        f"{percent('n_in', f'n_{i}')} - p_{i}"
+        f"{percent('n_in', f'n_{i}')} - p_{i} + {bonus}"
     )
     base = f"""{compact_ctes(source, level, name + '_k')},
     {name}_s AS MATERIALIZED (SELECT *, {derive_task('c_type', 'text')} AS task, {constraints('text')} AS cons,

@@ -7,21 +7,16 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import rules
 from promptloom.sources import derived
-from promptloom.sources.tables import SHELL_EVENTS, work_dir
+from promptloom.sources.tables import SHELL_EVENTS, typed, work_dir
 from promptloom.streaming import events as live
 
 
-def _typed(df: DataFrame, schema: str) -> DataFrame:
-    fields = [field.rsplit(" ", 1) for field in schema.split(", ")]
-    return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in fields])
-
-
-def _source(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
-    """Time-ordered files, so that a stream of several micro-batches sees events in order."""
-    _typed(derived.shell_events(spark, sf_dir), SHELL_EVENTS).repartitionByRange(
+def _source(spark: SparkSession, sf_dir: str, root: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """The events as files of a time range each; by default every file is a micro-batch."""
+    typed(derived.shell_events(spark, sf_dir), SHELL_EVENTS).repartitionByRange(
         4, "ts", "event_seq"
     ).write.parquet(f"{root}/in")
-    return live.read_event_stream(spark, f"{root}/in")
+    return live.read_event_stream(spark, f"{root}/in", files_per_trigger=files_per_trigger)
 
 
 def _run(stream: DataFrame, root: str) -> None:
@@ -37,7 +32,8 @@ def _run(stream: DataFrame, root: str) -> None:
 
 def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark)
-    _run(live.complete_stream(_source(spark, sf_dir, root)), root)
+    # matching follows event order, which the files of one micro-batch have among them; single files may come late
+    _run(live.complete_stream(_source(spark, sf_dir, root, None)), root)
     out = spark.read.schema(live.COMPLETED).parquet(f"{root}/out")
     return out.select(
         "event_seq", "shell", "pid", "exit_code",
@@ -54,38 +50,38 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def running_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running counts after the last micro-batch; each batch replaces the result folder."""
-    root = work_dir(spark)
-    counts = live.running_command_patterns(live.ingest(_source(spark, sf_dir, root)))
+def _run_upsert(updates: DataFrame, root: str, *key: str) -> DataFrame:
+    """Runs an updating aggregate and returns its rows as of the last micro-batch. Each batch writes only the rows
+    that it changed, in a folder of its own that a repeated batch replaces; the newest row of a key counts."""
     query = (
-        counts.writeStream.outputMode("complete")
+        updates.writeStream.outputMode("update")
         .option("checkpointLocation", f"{root}/checkpoint")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out"))
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(
+    rows = F.struct(*[c for c in updates.columns if c not in key])
+    written = updates.sparkSession.read.parquet(f"{root}/out")
+    return written.groupBy(*key).agg(F.max_by(rows, "batch").alias("last")).select(*key, "last.*")
+
+
+def running_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running counts after the last micro-batch."""
+    root = work_dir(spark)
+    counts = live.running_command_patterns(live.ingest(_source(spark, sf_dir, root)))
+    return _run_upsert(counts, root, "command_pattern").select(
         "command_pattern", "usage_count",
         F.round("average_token_estimate", 6).alias("average_token_estimate"),
     )
 
 
 def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live events by day within the history watermark: state of older days is dropped."""
+    """Live events by day. Update mode keeps the state of days within the history watermark only; a day's count
+    stands as last written once its state is gone."""
     root = work_dir(spark)
     source = live.read_within_history(_source(spark, sf_dir, root), rules.HISTORY_DAYS)
-    daily = source.groupBy(F.window("ts", "1 day").alias("day"), "kind").count()
-    query = (
-        daily.writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(
-        F.date_format("day.start", "yyyy-MM-dd").alias("day"), "kind",
-        F.col("count").alias("events"),
+    daily = source.groupBy(F.window("ts", "1 day").alias("day"), "kind").agg(F.count("*").alias("events"))
+    return _run_upsert(daily, root, "day", "kind").select(
+        F.date_format("day.start", "yyyy-MM-dd").alias("day"), "kind", "events"
     )

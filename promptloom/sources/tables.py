@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PROMPTS = "prompt_id bigint, created_at timestamp, command_name string, text string"
 SHELL_EVENTS = (
@@ -27,6 +28,12 @@ def _read(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def typed(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema``, cast to it."""
+    fields = T.StructType.fromDDL(schema)
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def read_prompts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A table of prompts; ``fmt='text'`` reads each file as one prompt."""
     if fmt == "text":
@@ -125,8 +132,11 @@ def _replace_partitions(spark: SparkSession, path: str, touched: DataFrame, kept
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder in the shared folder the cluster names; a local one only where unset."""
+    """A fresh folder in the shared folder that spark.checkpoint.dir names. A local session without one gets
+    a folder of its own; on a cluster that is an error, as executors would write to their own disks."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith(("spark:", "yarn", "k8s", "local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="promptloom-")
     return f"{base}/{uuid.uuid4().hex}"
 

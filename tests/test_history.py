@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from promptloom.operators import history as h
 from promptloom.operators.optimize import optimize
-from promptloom.operators.skew import skew_join
 
 TEXT = "Please please help me fix this issue. " * 8
 
@@ -71,17 +70,3 @@ def test_retention_limit_is_kept(spark):
     assert h.retain(df, now).count() == 2
     assert h.expired_count(df, now).first().deleted == 1
     assert h.reset(df).count() == 0 and h.reset(df).schema == df.schema
-
-
-def test_skew_join_equals_plain_join(spark):
-    left = spark.range(3000).select(
-        F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k")
-    )
-    right = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for how in ("inner", "left"):
-        plain = left.join(right, "k", how)
-        salted = skew_join(left, right, "k", "row", how, hot_rows=100, salts=8)
-        order = ["row", "k", "v"]
-        assert sorted(map(tuple, salted.select(order).collect()), key=str) == sorted(
-            map(tuple, plain.select(order).collect()), key=str
-        )

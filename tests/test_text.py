@@ -41,8 +41,11 @@ def test_shapes(column):
         "fix <path> line <num>", "a <code_block> b",
     ]
     assert column(t.command_pattern, ["python3 run.py -v", "git status", " ", "a " * 9, "x" * 41]) == [
-        "<arg> run.py -v", "git status", "", "a a a a a a a a", "<long>",
+        "<arg> run.py -v", "git status", "", "a a a a a a a a a", "<long>",
     ]
+    assert column(lambda c: t.command_pattern(c, 8), ["a " * 9]) == ["a a a a a a a a"]
+    alike = "w " * 300
+    assert len(set(column(t.prompt_shape, [alike + "x", alike + "y"]))) == 2
 
 
 def test_lines(column):
