@@ -102,7 +102,28 @@ def _stored_columns() -> list[Column]:
     ]
 
 
-def complete_events(events: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join that pairs null keys with null keys; the columns of ``left`` and what ``right`` adds."""
+    renamed = right.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & left[c].eqNullSafe(renamed[f"__{c}"])
+    return left.join(renamed, same).drop(*[f"__{c}" for c in on])
+
+
+def _with_chunks(rows: DataFrame, key: list[str], seconds: int, most: int) -> DataFrame:
+    """Rows with ``_chunk``, in time order: an interval of ``seconds``, cut finer where it holds more than ``most``
+    rows of one key. Counts combine before the shuffle and are one row per key and interval in the join."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    length = F.lit(seconds * 1_000_000)
+    placed = rows.withColumns({"_span": F.floor(micros / length), "_within": F.pmod(micros, length)})
+    parts = placed.groupBy(*key, "_span").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
+    sized = _join_null_safe(placed, parts, [*key, "_span"])
+    part = F.floor(F.col("_within") / length * F.col("_parts"))
+    return sized.withColumn("_chunk", F.struct(F.col("_span"), part.alias("_part"))).drop("_span", "_within", "_parts")
+
+
+def complete_events(events: DataFrame, chunk_seconds: int = 3600, chunk_rows: int = 100_000) -> DataFrame:
     """Close each start with the ``done`` that ends it: per (shell, pid), last open start first.
 
     This is bracket matching. With +1 per start and -1 per done, the running sum S and its running
@@ -110,18 +131,14 @@ def complete_events(events: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     dropped; at one level starts and dones alternate, so a start's end is the next row there.
 
     One (shell, pid) may hold a large share of all rows, so no window runs over a whole pid. Rows
-    are cut into time chunks; chunk totals (few rows) carry sum and minimum from chunk to chunk;
+    are cut into time chunks of about ``chunk_rows`` rows at most; chunk totals (few rows) carry sum and minimum from chunk to chunk;
     pairs inside a chunk are found there, and only each chunk's leftovers - at most one start and
     one done per level - are matched across chunks, level by level.
     """
     key = ["shell", "pid"]
     order = [F.col("ts"), F.col("event_seq")]
-    rows = events.withColumns(
-        {
-            "_step": F.when(F.col("kind") == "start", 1).otherwise(-1),
-            "_chunk": F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / chunk_seconds),
-        }
-    )
+    rows = events.withColumn("_step", F.when(F.col("kind") == "start", 1).otherwise(-1))
+    rows = _with_chunks(rows, key, chunk_seconds, chunk_rows)
     in_chunk = Window.partitionBy(*key, "_chunk").orderBy(*order)
     upto = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
     before = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
@@ -147,7 +164,7 @@ def complete_events(events: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
     low_before = F.least(F.col("_floor"), F.col("_offset") + F.col("_low_before"))
     is_start = F.col("kind") == "start"
     levelled = (
-        local.join(carried, [*key, "_chunk"])
+        _join_null_safe(local, carried, [*key, "_chunk"])
         .withColumns(
             {
                 "_orphan": ~is_start & (low < low_before),

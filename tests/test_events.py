@@ -85,3 +85,30 @@ def test_logged_form(spark):
     assert "sk-" not in row.raw_command_preview and "REDACTED" in row.raw_command_preview
     assert row.input_type == "raw_shell_command" and row.status == "started"
     assert SHELL_EVENTS.startswith("event_seq")
+
+
+def test_completion_keeps_null_keys_and_cuts_hot_hours(spark):
+    """One pid-hour with most rows, cut into many chunks, and rows whose shell or pid is null."""
+    rows, n = [], 0
+    for i in range(600):
+        for kind in ("start", "start", "done") if i % 3 else ("start", "done", "done"):
+            rows.append((n, 1_700_000_000.0 + i * 0.5 + len(rows) % 7 * 0.01, kind, "bash", 7))
+            n += 1
+    rows += [(n + i, 1_700_000_000.0 + i, k, s, p) for i, (k, s, p) in enumerate(
+        [("start", None, 1), ("done", None, 1), ("start", "zsh", None), ("start", None, None), ("done", None, None)])]
+    frame = spark.createDataFrame(rows, "event_seq long, at double, kind string, shell string, pid int").selectExpr(
+        "event_seq", "timestamp_micros(cast(at * 1e6 as bigint)) AS ts", "kind", "shell", "pid",
+        "'/' AS cwd", "'x' AS command", "0 AS exit_code",
+    )
+    from promptloom.operators.events import complete_events
+
+    open_, want = {}, {}
+    for r in sorted(frame.collect(), key=lambda r: (r.ts, r.event_seq)):
+        stack = open_.setdefault((r.shell, r.pid), [])
+        if r.kind == "start":
+            stack.append(r.event_seq)
+            want[r.event_seq] = None
+        elif stack:
+            want[stack.pop()] = r.ts
+    got = complete_events(frame, chunk_rows=50).collect()
+    assert {r.event_seq: r.completed_at for r in got} == want
