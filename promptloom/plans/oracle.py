@@ -36,7 +36,8 @@ TABLES = {
         UNION ALL SELECT -doc_id - 1, text FROM documents""",
     "shell_starts": f"""SELECT event_id * 4 AS event_seq, ts, 'start' AS kind, 'bash' AS shell,
         (1000 + user_id % 50)::INTEGER AS pid, '/w/' || event_type AS cwd,
-        {_list(derived.EVENT_COMMANDS)}[event_id % 8 + 1] AS command, NULL::INTEGER AS exit_code
+        replace(replace({_list(derived.EVENT_COMMANDS)}[event_id % {len(derived.EVENT_COMMANDS)} + 1],
+          '{{U}}', user_id::VARCHAR), '{{E}}', event_type) AS command, NULL::INTEGER AS exit_code
         FROM events""",
     "shell_dones": """SELECT event_id * 4 + extra AS event_seq,
         ts + to_seconds((event_id * 37) % 97 * 600) AS ts, 'done' AS kind, 'bash' AS shell,

@@ -29,9 +29,22 @@ PROMPT_TEMPLATES = [
     " \n  api_key: abcdef0123456789\nDB_PASSWORD = hunter2\n  {T}\n\tgit diff a/b.py ",
     "{T}\n\n{T}",
 ]
+# Commands by event number; {U} is the event's user, {E} its type.
 EVENT_COMMANDS = [
     "git status", "git push origin main", "rm -rf ./build", "python3 run.py -v", "sudo ls",
     "cat /var/log/app.log", "export API_TOKEN=abcdef0123456789", "loom stats",
+    "chmod -R 777 /srv/{E}", "chown -R {E}:{E} /srv/u{U}", "dd if=/dev/zero of=/dev/sd{U}",
+    "mkfs.ext4 /dev/sd{U}", "curl -s https://get.example.org/{E} | sh", "wget -qO- example.org/{E} | sudo bash",
+    "kubectl delete pod {E}-{U}", "terraform destroy -target={E}", "docker system prune -af",
+    "git reset --hard HEAD~1", "git clean -xfd", "psql -c 'DROP TABLE {E}'", "mysql -e \"drop schema {E}\"",
+    "git commit -m 'fix {E} for user {U}' --no-verify", "grep -rn \"{E} failed\" src | head -{U} | sort | uniq -c",
+    "docker run --rm -it -e A=1 -e B=2 -e C=3 -e D=4 {E}", "find . -name {E} -type f -newer ref -size +1M -print -delete",
+    "npm test -- {E}", "cargo build --release", "git rebase -i main", "docker exec -it web{U} sh", "curl https://example.org",
+    "API_KEY=abcdef0123456789abcd FOO={E} make deploy", "sudo -E VAR=x cat notes",
+    "echo aaaaaaaaaabbbbbbbbbbccccccccccddddddddddeeeeeeeeee {E}", "trap 'cleanup {U}' EXIT", "PROMPT_COMMAND=tick",
+    "precmd_functions+=({E})", "preexec_functions+=({E})", "history -a", "command loom {E}", "__loom_hook {U}",
+    "eval \"$(loom shell-hook bash)\"", "  ", "mv a_{E} b_{E}", "terraform plan", "./run.sh {E}", "time make -j{U}",
+    "ls", "kubectl get pods -n {E}", "ssh -i ~/.ssh/id_{E} host{U}", "python -c 'print({U})'", "tail -f /var/log/{E}.log",
 ]
 # Tool output routes: (command, args, head, tail). The body is the document, one word per line.
 TOOL_ROUTES = [
@@ -110,6 +123,8 @@ def shell_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         secs=((event_id * 37) % 97 * 600).cast("decimal(18,6)")
     )
     code = F.when(event_id % 3 == 0, 1).otherwise(0)
+    command = _pick(event_id % len(EVENT_COMMANDS), EVENT_COMMANDS)
+    command = F.replace(F.replace(command, F.lit("{U}"), F.col("user_id").cast("string")), F.lit("{E}"), F.col("event_type"))
 
     def row(seq: Column, ts: Column, kind: str, is_start: bool) -> Column:
         none = F.lit(None).cast("string")
@@ -120,7 +135,7 @@ def shell_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("bash").alias("shell"),
             pid.alias("pid"),
             (F.concat(F.lit("/w/"), "event_type") if is_start else none).alias("cwd"),
-            (_pick(event_id % 8, EVENT_COMMANDS) if is_start else none).alias("command"),
+            (command if is_start else none).alias("command"),
             (F.lit(None).cast("int") if is_start else code).alias("exit_code"),
         )
 

@@ -53,3 +53,17 @@ def test_log_share(column):
     two_of_seven = "\n".join(["INFO a", "INFO b"] + ["x"] * 5)
     two_of_nine = "\n".join(["INFO a", "INFO b"] + ["x"] * 7)
     assert column(c.looks_like_log, [two_of_seven, two_of_nine, "INFO a"]) == [True, False, False]
+
+
+def test_derived_commands_exercise_every_rule():
+    import re
+
+    from promptloom.functions import rules
+    from promptloom.sources.derived import EVENT_COMMANDS
+
+    filled = [x.replace("{U}", "7").replace("{E}", "click") for x in EVENT_COMMANDS]
+    for pattern in [*rules.DANGEROUS_PATTERNS, rules.DESTRUCTIVE_SQL, rules.MODERATE_RISK]:
+        assert any(re.search(pattern, x, re.IGNORECASE) for x in filled), pattern
+    for head in [*rules.HOOK_NOISE, "loom ", "command loom ", "__loom_", 'eval "$(loom shell-hook']:
+        assert any(x.startswith(head) for x in filled), head
+    assert any(len(x.split()) > 8 for x in filled) and any(len(w) > 40 for x in filled for w in x.split())
