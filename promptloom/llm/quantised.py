@@ -67,10 +67,9 @@ def _links(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["part", "first", "second"], rows=1 << 12):
             part, first, second, side, rep, copies = (table.column(c).to_numpy() for c in ("part", "first", "second", "side", "rep", "copies"))
-            vectors = matrix(table.column("vector").combine_chunks()) if len({len(v) for v in table.column("vector").to_pylist()}) == 1 else None
-            lists = table.column("vector").combine_chunks() if vectors is None else None
+            vectors = table.column("vector").combine_chunks()
             for rows in np.split(np.arange(len(rep)), run_starts(part, first, second)[1:]):
-                x = matrix(lists.take(pa.array(rows))) if vectors is None else vectors[rows]
+                x = matrix(vectors.slice(rows[0], len(rows)))  # one length in a group
                 one = side[rows[0]] == 2
                 a, b = (np.arange(len(rows)),) * 2 if one else (np.flatnonzero(side[rows] == 0), np.flatnonzero(side[rows] == 1))
                 if not len(a) or not len(b):
