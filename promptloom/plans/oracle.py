@@ -531,6 +531,23 @@ ORACLE["u1_merge_rules"] = query(
 )
 over("u2_line_picks", "tool_texts", "output_id",
      picks=s.compress_log("text"))
+_EXTRA = [q("Fix this."), q("Debug /tmp/app/main.py ValueError: bad config")]
+_extra_wins = " ".join(
+    f"WHEN k_{i} < n_in AND {s.percent('n_in', f'k_{i}')} - r_{i} >= 3.0 THEN {i}" for i in (1, 2)
+)
+ORACLE["u3_candidates"] = query(
+    "prompts",
+    f"""SELECT prompt_id, was_optimized OR picked > 0 AS was_optimized, CASE WHEN was_optimized THEN optimized_text
+    WHEN picked > 0 THEN [{", ".join(_EXTRA)}][picked] ELSE text END AS optimized_text
+    FROM (SELECT *, CASE WHEN was_optimized OR NOT c_go THEN 0 {_extra_wins} ELSE 0 END AS picked FROM scored_extra)""",
+    CLASSED,
+    s.optimize_ctes("classed", "moderate", "o", "first", 3.0),
+    "scored_extra AS MATERIALIZED (SELECT *, "
+    + ", ".join(
+        f"{s.tokens(e)} AS k_{i}, {s.penalty('text', e, 'moderate')} AS r_{i}" for i, e in enumerate(_EXTRA, 1)
+    )
+    + " FROM o)",
+)
 ORACLE["u4_retain"] = query(
     "observed",
     f"""SELECT event_id, {stamp('created_at')} AS created_at FROM logged
