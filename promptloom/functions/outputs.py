@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import rules
 from promptloom.functions.regex import any_of, contains_any, found, let, sub
+from promptloom.functions.rules import OutputLimits
 from promptloom.functions.text import first_where, lines, rstrip, strip, take, take_last
 
+LIMITS = OutputLimits()
+
 
 def _starts(col: Column, heads: list[str]) -> Column:
     return any_of([col.startswith(h) for h in heads])
@@ -26,24 +29,34 @@ def _last(rows: Column) -> Column:
     return F.element_at(rows, -1)
 
 
-def _labelled(label: str, items: Column, n: int) -> Column:
+def _labelled(label: str, items: Column, n: int | None) -> Column:
     """``label: a, b`` or null when there is no item."""
     return F.when(
-        F.size(items) > 0, F.concat(F.lit(f"{label}: "), F.array_join(take(items, n), ", "))
+        F.size(items) > 0, F.concat(F.lit(f"{label}: "), F.array_join(_first(items, n), ", "))
     )
 
 
-def _cap(text: Column, rows: Column, n: int, tail: str = " total lines]") -> Column:
+def _first(rows: Column, n: int | None) -> Column:
+    return rows if n is None else take(rows, n)
+
+
+def _fits(rows: Column, n: int | None) -> Column:
+    return F.lit(True) if n is None else F.size(rows) <= n
+
+
+def _cap(text: Column, rows: Column, n: int | None, tail: str = " total lines]") -> Column:
     """Text of at most ``n`` lines passes; longer text keeps the first ``n`` and a count."""
+    if n is None:
+        return text
     capped = F.concat(_join(take(rows, n)), _note(rows, "\n[", tail))
     return F.when(F.size(rows) <= n, text).otherwise(capped)
 
 
-def cap_lines(text: Column, n: int, tail: str = " total lines]") -> Column:
+def cap_lines(text: Column, n: int | None, tail: str = " total lines]") -> Column:
     return let(lines(strip(text)), lambda rows: _cap(text, rows, n, tail))
 
 
-def git_status(text: Column, rows: Column) -> Column:
+def git_status(text: Column, rows: Column, limits: OutputLimits = LIMITS) -> Column:
     staged_heads = ["new file:", "modified:", "deleted:", "renamed:"]
     noise = ["#", "On branch", "Your branch", "Changes", "Untracked", "  (use"]
 
@@ -68,9 +81,9 @@ def git_status(text: Column, rows: Column) -> Column:
         report = F.concat_ws(
             "\n",
             strip(branch),
-            _labelled("staged", texts(staged), 10),
-            _labelled("modified", texts(F.filter(rest, lambda r: ~r["unknown"])), 10),
-            _labelled("untracked", untracked, 10),
+            _labelled("staged", texts(staged), limits.status_names),
+            _labelled("modified", texts(F.filter(rest, lambda r: ~r["unknown"])), limits.status_names),
+            _labelled("untracked", untracked, limits.status_names),
         )
         return let(
             report,
@@ -110,19 +123,19 @@ def git_log(text: Column, rows: Column) -> Column:
     )
 
 
-def git_diff(text: Column, rows: Column) -> Column:
+def git_diff(text: Column, rows: Column, limits: OutputLimits = LIMITS) -> Column:
     kept = F.filter(rows, lambda r: _starts(r, ["diff --", "---", "+++", "@@", "+", "-"]))
     report = let(
         kept,
         lambda k: F.when(
-            F.size(k) > 80,
-            F.concat(_join(take(k, 80)), _note(rows, "\n[diff truncated, ", " total lines]")),
+            ~_fits(k, limits.diff_lines),
+            F.concat(_join(_first(k, limits.diff_lines)), _note(rows, "\n[diff truncated, ", " total lines]")),
         ).otherwise(_join(k)),
     )
-    return F.when(F.size(rows) <= 50, text).otherwise(report)
+    return F.when(_fits(rows, limits.diff_passes), text).otherwise(report)
 
 
-def git_action(verb: Column, text: Column, rows: Column, exit_code: Column) -> Column:
+def git_action(verb: Column, text: Column, rows: Column, exit_code: Column, limits: OutputLimits = LIMITS) -> Column:
     arrow = first_where(rows, lambda r: r.contains("->"))
     target = F.regexp_extract(strip(arrow), r"(?dU)(\S+)\z", 1)
     sha = F.regexp_extract(F.get(rows, F.lit(0)), "[0-9a-f]{7,}", 0)
@@ -134,10 +147,10 @@ def git_action(verb: Column, text: Column, rows: Column, exit_code: Column) -> C
         )
         .otherwise(F.lit("ok"))
     )
-    return F.when(exit_code == 0, done).otherwise(_cap(text, rows, 30))
+    return F.when(exit_code == 0, done).otherwise(_cap(text, rows, limits.action_lines))
 
 
-def suite_run(text: Column, rows: Column, exit_code: Column) -> Column:
+def suite_run(text: Column, rows: Column, exit_code: Column, limits: OutputLimits = LIMITS) -> Column:
     def passed() -> Column:
         summary = F.filter(take_last(rows, 10), lambda r: found(r, r"pass|ok|success|\d+ test", "i"))
         return let(
@@ -159,15 +172,15 @@ def suite_run(text: Column, rows: Column, exit_code: Column) -> Column:
         )
         return let(
             failures,
-            lambda f: F.when(F.size(f) > 0, _join(F.concat(take(f, 30), tail))).otherwise(
-                _cap(text, rows, 40)
+            lambda f: F.when(F.size(f) > 0, _join(F.concat(_first(f, limits.test_failures), tail))).otherwise(
+                _cap(text, rows, limits.test_lines)
             ),
         )
 
     return F.when(exit_code == 0, passed()).otherwise(failed())
 
 
-def collapse_output_lines(text: Column, rows: Column, max_lines: int) -> Column:
+def collapse_output_lines(text: Column, rows: Column, max_lines: int | None) -> Column:
     """Long output: adjacent equal lines once with a count, then a cap on the line number."""
 
     def runs(bare: Column) -> Column:
@@ -191,60 +204,64 @@ def collapse_output_lines(text: Column, rows: Column, max_lines: int) -> Column:
         return let(
             kept,
             lambda k: F.when(
-                F.size(k) > max_lines,
-                F.concat(_join(take(k, max_lines)), _note(rows, "\n[", " total lines]")),
+                ~_fits(k, max_lines),
+                F.concat(_join(_first(k, max_lines)), _note(rows, "\n[", " total lines]")),
             ).otherwise(_join(k)),
         )
 
-    return F.when(F.size(rows) <= max_lines, text).otherwise(
+    return F.when(_fits(rows, max_lines), text).otherwise(
         let(F.transform(rows, strip), runs)
     )
 
 
-def docker(sub_command: Column, text: Column, rows: Column) -> Column:
+def docker(sub_command: Column, text: Column, rows: Column, limits: OutputLimits = LIMITS) -> Column:
     table = F.concat(
         take(rows, 1),
-        take(F.transform(F.slice(rows, 2, F.size(rows)), lambda r: sub(r, r"\s{2,}", "  ")), 20),
+        _first(F.transform(F.slice(rows, 2, F.size(rows)), lambda r: sub(r, r"\s{2,}", "  ")), limits.container_rows),
     )
     return (
         F.when(
             sub_command == "ps", F.when(F.size(rows) == 0, text).otherwise(_join(table))
         )
-        .when(sub_command.isin("logs", "compose"), collapse_output_lines(text, rows, 40))
-        .otherwise(_cap(text, rows, 40))
+        .when(sub_command.isin("logs", "compose"), collapse_output_lines(text, rows, limits.container_lines))
+        .otherwise(_cap(text, rows, limits.container_lines))
     )
 
 
-def file_read(text: Column, rows: Column) -> Column:
+def file_read(text: Column, rows: Column, limits: OutputLimits = LIMITS) -> Column:
+    if limits.file_passes is None:
+        return text
     report = F.concat(
-        _join(take(rows, 40)),
+        _join(take(rows, limits.file_head)),
         _note(rows, "\n...\n[", " total lines]\n"),
-        _join(take_last(rows, 10)),
+        _join(take_last(rows, limits.file_tail)),
     )
-    return F.when(F.size(rows) <= 80, text).otherwise(report)
+    return F.when(_fits(rows, limits.file_passes), text).otherwise(report)
 
 
-def build_run(text: Column, rows: Column, exit_code: Column) -> Column:
+def build_run(text: Column, rows: Column, exit_code: Column, limits: OutputLimits = LIMITS) -> Column:
     errors = F.filter(rows, lambda r: contains_any(r, ["error", "Error", "ERROR"]))
     failed = let(
         errors,
-        lambda e: F.when(F.size(e) > 0, _join(take(e, 20))).otherwise(_cap(text, rows, 30)),
+        lambda e: F.when(F.size(e) > 0, _join(_first(e, limits.build_errors))).otherwise(_cap(text, rows, limits.build_lines)),
     )
     passed = F.when(F.size(rows) > 0, _last(rows)).otherwise(F.lit("ok"))
     return F.when(exit_code == 0, passed).otherwise(failed)
 
 
-def lint_run(text: Column, rows: Column) -> Column:
+def lint_run(text: Column, rows: Column, limits: OutputLimits = LIMITS) -> Column:
     issues = F.filter(rows, lambda r: contains_any(r, ["error", "warn", "Error", "Warning"]))
     summary = F.filter(take_last(rows, 5), lambda r: found(r, r"\d"))
-    return F.when(F.size(rows) <= 30, text).otherwise(_join(F.concat(take(issues, 30), summary)))
+    return F.when(_fits(rows, limits.lint_issues), text).otherwise(_join(F.concat(_first(issues, limits.lint_issues), summary)))
 
 
-def cloud_response(text: Column) -> Column:
+def cloud_response(text: Column, limits: OutputLimits = LIMITS) -> Column:
+    if limits.cloud_chars is None:
+        return text
     return F.when(
-        F.length(text) > 2000,
+        F.length(text) > limits.cloud_chars,
         F.concat(
-            F.substring(text, 1, 2000),
+            F.substring(text, 1, limits.cloud_chars),
             F.lit("\n[truncated, "),
             F.length(text).cast("string"),
             F.lit(" bytes total]"),
@@ -252,13 +269,13 @@ def cloud_response(text: Column) -> Column:
     ).otherwise(text)
 
 
-def download(rows: Column) -> Column:
+def download(rows: Column, limits: OutputLimits = LIMITS) -> Column:
     kept = F.filter(rows, lambda r: ~found(r, r"\A(?:\s*\d+%|#|=+>)"))
-    return let(_join(kept), lambda t: cap_lines(t, 50))
+    return let(_join(kept), lambda t: cap_lines(t, limits.download_lines))
 
 
-def generic(text: Column, rows: Column) -> Column:
-    return let(collapse_output_lines(text, rows, 60), lambda t: cap_lines(t, 60))
+def generic(text: Column, rows: Column, limits: OutputLimits = LIMITS) -> Column:
+    return let(collapse_output_lines(text, rows, limits.generic_lines), lambda t: cap_lines(t, limits.generic_lines))
 
 
 def route(command: Column, args: Column) -> Column:
@@ -295,38 +312,39 @@ def route(command: Column, args: Column) -> Column:
     )
 
 
-def condensed(kind: Column, args: Column, output: Column, exit_code: Column) -> Column:
-    """The condensed output. Only the branch of a row's route is evaluated."""
+def condensed(kind: Column, args: Column, output: Column, exit_code: Column, limits: OutputLimits = LIMITS) -> Column:
+    """The condensed output, within ``limits``. Only the branch of a row's route is evaluated."""
     first = F.coalesce(F.get(args, F.lit(0)), F.lit(""))
 
     def by_route(rows: Column) -> Column:
         return (
-            F.when(kind == "git_status", git_status(output, rows))
+            F.when(kind == "git_status", git_status(output, rows, limits))
             .when(kind == "git_log", git_log(output, rows))
-            .when(kind == "git_diff", git_diff(output, rows))
-            .when(kind == "git_action", git_action(first, output, rows, exit_code))
-            .when(kind == "test", suite_run(output, rows, exit_code))
-            .when(kind == "docker", docker(first, output, rows))
-            .when(kind == "kubectl", _cap(output, rows, 30))
-            .when(kind == "listing", _cap(output, rows, 30, " total entries]"))
-            .when(kind == "file_read", file_read(output, rows))
-            .when(kind == "matches", _cap(output, rows, 30, " matches total]"))
-            .when(kind == "build", build_run(output, rows, exit_code))
-            .when(kind == "lint", lint_run(output, rows))
-            .when(kind == "download", download(rows))
-            .otherwise(generic(output, rows))
+            .when(kind == "git_diff", git_diff(output, rows, limits))
+            .when(kind == "git_action", git_action(first, output, rows, exit_code, limits))
+            .when(kind == "test", suite_run(output, rows, exit_code, limits))
+            .when(kind == "docker", docker(first, output, rows, limits))
+            .when(kind == "kubectl", _cap(output, rows, limits.list_lines))
+            .when(kind == "listing", _cap(output, rows, limits.list_lines, " total entries]"))
+            .when(kind == "file_read", file_read(output, rows, limits))
+            .when(kind == "matches", _cap(output, rows, limits.list_lines, " matches total]"))
+            .when(kind == "build", build_run(output, rows, exit_code, limits))
+            .when(kind == "lint", lint_run(output, rows, limits))
+            .when(kind == "download", download(rows, limits))
+            .otherwise(generic(output, rows, limits))
         )
 
     return (
-        F.when(F.length(output) < rules.OUTPUT_MIN_CHARS, output)
-        .when(kind == "cloud", cloud_response(output))
+        F.when(F.length(output) < limits.passes_chars, output)
+        .when(kind == "cloud", cloud_response(output, limits))
         .otherwise(let(lines(strip(output)), by_route))
     )
 
 
-def archive_text(output: Column) -> Column:
-    """Output as archived: cut at the size limit with a marker."""
-    limit = rules.ARCHIVE_MAX_CHARS
+def archive_text(output: Column, limit: int | None = rules.ARCHIVE_MAX_CHARS) -> Column:
+    """Output as archived: cut at the size limit with a marker; whole without a limit."""
+    if limit is None:
+        return output
     return F.when(
         F.length(output) > limit,
         F.concat(F.substring(output, 1, limit), F.lit(f"\n[truncated at {limit} bytes]")),

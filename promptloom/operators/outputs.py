@@ -11,14 +11,15 @@ from promptloom.functions.staging import built_once, evaluate_here
 from promptloom.functions.text import line_count
 
 
-def condense(df: DataFrame) -> DataFrame:
+def condense(df: DataFrame, limits: rules.OutputLimits = o.LIMITS) -> DataFrame:
     """Add ``route`` and ``condensed`` to a table of tool outputs (column ``output``)."""
     routed = df.withColumn("route", o.route(F.col("command_name"), F.col("args")))
     expression = built_once(
         "condense",
         lambda: evaluate_here(
-            o.condensed(F.col("route"), F.col("args"), F.col("output"), F.col("exit_code"))
+            o.condensed(F.col("route"), F.col("args"), F.col("output"), F.col("exit_code"), limits)
         ),
+        limits,
     )
     return routed.withColumn("condensed", expression)
 

@@ -127,3 +127,14 @@ def test_savings_and_archive(spark):
     assert {r.output_id for r in archive_failures(timed, max_files=1).collect()} == {5}
     assert {r.output_id for r in archive_failures(timed, mode="always").collect()} == {1, 2, 3, 5}
     assert archive_failures(timed, mode="never").count() == 0
+
+
+def test_limits_are_options(spark):
+    from promptloom.functions.rules import OutputLimits
+    from promptloom.operators.outputs import condense
+
+    text = "\n".join(f"row {i}" for i in range(200))
+    frame = spark.createDataFrame([("ls", [], text, 0)], "command_name string, args array<string>, output string, exit_code int")
+    assert condense(frame).first().condensed.endswith("[200 total entries]")
+    assert condense(frame, OutputLimits(list_lines=None)).first().condensed == text
+    assert condense(frame, OutputLimits(list_lines=3)).first().condensed.count("\n") == 3
