@@ -97,6 +97,7 @@ class Index:
 
     def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, ids, labels, places, counts, k: int):
         self.vocabulary, self.known, self.idf, self.k = vocabulary, frozenset(vocabulary), idf, k
+        self.memory: dict = {}  # of this index only: a worker outlives a job and scores by several
         self.prior = (sum(labels) + 0.5) / (len(labels) + 1)
         vectors = [self.weights(p, c) for p, c in zip(places, counts, strict=True)]
         plain = [y for y, (p, _) in zip(labels, vectors, strict=True) if not len(p)]
@@ -153,7 +154,8 @@ class Index:
         self.memory[key] = out = (min(1.0, max(0.0, vote)), self.ids[rows].tolist(), cosines.tolist())
         return out
 
-    memory: dict = {}
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "memory": {}}
 
 
 def training_rows(labels: DataFrame, label: str, sample_rows: int) -> DataFrame:

@@ -378,6 +378,17 @@ def test_toxicity(spark, nothing):
     assert {r.toxicity.predicted for r in toxicity.score(documents, toxicity.fit(documents, empty)).collect()} <= {0, 1}
 
 
+def test_toxicity_of_two_label_sets_in_one_session(spark):
+    """Single terms have the weights [1.0] in every index; workers stay between jobs."""
+    documents, labels = toxic_corpus(spark)
+    indexes = [toxicity.fit(documents, labels), toxicity.fit(documents, labels.selectExpr("doc_id", "1 - toxic AS toxic"))]
+    got = [{r.doc_id: r.toxicity for r in toxicity.score(documents.repartition(16), index).collect()} for index in indexes]
+    for index, scores in zip(indexes, got, strict=True):
+        own = index.score(b"Oh, VILEHEAD")
+        assert (scores[9002].score, scores[9002].neighbours) == own[:2]
+    assert got[0][9002].predicted == got[0][None].predicted == 1 and got[1][9002].predicted == got[1][None].predicted == 0
+
+
 def test_block_max_neighbours_are_exact():
     rng = random.Random(4)
     vocabulary = {str(i).encode(): i for i in range(40)}
