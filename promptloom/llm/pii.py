@@ -130,25 +130,32 @@ def bootstrap(seen: DataFrame, rounds: int = 3, support: int = 3, confidence: fl
     where unknown.
 
     In each round a pattern's score for a kind is the belief in its distinct instances' being of that kind over one more
-    than their number, if at least `support` seeds of the kind stand in it; an unknown instance is believed as far as
-    its patterns' scores leave no doubt, 1 - product(1 - score). Unknown instances start at 0, seeds stay at 1. What
-    ends at `confidence` or more is found, for its likeliest kind. Two aggregations and two joins a round over distinct
-    pattern-instance pairs; a pattern or token that many rows hold is one pair before anything is joined.
+    than their number, if at least `support` seeds or instances believed at `confidence` or more in the round before
+    stand in it; an unknown instance is believed as far as its patterns' scores leave no doubt, 1 - product(1 - score).
+    So what a round finds makes further patterns count in the next, those without any seed included. Unknown instances
+    start at 0, seeds stay at 1. What ends at `confidence` or more is found, for its likeliest kind. Two aggregations and
+    three joins a round over distinct pattern-instance pairs; a pattern or token that many rows hold is one pair before
+    anything is joined.
     """
     edges = settled(seen.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    sizes = settled(seeds.where(F.col("seeds") >= support).join(sizes, "pattern"))  # the only patterns that can score
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"), F.count("kind").alias("known"))
+    # the others never reach `support`, or hold nothing to find
+    sizes = sizes.where((F.col("size") >= support) & (F.col("known") < F.col("size"))).drop("known")
     open_edges = settled(edges.where("kind IS NULL").select("pattern", "instance").join(sizes, "pattern"))
+    seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+    seeds = settled(seeds.join(sizes.select("pattern"), "pattern", "left_semi"))
     belief = None
     for _ in range(rounds):
-        score = F.col("seeds") / (F.col("size") + 1)
         if belief is None:
-            scored = open_edges.withColumn("score", score)
+            patterns = seeds.select("pattern", "kind", F.col("seeds").alias("sure"), F.col("seeds").cast("double").alias("sum"))
         else:
-            more = open_edges.join(belief, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("more"))
-            score = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("size") + 1)
-            scored = open_edges.join(more, ["pattern", "kind"], "left").withColumn("score", score)
+            sure = F.sum((F.col("belief") >= confidence).cast("long"))
+            more = open_edges.join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("more"), sure.alias("found"))
+            held = F.coalesce("seeds", F.lit(0))
+            patterns = seeds.join(more, ["pattern", "kind"], "full").select(
+                "pattern", "kind", (held + F.coalesce("found", F.lit(0))).alias("sure"), (held + F.coalesce("more", F.lit(0.0))).alias("sum")
+            )
+        scored = open_edges.join(patterns.where(F.col("sure") >= support), "pattern").withColumn("score", F.col("sum") / (F.col("size") + 1))
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
         belief = settled(scored.groupBy("instance", "kind").agg((1 - doubt).alias("belief")))
     best = belief.where(F.col("belief") >= confidence).groupBy("instance").agg(F.max(F.struct("belief", (-F.col("kind")).alias("first"))).alias("best"))

@@ -455,3 +455,13 @@ def test_pii_discovers_by_context(spark):
     rows += [(100, "then charged card XK-99-1234-77 was billed"), (101, "see XK-99-1234-77 there"), (102, "room 12-4567-89 is free")]
     got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] == "card:18:31" and got[101] == "card:4:17" and got[102] == ""
+
+
+def test_pii_discovers_by_contexts_of_what_it_found(spark):
+    """No seed stands behind the second phrase: only what the first one gave away."""
+    cards = [next(c for c in (f"40000000000{i:02d}00{d}" for d in range(10)) if pii.luhn(c)) for i in range(12)]
+    first = [f"XK-{i}9-1234-77" for i in range(4)]
+    rows = [(i, f"words before charged card {c} was billed") for i, c in enumerate([*cards, *first])]
+    rows += [(100 + i, f"sums paid from {t} today") for i, t in enumerate([*first, "QQ-55-4321"])] + [(200, "room 12-4567-89 is free")]
+    got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "card:15:28" and got[104] == "card:15:25" and got[200] == ""
