@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import hilbert, langid, line_dedup, mixing, packing, phrases, pii, quantised, simhash, toxicity
+from promptloom.llm import collocations, hilbert, langid, line_dedup, mixing, negatives, packing, phrases, pii, quantised, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +62,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), *columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert, op2_packing, op3_pii, op4_line_dedup, op5_quantised, op6_phrases, op7_simhash, op8_mixing, op9_langid, op10_toxicity)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings")
+    # every seventh row is given a wrong label; decimals, as the largest long plus one is no long
+    wrong = ((F.col("label").cast("decimal(20,0)") + 1) % 10).cast("long")
+    labels = F.when(F.col("vec_id") % 7 == 0, wrong).otherwise(F.col("label").cast("long"))
+    return negatives.mine(embeddings.select("vec_id", labels.alias("label"), "embedding"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hilbert, op2_packing, op3_pii, op4_line_dedup, op5_quantised, op6_phrases, op7_simhash, op8_mixing, op9_langid, op10_toxicity,
+        op11_collocations, op12_secrets, op13_negatives,
+    )
+}

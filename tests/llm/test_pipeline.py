@@ -33,7 +33,7 @@ def test_query_matches_sql(spark, name):
 
 def test_entry_registers_all():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 @pytest.fixture(scope="module")
