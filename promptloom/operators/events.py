@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions import rules
-from promptloom.functions.regex import any_of, found, sub
+from promptloom.functions.regex import any_of, found, java, sub
 from promptloom.functions.staging import built_once
 from promptloom.functions.text import (
     clip,
@@ -18,6 +18,7 @@ from promptloom.functions.text import (
     strip,
     text_hash,
 )
+from promptloom.operators.chunks import join_null_safe, with_chunks
 from promptloom.operators.optimize import with_classification
 
 
@@ -40,30 +41,62 @@ def without_prefix(command: Column) -> Column:
     return sub(strip(command), rules.COMMAND_PREFIX, "")
 
 
-def _compiles(pattern: str) -> bool:
-    """Whether the engine that will run the pattern takes it."""
+def _compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it. Asked of the driver's JVM: no job."""
     try:
-        SparkSession.active().sql("SELECT '' AS x").select(found(F.col("x"), pattern)).collect()
-    except (PySparkException, Py4JJavaError):
+        spark._jvm.java.util.regex.Pattern.compile(java(pattern))
+    except (IllegalArgumentException, Py4JJavaError):
         return False
     return True
 
 
-def matches_rule(bare: Column, pattern: str) -> Column:
-    """``^...`` is a regex (a broken one falls back to a prefix test), else a command prefix."""
-    if pattern.startswith("^"):
-        return found(bare, pattern) if _compiles(pattern) else bare.startswith(pattern.lstrip("^"))
-    return (bare == pattern) | bare.startswith(pattern + " ")
+def _searched(spark: SparkSession, bare: Column, patterns: list[str]) -> Column:
+    """Whether one of the ``^...`` rules finds something; a broken one falls back to a prefix test."""
+    return any_of([found(bare, p) if _compiles(spark, p) else bare.startswith(p.lstrip("^")) for p in patterns])
 
 
-def exclude_commands(df: DataFrame, patterns: list[str], command: str = "command") -> DataFrame:
-    """Drop rows whose command an exclusion rule names. Rules are job options: they compile into
-    one predicate, so no join is needed."""
-    if not patterns:
-        return df
-    with_bare = df.withColumn("_bare", without_prefix(F.col(command)))
-    excluded = any_of([matches_rule(F.col("_bare"), p) for p in patterns])
-    return with_bare.where(~F.coalesce(excluded, F.lit(False))).drop("_bare")
+def _leading_runs(bare: Column, longest: Column) -> Column:
+    """The text itself and every part of it that ends before a blank, up to a length: all that a prefix rule can name."""
+    words = F.split(bare, " ", -1)
+    lengths = F.transform(words, F.length)
+    ends = F.aggregate(
+        lengths, F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("ends")),
+        lambda s, n: F.struct(
+            (s["end"] + 1 + n).alias("end"),
+            F.when(s["end"] + 1 + n <= longest, F.array_append(s["ends"], s["end"] + 1 + n)).otherwise(s["ends"]).alias("ends"),
+        ),
+        lambda s: s["ends"],
+    )
+    return F.transform(ends, lambda n: F.substring(bare, F.lit(1), n))
+
+
+def exclude_commands(df: DataFrame, rules_table: DataFrame, command: str = "command", searched_at_once: int = 100) -> DataFrame:
+    """Drop rows whose command a rule names; ``rules_table`` has a column ``pattern``.
+
+    A rule that does not begin with ``^`` names the commands that equal it or go on with a blank behind it. Any number
+    of these is one equi-join: the leading runs of words of each distinct command meet the rules. Rules that begin with
+    ``^`` are searched for as regular expressions, ``searched_at_once`` of them in one pass over the distinct commands
+    that no rule before has named; they are the only ones that come to the driver, a pass at a time. Commands without
+    text match no rule. A command that many rows hold is looked at once; rows are then anti-joined by command, which
+    skew-join handling can split.
+    """
+    spark = df.sparkSession
+    patterns = rules_table.select("pattern").where("pattern IS NOT NULL").distinct()
+    regexes = patterns.where(F.col("pattern").startswith("^"))
+    prefixes = patterns.where(~F.col("pattern").startswith("^"))
+    named = df.withColumn("_bare", without_prefix(F.col(command)))
+    longest = prefixes.agg(F.coalesce(F.max(F.length("pattern")), F.lit(-1))).first()[0]
+    commands = named.select("_bare").where("_bare IS NOT NULL").distinct()
+    runs = commands.select("_bare", F.explode(_leading_runs(F.col("_bare"), F.lit(longest))).alias("pattern"))
+    hits = runs.join(prefixes, "pattern", "left_semi").select("_bare")
+    some: list[str] = []
+    for row in regexes.orderBy("pattern").toLocalIterator():
+        some.append(row["pattern"])
+        if len(some) == searched_at_once:
+            hits, some = hits.unionByName(commands.where(_searched(spark, F.col("_bare"), some))), []
+    if some:
+        hits = hits.unionByName(commands.where(_searched(spark, F.col("_bare"), some)))
+    return named.join(hits.distinct(), "_bare", "left_anti").select(*df.columns)
 
 
 def merge_rules(global_rules: DataFrame, project_rules: DataFrame) -> DataFrame:
@@ -102,27 +135,6 @@ def _stored_columns() -> list[Column]:
     ]
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join that pairs null keys with null keys; the columns of ``left`` and what ``right`` adds."""
-    renamed = right.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in right.columns])
-    same = F.lit(True)
-    for c in on:
-        same = same & left[c].eqNullSafe(renamed[f"__{c}"])
-    return left.join(renamed, same).drop(*[f"__{c}" for c in on])
-
-
-def _with_chunks(rows: DataFrame, key: list[str], seconds: int, most: int) -> DataFrame:
-    """Rows with ``_chunk``, in time order: an interval of ``seconds``, cut finer where it holds more than ``most``
-    rows of one key. Counts combine before the shuffle and are one row per key and interval in the join."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    length = F.lit(seconds * 1_000_000)
-    placed = rows.withColumns({"_span": F.floor(micros / length), "_within": F.pmod(micros, length)})
-    parts = placed.groupBy(*key, "_span").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
-    sized = _join_null_safe(placed, parts, [*key, "_span"])
-    part = F.floor(F.col("_within") / length * F.col("_parts"))
-    return sized.withColumn("_chunk", F.struct(F.col("_span"), part.alias("_part"))).drop("_span", "_within", "_parts")
-
-
 def complete_events(events: DataFrame, chunk_seconds: int = 3600, chunk_rows: int = 100_000) -> DataFrame:
     """Close each start with the ``done`` that ends it: per (shell, pid), last open start first.
 
@@ -130,15 +142,15 @@ def complete_events(events: DataFrame, chunk_seconds: int = 3600, chunk_rows: in
     minimum M give every row a nesting level S - M; a done that lowers M has no open start and is
     dropped; at one level starts and dones alternate, so a start's end is the next row there.
 
-    One (shell, pid) may hold a large share of all rows, so no window runs over a whole pid. Rows
-    are cut into time chunks of about ``chunk_rows`` rows at most; chunk totals (few rows) carry sum and minimum from chunk to chunk;
-    pairs inside a chunk are found there, and only each chunk's leftovers - at most one start and
-    one done per level - are matched across chunks, level by level.
+    One (shell, pid) may hold a large share of all rows, so no window runs over a whole pid. Rows are cut into chunks in
+    time order of about ``chunk_rows`` rows at most, bursts included; chunk totals (few rows) carry sum and minimum from
+    chunk to chunk; pairs inside a chunk are found there, and only each chunk's leftovers - at most one start and one
+    done per level - are matched across chunks, level by level.
     """
     key = ["shell", "pid"]
     order = [F.col("ts"), F.col("event_seq")]
     rows = events.withColumn("_step", F.when(F.col("kind") == "start", 1).otherwise(-1))
-    rows = _with_chunks(rows, key, chunk_seconds, chunk_rows)
+    rows = with_chunks(rows, key, ("ts", "event_seq"), chunk_seconds, chunk_rows)
     in_chunk = Window.partitionBy(*key, "_chunk").orderBy(*order)
     upto = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
     before = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
@@ -164,7 +176,7 @@ def complete_events(events: DataFrame, chunk_seconds: int = 3600, chunk_rows: in
     low_before = F.least(F.col("_floor"), F.col("_offset") + F.col("_low_before"))
     is_start = F.col("kind") == "start"
     levelled = (
-        _join_null_safe(local, carried, [*key, "_chunk"])
+        join_null_safe(local, carried, [*key, "_chunk"])
         .withColumns(
             {
                 "_orphan": ~is_start & (low < low_before),
@@ -211,5 +223,5 @@ def audit(events: DataFrame, risk: str = "high", limit: int = 20) -> DataFrame:
 
 __all__ = [
     "audit", "complete_events", "exclude_commands", "is_observable", "log_events",
-    "matches_rule", "merge_rules", "observable_commands", "without_prefix",
+    "merge_rules", "observable_commands", "without_prefix",
 ]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptloom.functions import rules
 from promptloom.functions.clauses import overlap_udf
 from promptloom.functions.compress import dedupe_masked_clauses
+from promptloom.functions.regex import text_array
 from promptloom.functions.staging import evaluate_here
-from promptloom.functions.text import fences, protect_fences, restore_fences
+from promptloom.functions.text import fences, protect_fences, restore_fences, strip
 
 
 def dedupe_clauses(df: DataFrame, level: str, text: str = "text", into: str = "deduped"):
@@ -27,3 +29,47 @@ def overlapping_clauses(df: DataFrame, key: str, text: str, threshold: float) ->
     return df.select(key, found.alias("_found")).select(
         key, F.explode("_found").alias("r")
     ).select(key, "r.*")
+
+
+def _bag(sentence: Column) -> Column:
+    """The distinct keywords of a sentence."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(sentence), F.lit("[a-z]{3,}"), F.lit(0)))
+    return F.array_except(words, text_array(sorted(rules.STOPWORDS)))
+
+
+def clause_bags(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, first_pos, bag of every sentence with keywords: sentences of one text with the same keywords are one
+    class, named by its first place. Equal texts under one key are one text."""
+    parts = F.filter(F.transform(F.split(strip(F.col(text)), r"(?U)(?<=[.!?])\s+"), lambda s: strip(s)), lambda s: s != "")
+    rows = df.select(key, parts.alias("_parts")).select(key, F.posexplode("_parts").alias("pos", "_sentence"))
+    bags = rows.select(key, "pos", F.array_sort(_bag(F.col("_sentence"))).alias("bag")).where(F.size("bag") > 0)
+    hashed = bags.withColumns({"_h1": F.xxhash64("bag"), "_h2": F.xxhash64(F.lit(1), "bag")})
+    first = hashed.groupBy(key, "_h1", "_h2").agg(F.min("pos").alias("first_pos"))
+    return hashed.join(first, [key, "_h1", "_h2"]).select(key, "pos", "first_pos", "bag")
+
+
+def overlapping_pairs(bags: DataFrame, key: str, threshold: float) -> DataFrame:
+    """key, first_pos, second_pos, shared: the pairs of classes of one text (see :func:`clause_bags`) of which the
+    smaller shares at least ``threshold`` of its keywords with the larger; ``shared`` is their number.
+
+    Of the n keywords of the smaller class, in any fixed order, one of the first n - need + 1 must be shared, where need
+    is that part of n. With the keywords that are rare in the text first, a class looks up those few only, among all
+    keywords of the others. Rows are (text, keyword), so one long text spreads over all tasks, and a pair is compared
+    where it meets, once for each keyword that led to it.
+    """
+    classes = bags.where(F.col("pos") == F.col("first_pos")).select(key, F.col("pos").alias("at"), "bag")
+    words = classes.select(key, "at", F.size("bag").alias("n"), F.explode("bag").alias("word"))
+    often = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("often"))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
+    rare = Window.partitionBy(key, "at").orderBy("often", "word")
+    leading = words.join(often, [key, "word"]).withColumn("_rank", F.row_number().over(rare)).where(F.col("_rank") <= F.col("n") - need + 1)
+    small = leading.select(key, "word", F.col("at").alias("a"), F.col("n").alias("n_a"))
+    large = words.select(key, "word", F.col("at").alias("b"), F.col("n").alias("n_b"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    met = small.join(large, [key, "word"]).where(smaller).select(key, "a", "b").distinct()
+    left = classes.select(key, F.col("at").alias("a"), F.col("bag").alias("bag_a"))
+    right = classes.select(key, F.col("at").alias("b"), F.col("bag").alias("bag_b"))
+    shared = F.size(F.array_intersect("bag_a", "bag_b"))
+    compared = met.join(left, [key, "a"]).join(right, [key, "b"]).withColumns({"shared": shared, "_least": F.least(F.size("bag_a"), F.size("bag_b"))})
+    close = compared.where(F.col("shared") / F.col("_least") >= threshold)
+    return close.select(key, F.least("a", "b").alias("first_pos"), F.greatest("a", "b").alias("second_pos"), "shared")

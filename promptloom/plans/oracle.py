@@ -150,7 +150,7 @@ RATED = (
     f"""rated AS (SELECT f.feedback_id, f.rating, f.created_at,
         r.pattern_hash
         FROM feedback f JOIN runs r ON f.run_id = r.run_id)""",
-    """rated_patterns AS (SELECT r.feedback_id, r.rating, r.pattern_hash, p.pattern_type
+    """rated_patterns AS (SELECT r.feedback_id, r.rating, r.pattern_hash, p.pattern_type, r.created_at
         FROM rated r JOIN prompt_patterns p ON r.pattern_hash = p.pattern_hash
         AND p.first_seen_at <= r.created_at)""",
     """success AS (SELECT pattern_hash,
@@ -365,19 +365,15 @@ ORACLE["f8_observable_command"] = query("observed", "SELECT event_seq, command F
 _BARE = f"regexp_replace(trim(command), {q(rules.COMMAND_PREFIX)}, '')"
 
 
-def _not_excluded(patterns: list[str]) -> str:
-    tests = [
-        f"regexp_matches(bare, {q(p)})" if p.startswith("^")
-        else f"bare = {q(p)} OR starts_with(bare, {q(p + ' ')})"
-        for p in patterns
-    ]
-    return " AND ".join(f"NOT ({test})" for test in tests)
-
-
+_FIXED_RULES = ", ".join(f"({q(scope)}, {q(p)})" for scope, p in derived.EXCLUDE_RULES)
+_RULES = f"""rules AS (SELECT * FROM (VALUES {_FIXED_RULES}) x(scope, pattern)
+    UNION SELECT 'project', 'kubectl delete pod ' || event_type || '-' || user_id FROM events WHERE user_id % 7 = 0)"""
+_NAMED = """EXISTS (SELECT 1 FROM used WHERE CASE WHEN starts_with(pattern, '^') THEN regexp_matches(bare, pattern)
+    ELSE bare = pattern OR starts_with(bare, pattern || ' ') END)"""
 ORACLE["f9_exclude_commands"] = query(
     "shell_starts",
-    f"""SELECT event_seq, command FROM (SELECT *, {_BARE} AS bare FROM shell_starts)
-    WHERE {_not_excluded([p for _, p in derived.EXCLUDE_RULES])}""",
+    f"""SELECT event_seq, command FROM (SELECT *, {_BARE} AS bare FROM shell_starts) WHERE NOT {_NAMED}""",
+    _RULES, "used AS (SELECT DISTINCT pattern FROM rules)",
 )
 ORACLE["f10_should_optimize"] = query(
     "prompts", "SELECT prompt_id, c_type AS input_type FROM classed WHERE c_go", CLASSED
@@ -435,6 +431,18 @@ ORACLE["j4_with_history_bonus"] = query(
     FROM classed c LEFT JOIN bonuses b ON c.c_type = b.input_type""",
     *RATED,
 )
+ORACLE["j4_bonus_as_of"] = query(
+    "prompts feedback",
+    """SELECT c.prompt_id, c.c_type AS input_type, round(CASE WHEN coalesce(known, 0) = 0 THEN 0.0::DOUBLE
+      ELSE greatest(-15.0::DOUBLE, least(15.0::DOUBLE, coalesce(success, 0.0) / known)) END, 6) AS bonus
+    FROM classed c
+    LEFT JOIN (SELECT c.prompt_id, count(*) AS known FROM classed c JOIN prompt_patterns p
+      ON p.pattern_type = c.c_type AND p.first_seen_at < c.created_at GROUP BY ALL) k USING (prompt_id)
+    LEFT JOIN (SELECT c.prompt_id, sum(CASE WHEN rating = 'good' THEN 1.0::DOUBLE ELSE -2.0::DOUBLE END) AS success
+      FROM classed c JOIN rated_patterns r ON r.pattern_type = c.c_type AND r.created_at < c.created_at GROUP BY ALL) s
+      USING (prompt_id)""",
+    *RATED,
+)
 ORACLE["j5_clause_overlap"] = query(
     "texts",
     f"""SELECT b.id, (b.pos - 1)::INTEGER AS pos, (min(a.pos) - 1)::INTEGER AS first_pos,
@@ -448,8 +456,8 @@ ORACLE["j5_clause_overlap"] = query(
 )
 ORACLE["j6_exclude_global_rules"] = query(
     "shell_starts",
-    f"""SELECT event_seq, bare FROM (SELECT *, {_BARE} AS bare FROM shell_starts)
-    WHERE {_not_excluded([p for sc, p in derived.EXCLUDE_RULES if sc == 'global'] + ['sudo', '^cat '])}""",
+    f"""SELECT event_seq, bare FROM (SELECT *, {_BARE} AS bare FROM shell_starts) WHERE NOT {_NAMED}""",
+    _RULES, "used AS (SELECT pattern FROM rules WHERE scope = 'global' UNION VALUES ('sudo'), ('^cat '))",
 )
 
 # --- aggregates -------------------------------------------------------------------------------
@@ -606,3 +614,33 @@ ORACLE["st3_ingest"] = query(
 ORACLE["st4_retention_stream"] = query(
     "shell_events", "SELECT strftime(ts, '%Y-%m-%d') AS day, kind, count(*) AS events FROM shell_events GROUP BY ALL"
 )
+
+# --- the same results by other ways: loads, streams, stored tables -------------------------------
+ORACLE["a3_patterns_by_load"] = ORACLE["a3_prompt_patterns"]
+ORACLE["st2_running_prompt_patterns"] = ORACLE["a3_prompt_patterns"]
+ORACLE["a4_patterns_by_load"] = ORACLE["a4_command_patterns"]
+ORACLE["a5_success_by_load"] = ORACLE["a5_pattern_success"]
+ORACLE["s7_rotate_archive"] = ORACLE["s7_archive_failures"]
+ORACLE["j3_live"] = query("prompts feedback", "SELECT feedback_id, rating, pattern_hash FROM rated_patterns", *RATED)
+ORACLE["st4_retained_table"] = query(
+    "shell_events",
+    f"""SELECT event_seq, kind, {stamp('ts')} AS ts FROM shell_events
+    WHERE ts >= (SELECT max(ts) FROM shell_events) - INTERVAL 7 DAY""",
+)
+_SENTENCES = (
+    f"""sents AS (SELECT id, unnest(ss) AS sent, unnest(range(0, len(ss))) AS pos FROM
+        (SELECT id, {s.keep(s.sentences(s.strip('text')), lambda x: x + " <> ''")} AS ss FROM texts))""",
+    f"""bags AS (SELECT *, min(pos) OVER (PARTITION BY id, bag) AS first_pos
+        FROM (SELECT id, pos, list_sort({s.bag('sent')}) AS bag FROM sents) WHERE len(bag) > 0)""",
+    "classes AS MATERIALIZED (SELECT id, pos, bag FROM bags WHERE pos = first_pos)",
+)
+ORACLE["j5_clause_pairs"] = query(
+    "texts",
+    f"""SELECT a.id, a.pos::INTEGER AS first_pos, b.pos::INTEGER AS second_pos,
+    len(list_intersect(a.bag, b.bag))::INTEGER AS shared
+    FROM classes a JOIN classes b ON a.id = b.id AND a.pos < b.pos WHERE {s.overlap('a.bag', 'b.bag')} >= 0.85::DOUBLE""",
+    *_SENTENCES,
+)
+ORACLE["j5_clause_classes"] = query(
+    "texts", "SELECT id, pos::INTEGER AS pos, first_pos::INTEGER AS first_pos, len(bag)::INTEGER AS keywords FROM bags", *_SENTENCES
+)

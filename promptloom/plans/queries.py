@@ -214,6 +214,16 @@ def s7(spark, sf_dir):
     )
 
 
+@register("s7_rotate_archive")
+def s7_rotate(spark, sf_dir):
+    """The stored archive after three batches of outputs: the newest of all of them."""
+    path = f"{tables.work_dir(spark)}/archive"
+    for batch in range(3):
+        some = tool_outputs(spark, sf_dir).where(F.col("output_id") % 3 == batch)
+        tables.write_archive(spark, outputs.archive_failures(some), path, rules.ARCHIVE_MAX_FILES, batch)
+    return tables.read_archive(spark, path).select("output_id", stamp("ts").alias("ts"), "file_stem", "content")
+
+
 # --- projections ------------------------------------------------------------------------------
 
 over("p1_redact", texts, "id", redacted=lambda: t.redact(col()))
@@ -415,15 +425,19 @@ def f8(spark, sf_dir):
     return events.observable_commands(starts(spark, sf_dir)).select("event_seq", "command")
 
 
-def _rules(scope: str) -> list[str]:
-    return [pattern for s, pattern in derived.EXCLUDE_RULES if scope in (s, "all")]
+def _rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored global and project rules."""
+    path = f"{tables.work_dir(spark)}/rules"
+    derived.exclude_rules(spark, sf_dir).write.parquet(path)
+    stored_rules = tables.read_exclude_rules(spark, path)
+    return tuple(stored_rules.where(F.col("scope") == scope).select("pattern") for scope in ("global", "project"))
 
 
 @register("f9_exclude_commands")
 def f9(spark, sf_dir):
-    return events.exclude_commands(starts(spark, sf_dir), _rules("all")).select(
-        "event_seq", "command"
-    )
+    """Logging leaves out what the merged rules name."""
+    merged = events.merge_rules(*_rules(spark, sf_dir))
+    return events.exclude_commands(starts(spark, sf_dir), merged).select("event_seq", "command")
 
 
 @register("f10_should_optimize")
@@ -484,6 +498,13 @@ def j3(spark, sf_dir):
     )
 
 
+@register("j3_live")
+def j3_live(spark, sf_dir):
+    """The same out of two streams."""
+    rated = streams.rated_live(spark, feedback(spark, sf_dir), runs(spark, sf_dir))
+    return rated.select("feedback_id", "rating", "pattern_hash")
+
+
 @register("j4_with_history_bonus")
 def j4(spark, sf_dir):
     prompts = classed_prompts(spark, sf_dir)
@@ -492,14 +513,35 @@ def j4(spark, sf_dir):
     )
 
 
+@register("j4_bonus_as_of")
+def j4_as_of(spark, sf_dir):
+    """The bonus that each prompt met when it came."""
+    patterns, rated = rated_patterns(spark, sf_dir)
+    known = history.with_bonus_as_of(classed_prompts(spark, sf_dir), history.bonus_changes(patterns, rated))
+    return known.select("prompt_id", "input_type", F.round("bonus", 6).alias("bonus"))
+
+
 @register("j5_clause_overlap")
 def j5(spark, sf_dir):
     return intext.overlapping_clauses(texts(spark, sf_dir), "id", "text", 0.85)
 
 
+@register("j5_clause_pairs")
+def j5_pairs(spark, sf_dir):
+    """The pairs themselves, between classes of sentences with the same keywords."""
+    return intext.overlapping_pairs(stored(intext.clause_bags(texts(spark, sf_dir), "id", "text")), "id", 0.85)
+
+
+@register("j5_clause_classes")
+def j5_classes(spark, sf_dir):
+    """The class of each sentence, by its first place in the text."""
+    return intext.clause_bags(texts(spark, sf_dir), "id", "text").select("id", "pos", "first_pos", F.size("bag").alias("keywords"))
+
+
 @register("j6_exclude_global_rules")
 def j6(spark, sf_dir):
-    kept = events.exclude_commands(starts(spark, sf_dir), [*_rules("global"), "sudo", "^cat "])
+    own = spark.createDataFrame([("sudo",), ("^cat ",)], "pattern string")
+    kept = events.exclude_commands(starts(spark, sf_dir), events.merge_rules(_rules(spark, sf_dir)[0], own))
     return kept.select("event_seq", events.without_prefix(F.col("command")).alias("bare"))
 
 
@@ -517,24 +559,64 @@ def a2(spark, sf_dir):
     return history.event_stats(logged(spark, sf_dir))
 
 
-@register("a3_prompt_patterns")
-def a3(spark, sf_dir):
-    return history.prompt_patterns(runs(spark, sf_dir)).select(
+def _shown(patterns: DataFrame) -> DataFrame:
+    return patterns.select(
         "pattern_hash", "pattern_type", "original_pattern_preview", "optimized_pattern_preview",
         "usage_count", F.round("average_savings_percent", 6).alias("average_savings_percent"),
         "first_run_id",
     )
 
 
-@register("a4_command_patterns")
-def a4(spark, sf_dir):
-    return history.command_patterns(logged(spark, sf_dir)).select(
+def _shown_commands(patterns: DataFrame) -> DataFrame:
+    return patterns.select(
         "pattern_hash", "command_pattern", "command_name", "usage_count",
         F.round("average_token_estimate", 6).alias("average_token_estimate"),
         stamp("last_seen_at").alias("last_seen_at"),
     )
 
 
+@register("a3_prompt_patterns")
+def a3(spark, sf_dir):
+    return _shown(history.prompt_patterns(runs(spark, sf_dir)))
+
+
+def _loads(rows: DataFrame, key: str, schema: str, merge: Callable, partials: Callable) -> DataFrame:
+    """Partials of three loads, none of which reads what an earlier one did; the first two are folded in between."""
+    rollup = tables.Rollup(rows.sparkSession, f"{tables.work_dir(rows.sparkSession)}/rollup", schema, merge)
+    for load in range(3):
+        rollup.add(partials(rows.where(F.pmod(F.crc32(F.col(key).cast("binary")), F.lit(3)) == load)), load)
+        if load == 1:
+            rollup.compact()
+    return rollup.read()
+
+
+@register("a3_patterns_by_load")
+def a3_by_load(spark, sf_dir):
+    merged = _loads(stored(runs(spark, sf_dir)), "run_id", history.PROMPT_PARTIALS, history.merge_prompt_partials, history.prompt_partials)
+    return _shown(history.patterns_of(merged))
+
+
+@register("a4_patterns_by_load")
+def a4_by_load(spark, sf_dir):
+    merged = _loads(stored(logged(spark, sf_dir)), "event_id", history.COMMAND_PARTIALS, history.merge_command_partials, history.command_partials)
+    return _shown_commands(history.commands_of(merged))
+
+
+@register("a5_success_by_load")
+def a5_by_load(spark, sf_dir):
+    def partials(rated: DataFrame) -> DataFrame:
+        return history.pattern_success(rated).withColumnRenamed("success_score", "success")
+
+    rated = stored(rated_patterns(spark, sf_dir)[1].select("feedback_id", "rating", "pattern_hash"))
+    merged = _loads(rated, "feedback_id", history.SUCCESS_PARTIALS, history.merge_success_partials, partials)
+    return merged.withColumnRenamed("success", "success_score")
+
+
+@register("a4_command_patterns")
+def a4(spark, sf_dir):
+    return _shown_commands(history.command_patterns(logged(spark, sf_dir)))
+
+
 @register("a5_pattern_success")
 def a5(spark, sf_dir):
     return history.pattern_success(rated_patterns(spark, sf_dir)[1])
@@ -625,10 +707,10 @@ def u4(spark, sf_dir):
 @register("u4_rewrite")
 def u4_rewrite(spark, sf_dir):
     """The stored table after its expired days are gone."""
-    path = f"{tables.work_dir(spark)}/events"
-    tables.write_shell_events(logged(spark, sf_dir), path)
-    tables.rewrite_retained(spark, path, "2024-04-10 00:00:00", 90)
-    return spark.read.parquet(path).select("event_id", stamp("created_at").alias("created_at"))
+    table = tables.DayTable(spark, f"{tables.work_dir(spark)}/events", tables.LOGGED_EVENTS)
+    table.append(logged(spark, sf_dir), "first")
+    table.retain("2024-04-10 00:00:00", 90)
+    return table.read().select("event_id", stamp("created_at").alias("created_at"))
 
 
 @register("u4_expired_count")
@@ -671,3 +753,11 @@ QUERIES["st1_complete_stream"] = streams.completed
 QUERIES["st2_running_patterns"] = streams.running_patterns
 QUERIES["st3_ingest"] = streams.ingested
 QUERIES["st4_retention_stream"] = streams.retained
+
+
+@register("st2_running_prompt_patterns")
+def st2_prompts(spark, sf_dir):
+    return _shown(streams.running_prompt_patterns(spark, runs(spark, sf_dir)))
+
+
+QUERIES["st4_retained_table"] = streams.retained_table

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.functions import rules
+from promptloom.operators import history
 from promptloom.sources import derived
-from promptloom.sources.tables import SHELL_EVENTS, typed, work_dir
+from promptloom.sources.tables import FEEDBACK, RUNS, SHELL_EVENTS, DayTable, Rollup, typed, work_dir
 from promptloom.streaming import events as live
 
 
@@ -31,16 +34,35 @@ def _run(stream: DataFrame, root: str) -> None:
 
 
 def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completion with a file per micro-batch, the ends of each time range before its starts; an event waits for as
+    long as a range lasts, so that none is late."""
     root = work_dir(spark)
-    # matching follows event order, which the files of one micro-batch have among them; single files may come late
-    _run(live.complete_stream(_source(spark, sf_dir, root, None)), root)
-    out = spark.read.schema(live.COMPLETED).parquet(f"{root}/out")
-    return out.select(
+    events = typed(derived.shell_events(spark, sf_dir), SHELL_EVENTS)
+    at = F.unix_micros("ts")
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        return spark.createDataFrame([], "event_seq bigint, shell string, pid int, exit_code int, completed_at string")
+    length = (last - first) // 4 + 1
+    for part in range(4):
+        for kind in ("done", "start"):
+            some = events.where((F.col("kind") == kind) & (F.floor((at - first) / length) == part))
+            some.write.mode("append").parquet(f"{root}/in")
+    stream = live.read_event_stream(spark, f"{root}/in", files_per_trigger=1)
+    matching = live.Completion(spark, f"{root}/completion", delay_seconds=length / 1e6)
+    run_batches(stream, matching, root)
+    matching.finish()
+    return matching.completed().select(
         "event_seq", "shell", "pid", "exit_code",
         F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("completed_at"),
     )
 
 
+def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], root: str) -> None:
+    """Every micro-batch there is through ``step``."""
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark)
     _run(live.ingest(_source(spark, sf_dir, root)), root)
@@ -85,3 +107,39 @@ def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_upsert(daily, root, "day", "kind").select(
         F.date_format("day.start", "yyyy-MM-dd").alias("day"), "kind", "events"
     )
+
+
+def _files(df: DataFrame, path: str, files: int = 4) -> None:
+    """Rows dealt by hash, so that every file - a micro-batch each - has old and new ones."""
+    df.repartition(files).write.parquet(path)
+
+
+def _stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def running_prompt_patterns(spark: SparkSession, runs: DataFrame) -> DataFrame:
+    """Prompt shapes after several micro-batches of runs."""
+    root = work_dir(spark)
+    _files(typed(runs, RUNS), f"{root}/in")
+    rollup = Rollup(spark, f"{root}/patterns", history.PROMPT_PARTIALS, history.merge_prompt_partials)
+    run_batches(_stream(spark, f"{root}/in", RUNS), live.Mining(rollup, history.prompt_partials, compact_every=2), root)
+    return history.patterns_of(rollup.read())
+
+
+def rated_live(spark: SparkSession, feedback: DataFrame, runs: DataFrame) -> DataFrame:
+    """Feedback that reached a pattern, runs and feedback both arriving in several micro-batches of any order."""
+    root = work_dir(spark)
+    _files(typed(runs, RUNS), f"{root}/runs", 2)
+    _files(typed(feedback, FEEDBACK), f"{root}/feedback", 2)
+    rated = live.rate_stream(_stream(spark, f"{root}/feedback", FEEDBACK), _stream(spark, f"{root}/runs", RUNS), f"{rules.HISTORY_DAYS} days")
+    _run(rated, root)
+    return spark.read.schema(rated.schema).parquet(f"{root}/out")
+
+
+def retained_table(spark: SparkSession, sf_dir: str, days: int = 7) -> DataFrame:
+    """The stored events after a stream whose every batch ages them."""
+    root = work_dir(spark)
+    table = DayTable(spark, f"{root}/events", SHELL_EVENTS, "ts")
+    run_batches(_source(spark, sf_dir, root), live.Retention(table, days), root)
+    return table.read().select("event_seq", "kind", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))

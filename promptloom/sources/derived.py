@@ -198,5 +198,9 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def exclude_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EXCLUDE_RULES, "scope string, pattern string")
+def exclude_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed rules, and one for each pod that some users deleted."""
+    fixed = spark.createDataFrame(EXCLUDE_RULES, "scope string, pattern string")
+    pods = table(spark, sf_dir, "events").where("user_id % 7 = 0")
+    name = F.concat(F.lit("kubectl delete pod "), "event_type", F.lit("-"), F.col("user_id").cast("string"))
+    return fixed.unionByName(pods.select(F.lit("project").alias("scope"), name.alias("pattern")).distinct())

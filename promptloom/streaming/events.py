@@ -1,23 +1,25 @@
-"""Live shell events: the batch operators in streaming form, plus the stateful completion."""
+"""Live shell events: the batch operators in streaming form, and completion in event order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from promptloom.functions import rules
-from promptloom.operators.events import log_events
-from promptloom.sources.tables import SHELL_EVENTS
+from promptloom.operators.events import complete_events, log_events
+from promptloom.sources.tables import SHELL_EVENTS, DayTable, Rollup, Versions, read_parts, typed
 
 COMPLETED = (
     "event_seq bigint, ts timestamp, shell string, pid int, cwd string, command string, "
     "completed_at timestamp, exit_code int"
 )
-_OPEN = "seqs array<bigint>, ats array<timestamp>, cwds array<string>, commands array<string>"
+WAITING = SHELL_EVENTS + ", settled_until bigint, newest bigint"
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
 def read_event_stream(
@@ -46,46 +48,145 @@ def running_command_patterns(logged: DataFrame) -> DataFrame:
     )
 
 
-def complete_stream(events: DataFrame, history_days: int = rules.HISTORY_DAYS) -> DataFrame:
-    """Emit a start once its ``done`` arrives. State: the open starts of one (shell, pid).
+class Completion:
+    """Matching of ends to starts while events arrive in any order, as a ``foreachBatch`` step.
 
-    Starts without an end are dropped from state when their pid stays silent for ``history_days``
-    of event time, as stored history is.
-    """
+    Events wait until the newest time seen lies ``delay_seconds`` behind them; then their order is settled, and
+    :func:`complete_events` runs over them and the starts still open - as Spark jobs in chunks, whatever share of the
+    events one (shell, pid) has. What it closes is final, for a stack's pops depend on earlier events alone. Under
+    ``root`` stand a table of what waits (open starts, and events of the last ``delay_seconds``), one of what came out
+    and one of what came too late: an event that is older than a settled time would change decided pairs. Each batch
+    writes them from the version before and replaces its own output when it runs again.
 
-    def close(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stack = list(zip(*state.get)) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_seq"])
-        out = []
-        for row in rows.itertuples(index=False):
-            if row.kind == "start":
-                stack.append((row.event_seq, row.ts, row.cwd, row.command))
-            elif stack:
-                seq, at, cwd, command = stack.pop()
-                out.append((seq, at, *key, cwd, command, row.ts, int(row.exit_code)))
-        state.update(tuple([list(part) for part in zip(*stack)] or [[], [], [], []]))
-        newest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(
-            max(newest, state.getCurrentWatermarkMs()) + history_days * 86_400_000
-        )
-        if out:
-            names = [field.split()[0] for field in COMPLETED.split(", ")]
-            yield pd.DataFrame(out, columns=names)
+    Starts older than ``history_days`` at the settled time are dropped, as stored history is.
+    """
 
-    return (
-        events.withWatermark("ts", f"{history_days} days")
-        .groupBy("shell", "pid")
-        .applyInPandasWithState(
-            close, COMPLETED, _OPEN, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    def __init__(self, spark: SparkSession, root: str, delay_seconds: float, history_days: int = rules.HISTORY_DAYS):
+        self.spark, self.root, self.history_days = spark, root.rstrip("/"), history_days
+        self.delay = int(delay_seconds * 1_000_000)
+        self.waiting = Versions(spark, f"{self.root}/waiting", WAITING)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self._settle(typed(batch, SHELL_EVENTS), number, self.delay)
+
+    def finish(self, number: int = 1 << 40) -> None:
+        """Settles all that waits, at the end of a stream that will not go on."""
+        self._settle(self.spark.createDataFrame([], SHELL_EVENTS), number, -1)
+
+    def _settle(self, arrived: DataFrame, number: int, delay: int) -> None:
+        at = F.unix_micros("ts")
+        held = self.waiting.before(number)
+        # up to `mark` pairs are decided; `newest` is the latest time of all events so far
+        mark, newest = held.agg(F.max("settled_until"), F.max("newest")).first()
+        held = held.where("event_seq IS NOT NULL").select(*_names(SHELL_EVENTS))
+        late = F.lit(False) if mark is None else at < mark
+        latest, missed = arrived.agg(F.max(at), F.count_if(late)).first()
+        if missed:
+            self._append(arrived.where(late), "late", number)
+        if latest is None and newest is None:
+            return  # nothing has come yet
+        newest = max(x for x in (newest, latest) if x is not None)
+        until = max(newest - delay, mark or 0)
+        events = held.unionByName(arrived.where(~late))
+        kept = events.where(at >= until)
+        if until != mark:
+            pairs = complete_events(events.where(at < until)).persist()
+            self._append(pairs.where("status = 'completed'").select(*_names(COMPLETED)), "out", number)
+            still = pairs.where((F.col("status") == "started") & (at >= until - self.history_days * 86_400_000_000))
+            still = still.select("event_seq", "ts", F.lit("start").alias("kind"), "shell", "pid", "cwd", "command", "exit_code")
+            kept = still.unionByName(kept)
+        else:  # no further time is settled: what was decided before stays so
+            kept = events
+        marked = self.spark.createDataFrame([(None,) * len(_names(SHELL_EVENTS))], SHELL_EVENTS)  # keeps the times if nothing waits
+        times = {"settled_until": F.lit(until).cast("long"), "newest": F.lit(newest).cast("long")}
+        self.waiting.write(kept.unionByName(marked).withColumns(times), number)
+        if until != mark:
+            pairs.unpersist()
+
+    def _append(self, rows: DataFrame, table: str, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={number}")
+
+    def completed(self) -> DataFrame:
+        """The starts that were closed so far, with their ends."""
+        return self._written("out", COMPLETED)
+
+    def late(self) -> DataFrame:
+        """Events that came after their time had been settled."""
+        return self._written("late", SHELL_EVENTS)
+
+    def _written(self, table: str, schema: str) -> DataFrame:
+        return read_parts(self.spark, f"{self.root}/{table}", schema).drop("batch")
 
 
 def read_within_history(events: DataFrame, history_days: int = rules.HISTORY_DAYS) -> DataFrame:
     """Events under a watermark of ``history_days``: later ones, and old state, are dropped."""
     return events.withWatermark("ts", f"{history_days} days")
+
+
+class Retention:
+    """As a ``foreachBatch`` step: stores what arrives in a day table, then drops what is older than ``days`` before the
+    newest time there. A batch that runs again replaces what it stored; rows that come too late go with the next batch."""
+
+    def __init__(self, table: DayTable, days: int = rules.HISTORY_DAYS):
+        self.table, self.days = table, days
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self.table.append(batch, f"batch-{number}")
+        newest = self.table.newest()
+        if newest is not None:
+            self.table.retain(newest, self.days)
+
+
+class Mining:
+    """As a ``foreachBatch`` step: adds what a batch's rows say about patterns to a rollup, and folds the rollup's loads
+    together now and then. Late rows count like others, in any order of batches."""
+
+    def __init__(self, rollup: Rollup, partials: Callable[[DataFrame], DataFrame], compact_every: int = 32):
+        self.rollup, self.partials, self.compact_every = rollup, partials, compact_every
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        self.rollup.add(self.partials(batch), number)
+        if number % self.compact_every == self.compact_every - 1:
+            self.rollup.compact()
+
+
+def rate_stream(feedback: DataFrame, runs: DataFrame, delay: str, history_days: int = rules.HISTORY_DAYS) -> DataFrame:
+    """Feedback that reached a pattern, as it comes in: the streaming form of joining feedback to runs and patterns.
+
+    Feedback meets its run (within ``history_days`` before it, or ``delay`` after it), and then any optimized run of the
+    same shape that came no later than itself: that is what it takes for the pattern to exist, and the shape's hash
+    holds the type. Both joins are between intervals, so their state goes once the watermarks, ``delay`` behind the newest
+    times, have passed. Rows that come later than that take part no more; :class:`LateRows` keeps them.
+    """
+    past = f"INTERVAL {history_days} DAYS"
+    given = feedback.withWatermark("created_at", delay).alias("f")
+    known = runs.select("run_id", F.col("created_at").alias("run_at"), F.col("pattern_hash")).withWatermark("run_at", delay).alias("r")
+    near = f"f.run_id = r.run_id AND r.run_at >= f.created_at - {past} AND r.run_at <= f.created_at + INTERVAL {delay}"
+    rated = given.join(known, F.expr(near)).select("feedback_id", "f.created_at", "rating", "pattern_hash").alias("g")
+    shapes = runs.where("was_optimized").select(F.col("created_at").alias("seen_at"), "pattern_hash", "input_type").withWatermark("seen_at", delay).alias("s")
+    first = shapes.dropDuplicates(["seen_at", "pattern_hash"]).alias("s")
+    earlier = f"g.pattern_hash = s.pattern_hash AND s.seen_at <= g.created_at AND s.seen_at >= g.created_at - {past}"
+    return rated.join(first, F.expr(earlier), "left_semi")
+
+
+class LateRows:
+    """As a ``foreachBatch`` step: keeps the rows that are older than the watermark which the batches before have set,
+    ``delay_seconds`` behind their newest time."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, at: str, delay_seconds: float):
+        self.spark, self.root, self.schema, self.at = spark, root.rstrip("/"), schema, at
+        self.delay = int(delay_seconds * 1_000_000)
+        self.marks = Versions(spark, f"{self.root}/marks", "newest bigint")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        at = F.unix_micros(self.at)
+        newest = self.marks.before(number).agg(F.max("newest")).first()[0]
+        rows = typed(batch, self.schema)
+        if newest is not None:
+            rows.where(at < newest - self.delay).write.mode("overwrite").parquet(f"{self.root}/late/batch={number}")
+        latest = rows.agg(F.max(at)).first()[0]
+        known = [x for x in (newest, latest) if x is not None]
+        self.marks.write(self.spark.createDataFrame([(max(known, default=None),)], "newest bigint"), number)
+
+    def read(self) -> DataFrame:
+        return read_parts(self.spark, f"{self.root}/late", self.schema).drop("batch")

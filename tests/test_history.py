@@ -69,4 +69,28 @@ def test_retention_limit_is_kept(spark):
     now = F.timestamp_seconds(F.lit(1 + 90 * 86400))
     assert h.retain(df, now).count() == 2
     assert h.expired_count(df, now).first().deleted == 1
-    assert h.reset(df).count() == 0 and h.reset(df).schema == df.schema
+
+
+def test_bonus_as_of_replays_history(spark):
+    """Patterns, ratings and prompts one after the other; a prompt sees what came before its instant only."""
+    import random
+
+    rng = random.Random(7)
+    kinds = ["a", "b"]
+    patterns = [(f"p{i}", rng.choice(kinds), rng.randrange(0, 400)) for i in range(30)]
+    rated = [(f"f{i}", p, kind, rng.choice(["good", "bad", "bad"]), seen + rng.randrange(0, 200)) for i in range(200) for p, kind, seen in [rng.choice(patterns)]]
+    prompts = [(i, rng.choice([*kinds, "c"]), rng.choice([50, 50, rng.randrange(0, 700)])) for i in range(300)]
+
+    def timed(rows, columns):
+        return spark.createDataFrame(rows, columns + ", sec bigint").withColumn("sec", F.timestamp_seconds("sec"))
+
+    changes = h.bonus_changes(
+        timed(patterns, "pattern_hash string, pattern_type string").withColumnRenamed("sec", "first_seen_at"),
+        timed(rated, "feedback_id string, pattern_hash string, pattern_type string, rating string").withColumnRenamed("sec", "created_at"),
+    )
+    asked = timed(prompts, "prompt_id bigint, input_type string").withColumnRenamed("sec", "created_at")
+    got = {r.prompt_id: r.bonus for r in h.with_bonus_as_of(asked, changes).collect()}
+    for i, kind, at in prompts:
+        known = [p for p, k, seen in patterns if k == kind and seen < at]
+        total = sum(1 if rating == "good" else -2 for _, _, k, rating, when in rated if k == kind and when < at)
+        assert got[i] == (max(-15, min(15, total / len(known))) if known else 0)

@@ -1,9 +1,13 @@
+import random
+
 from pyspark.sql import functions as F
 
 from promptloom.operators.events import complete_events, log_events
 from promptloom.operators.history import command_patterns
 from promptloom.plans import streams
 from promptloom.sources import derived
+from promptloom.sources.tables import DayTable
+from promptloom.streaming.events import Completion, LateRows, Retention
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,23 +21,52 @@ def test_completion_equals_batch(spark):
     assert live == {tuple(r) for r in batch.collect()} and len(live) > 100
 
 
-def test_completion_over_many_batches(spark, tmp_path):
-    from promptloom.sources.tables import SHELL_EVENTS
-    from promptloom.streaming import events as live
+SPANS = "event_seq bigint, sec double, kind string, shell string, pid int"
+
+
+def shell_frame(spark, rows):
+    return spark.createDataFrame(rows, SPANS).selectExpr(
+        "event_seq", "timestamp_micros(cast(sec * 1e6 as bigint)) AS ts", "kind", "shell", "pid",
+        "'/w' AS cwd", "'ls' AS command", "IF(kind = 'done', cast(event_seq as int), NULL) AS exit_code",
+    )
+
+
+def close(spark, root, batches, delay, finish=True, again=()):
+    """The pairs out of batches, each in its own micro-batch; those of ``again`` run twice."""
+    matching = Completion(spark, str(root), delay)
+    for n, rows in enumerate(batches):
+        for _ in range(1 + (n in again)):
+            matching(shell_frame(spark, rows), n)
+    if finish:
+        matching.finish()
+    return {(r.event_seq, r.exit_code) for r in matching.completed().collect()}, matching
+
 
-    events = streams._typed(derived.shell_events(spark, SF), SHELL_EVENTS)
-    ordered = events.repartitionByRange(5, "ts", "event_seq")
-    ordered.write.parquet(str(tmp_path / "in"))
-    # one file per micro-batch, in time order
-    for i, part in enumerate(sorted((tmp_path / "in").glob("*.parquet"))):
-        import os
-        os.utime(part, (1_000_000 + i, 1_000_000 + i))
-    stream = live.read_event_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
-    streams._run(live.complete_stream(stream), str(tmp_path))
-    got = {(r.event_seq, r.exit_code) for r in
-           spark.read.schema(live.COMPLETED).parquet(str(tmp_path / "out")).collect()}
-    batch = complete_events(events).where("status = 'completed'").select("event_seq", "exit_code")
-    assert got == {tuple(r) for r in batch.collect()}
+def test_late_starts_and_batches_that_run_again(spark, tmp_path):
+    """Ends before their starts, a pid with most events, a batch repeated after a failure: as the batch form."""
+    rng = random.Random(4)
+    rows = [
+        (i, 1_700_000_000 + i * 0.5, "start" if rng.random() < 0.55 else "done", "bash", 1 if i % 3 else 2) for i in range(400)
+    ] + [(1000, 1_700_000_000.0, "start", None, None), (1001, 1_700_000_199.0, "done", None, None)]
+    rows.sort(key=lambda r: r[1])
+    batches = []
+    for at in range(0, len(rows), 201):
+        part = rows[at : at + 201]
+        batches += [[r for r in part if r[2] == "done"], [r for r in part if r[2] == "start"]]
+    want = {(r.event_seq, r.exit_code) for r in complete_events(shell_frame(spark, rows)).where("status = 'completed'").collect()}
+    got, matching = close(spark, tmp_path / "a", [*batches, []], 110, again=(2,))
+    assert got == want and len(want) > 100 and matching.late().count() == 0
+
+
+def test_events_wait_until_their_time_is_settled(spark, tmp_path):
+    start, done, later = (1, 100.0, "start", "sh", 1), (2, 110.0, "done", "sh", 1), (3, 300.0, "start", "sh", 1)
+    got, _ = close(spark, tmp_path / "a", [[done], [start]], 60, finish=False)
+    assert got == set()  # nothing newer has come: a start between them may
+    got, _ = close(spark, tmp_path / "b", [[done], [start], [later]], 60, finish=False)
+    assert got == {(1, 2)}
+    # a start of a settled time changes nothing and is kept apart
+    got, matching = close(spark, tmp_path / "c", [[start, done], [later], [(4, 105.0, "start", "sh", 1)]], 60)
+    assert got == {(1, 2)} and [r.event_seq for r in matching.late().collect()] == [4]
 
 
 def test_ingest_and_counts_equal_batch(spark):
@@ -44,3 +77,20 @@ def test_ingest_and_counts_equal_batch(spark):
     counts = {(r.command_pattern, r.usage_count) for r in streams.running_patterns(spark, SF).collect()}
     batch = command_patterns(log_events(starts)).select("command_pattern", "usage_count")
     assert counts == {tuple(r) for r in batch.collect()}
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    """Older than the watermark that earlier batches have set; the batch that moves it is not judged by it."""
+    step = LateRows(spark, str(tmp_path), "id bigint, at timestamp", "at", 10)
+    for number, seconds in enumerate(([100, 50], [], [95, 89], [95, 200], [150, 195])):
+        rows = spark.createDataFrame([(t, t) for t in seconds], "id bigint, sec bigint").selectExpr("id", "timestamp_seconds(sec) AS at")
+        step(rows, number)
+    assert sorted(r.id for r in step.read().collect()) == [89, 150]
+
+
+def test_stored_events_age_as_they_arrive(spark, tmp_path):
+    table = DayTable(spark, str(tmp_path), "id bigint, at timestamp", "at")
+    step = Retention(table, days=3)
+    for number, days in enumerate(([1, 2], [9, 5], [5, 7], [5, 7], [10])):
+        step(spark.createDataFrame([(d, d * 86_400 + 7) for d in days], "id bigint, sec bigint").selectExpr("id", "timestamp_seconds(sec) AS at"), number)
+    assert sorted(r.id for r in table.read().collect()) == [7, 7, 9, 10]
