@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import byte_texts, partitions, run_starts, written
+from promptloom.llm.common import byte_texts, partitions, run_starts, slices, written
 
 # What ends a piece of text, and what parts the words in it.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -49,18 +49,21 @@ def words_of(texts: list[bytes], langs: np.ndarray) -> Words:
 
 def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[bytes], pa.Array]]:
     """Texts and languages of rows with about `limit` bytes in all; a longer text comes alone, never cut."""
-    texts, langs, size = [], [], 0
-    for batch in batches:
-        names = pc.fill_null(batch.column(1).cast(pa.string()), UNKNOWN).to_pylist()
-        for text, lang in zip(byte_texts(batch), names, strict=True):
-            if texts and size + len(text) > limit:
-                yield texts, pa.array(langs, pa.string())
-                texts, langs, size = [], [], 0
-            texts.append(text)
-            langs.append(lang)
-            size += len(text) + 1
-    if texts:
-        yield texts, pa.array(langs, pa.string())
+    held, size = [], 0
+    for part in slices(batches, "text", limit):
+        weight = part.column(0).nbytes
+        if held and size + weight > limit:
+            yield _texts(held)
+            held, size = [], 0
+        held.append(part)
+        size += weight
+    if held:
+        yield _texts(held)
+
+
+def _texts(parts: list[pa.RecordBatch]) -> tuple[list[bytes], pa.Array]:
+    langs = pa.chunked_array([part.column(1) for part in parts]).cast(pa.string())
+    return [text for part in parts for text in byte_texts(part)], pc.fill_null(langs, UNKNOWN).combine_chunks()
 
 
 def _encoded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +93,13 @@ def _counts(limit: int):
     return run
 
 
-def _stripes(shards: dict[tuple[str, str], int], limit: int):
-    """One stripe for each language, word and shard in a run of texts: what followed the word, and how often, as lines
-    `second third count`. An empty third word is the end of the piece; so is an empty second one."""
+STRIPES = "lang string, first string, shard int, stripe string"
+
+
+def _stripes(shards: dict[tuple[str, str], int], limit: int, lines: int):
+    """One stripe for each language, word and shard in a run of texts: how often what followed the word, as lines `count
+    second third` (after every so many lines a further row). An empty third word is the end of the piece; so is an empty
+    second one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, langs in _runs(batches, limit):
@@ -108,34 +115,112 @@ def _stripes(shards: dict[tuple[str, str], int], limit: int):
             third, pair = triples % (size + 1), triples // (size + 1)
             second, first = pairs[pair] % (size + 1), pairs[pair] // (size + 1)
             names = pa.concat_arrays([words.names.cast(pa.large_string()), pa.array([""], pa.large_string())])
-            lang_of = [langs[i] for i in (firsts // size).tolist()]
-            word_of = names.take(pa.array(firsts % size))
-            parts = np.array([shards.get(key, 1) for key in zip(lang_of, word_of.to_pylist(), strict=True)], np.int64)
-            follows = pc.binary_join_element_wise(names.take(pa.array(second)), names.take(pa.array(third)), _BLANK)
+            lang_of = pa.array(langs).take(pa.array(firsts // size))
+            word_of = names.take(pa.array(firsts % size)).cast(pa.string())
             shard = np.zeros(len(count), np.int64)
-            split = np.flatnonzero(parts[first] > 1)
-            if len(split):
-                # a stable hash of what follows: equal in every task
-                hashed = np.fromiter((zlib.crc32(x.encode()) for x in follows.take(pa.array(split)).to_pylist()), np.int64, len(split))
-                shard[split] = hashed % parts[first[split]]
+            if shards:
+                parts = np.array([shards.get(key, 1) for key in zip(lang_of.to_pylist(), word_of.to_pylist(), strict=True)], np.int64)
+                # a stable hash of the second word: equal in every task, and one shard has all of a pair
+                hashed = np.array([zlib.crc32(name.encode()) for name in names.to_pylist()], np.int64)
+                shard = hashed[second] % parts[first]
             order = np.lexsort((second, shard, first))
-            begin = run_starts(first[order], shard[order])
-            lines = pc.binary_join_element_wise(follows.take(pa.array(order)), pa.array(count[order]).cast(pa.large_string()), _BLANK)
-            grouped = pa.LargeListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int64()), lines)
-            head = first[order][begin]
-            arrays = [
-                pa.array(lang_of).take(pa.array(head)), word_of.take(pa.array(head)).cast(pa.string()),
-                pa.array(shard[order][begin].astype(np.int32)), pc.binary_join(grouped, _LINE_END).cast(pa.string()),
-            ]
+            first, second, third, shard, count = (x[order] for x in (first, second, third, shard, count))
+            begin = run_starts(first, shard)
+            place = np.arange(len(count)) - np.repeat(begin, np.diff(np.append(begin, len(count))))
+            begin = np.flatnonzero(place % lines == 0)
+            texts = pc.binary_join_element_wise(
+                pa.array(count).cast(pa.large_string()), names.take(pa.array(second)), names.take(pa.array(third)), _BLANK
+            )
+            grouped = pa.LargeListArray.from_arrays(pa.array(np.append(begin, len(count)), pa.int64()), texts)
+            head = pa.array(first[begin])
+            arrays = [lang_of.take(head), word_of.take(head), pa.array(shard[begin].astype(np.int32)), pc.binary_join(grouped, _LINE_END).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "first", "shard", "stripe"])
 
     return run
 
 
-def merged_stripes(documents: DataFrame, least: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Word counts (lang, word, count), and the stripes of all texts merged: lang, first, second, third, count, where
-    third is null for what the third words with fewer than `least` in all, and the ends of pieces, add up to (in more
-    than one row); second is empty where the piece ended."""
+def _parted(texts: pa.Array, at_most: int) -> tuple[pa.Array, pa.Array]:
+    """What stands before and behind the first blank of each text."""
+    both = pc.split_pattern(texts, " ", max_splits=at_most).flatten()
+    places = np.arange(0, len(both), 2)
+    return both.take(pa.array(places)), both.take(pa.array(places + 1))
+
+
+def _merge(rows: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """Stripes of several keys, in order: the row at which each key begins, and their counters added up elementwise, as
+    key (number), follows, count."""
+    keys = [pc.dictionary_encode(rows.column(c)).combine_chunks().indices.to_numpy() for c in ("lang", "first")]
+    begin = run_starts(*keys, rows.column("shard").to_numpy())
+    key = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, rows.num_rows)))
+    listed = pc.split_pattern(rows.column("stripe").combine_chunks(), "\n")
+    counts, follows = _parted(listed.flatten(), 1)
+    entries = pa.table({"key": key[pc.list_parent_indices(listed).to_numpy()], "follows": follows, "count": counts.cast(pa.int64())})
+    merged = entries.group_by(["key", "follows"], use_threads=False).aggregate([("count", "sum")])
+    return begin, merged.rename_columns(["key", "follows", "count"])
+
+
+def _frequent(rows: pa.Table, begin: np.ndarray, merged: pa.Table, least: int) -> pa.Table:
+    """Out of whole counters: their totals (second and third null), and the pairs and triples of `least` or more."""
+    second, third = _parted(merged.column("follows").combine_chunks(), 1)
+    counters = merged.append_column("second", second).append_column("third", third)
+    none = pa.scalar(None, pa.string())
+
+    def summed(*columns: str) -> pa.Table:
+        return counters.group_by(["key", *columns], use_threads=False).aggregate([("count", "sum")]).rename_columns(["key", *columns, "count"])
+
+    ones, twos = summed(), summed("second")
+    often = pc.greater_equal(twos.column("count"), least)
+    twos = twos.filter(pc.and_(often, pc.not_equal(twos.column("second"), "")))
+    threes = counters.filter(pc.and_(pc.greater_equal(counters.column("count"), least), pc.not_equal(third, "")))
+    found = []
+    for table in (ones, twos, threes):
+        columns = {c: table.column(c) if c in table.column_names else pa.repeat(none, table.num_rows) for c in ("second", "third")}
+        head = pa.array(begin).take(table.column("key").combine_chunks())
+        names = {c: rows.column(c).take(head) for c in ("lang", "first")}
+        found.append(pa.table({**names, **columns, "count": table.column("count")}))
+    return pa.concat_tables(found)
+
+
+def _merged(least: int, most: int):
+    """Adds up the stripes of each key, which come in order, about `most` characters of them at a time. The counter of a
+    key that goes on is a stripe again and comes first in the next step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def step(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            rows = pa.Table.from_batches(held).combine_chunks()
+            begin, merged = _merge(rows)
+            whole = len(begin) if last else len(begin) - 1
+            done = merged.filter(pc.less(merged.column("key"), whole))
+            if done.num_rows:
+                yield from _frequent(rows, begin, done, least).to_batches()
+            if not last:
+                rest = merged.filter(pc.equal(merged.column("key"), whole))
+                lines = pc.binary_join_element_wise(rest.column("count").cast(pa.string()), rest.column("follows"), " ")
+                stripe = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines.combine_chunks()), "\n")
+                row = rows.slice(begin[-1], 1)
+                held = [pa.RecordBatch.from_arrays([*(row.column(c).combine_chunks() for c in ("lang", "first", "shard")), stripe], rows.schema.names)]
+                size = 0  # so that the next step has as many new rows
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                held.append(part)
+                size += pc.sum(pc.binary_length(part.column(3))).as_py()
+                if size > most:
+                    yield from step(False)
+        if held:
+            yield from step(True)
+
+    return run
+
+
+def merged_stripes(documents: DataFrame, least: int, limit: int, lines: int = 1 << 10) -> tuple[DataFrame, DataFrame]:
+    """Word counts (lang, word, count), and what the merged stripes of all texts hold from `least` on: lang, first,
+    second, third, count, with third null for pairs, and both null for a word's own total, which a word whose stripe is in
+    shards has one of for each."""
     session = documents.sparkSession
     n = partitions(session)
     texts = documents.select("text", F.col("lang").cast("string"))
@@ -145,16 +230,9 @@ def merged_stripes(documents: DataFrame, least: int, limit: int) -> tuple[DataFr
     share = max(1.0, total / (4 * n))
     frequent = words.where(F.col("count") > share).withColumn("parts", F.ceil(F.col("count") / share))
     shards = {(r.lang, r.word): r.parts for r in frequent.select("lang", "word", "parts").collect()}
-    stripes = texts.mapInArrow(_stripes(shards, limit), "lang string, first string, shard int, stripe string")
-    dealt = stripes.repartition(n, "lang", "first", "shard")
-    entry = dealt.select("lang", "first", "shard", F.explode(F.split("stripe", "\n")).alias("line"))
-    fields = F.split("line", " ")
-    entries = entry.select("lang", "first", "shard", fields[0].alias("second"), fields[1].alias("third"), fields[2].cast("long").alias("count"))
-    # both aggregations are where their rows are: the stripes of a word and shard lie in one partition
-    merged = entries.groupBy("lang", "first", "shard", "second", "third").agg(F.sum("count").alias("count"))
-    known = F.when((F.col("count") >= least) & (F.col("third") != ""), F.col("third"))
-    folded = merged.withColumn("third", known).groupBy("lang", "first", "shard", "second", "third").agg(F.sum("count").alias("count"))
-    return words, written(folded.drop("shard"))
+    key = ["lang", "first", "shard"]
+    dealt = texts.mapInArrow(_stripes(shards, limit, lines), STRIPES).repartition(n, *key).sortWithinPartitions(*key)
+    return words, written(dealt.mapInArrow(_merged(least, limit), "lang string, first string, second string, third string, count long"))
 
 
 def _score(a: str, left: str, right: str):
@@ -163,7 +241,7 @@ def _score(a: str, left: str, right: str):
     return F.expr(f"({a} * {a} * cast(1000000 AS decimal(38,0))) div ({left} * {right})")
 
 
-def mine(documents: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, limit: int = 1 << 24) -> DataFrame:
+def mine(documents: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, limit: int = 1 << 23) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of two and three words.
 
     A phrase's words follow each other within a piece of a lower-cased text (pieces end at `.,;:!?` and line ends); a
@@ -177,8 +255,8 @@ def mine(documents: DataFrame, least: int = 10, cover: int = 50, top: int = 2000
     elementwise. The merged structure has all that is asked for: its entries are the counts of three words, sums by
     second word those of two, sums by stripe those of one, and maxima over it, by first and second or by second and
     third word, tell which phrases a longer one covers. A word with more than a quarter of a partition's share of all
-    words has its stripe cut into as many shards by a hash of what follows (the driver holds these words, fewer than
-    four for each shuffle partition); no counter is ever held in Python beyond a run's.
+    words has its stripe cut into shards by a hash of the second word, more the more frequent it is (the driver holds
+    these words, fewer than four for each shuffle partition); a task holds one shard's counter and a run of stripes.
 
     A null text is empty and counts nothing, a null language is `und`; rows without an id count as others do, and
     repeated rows are counted as often as they stand there. An empty table, or one without a phrase of `least`
@@ -186,11 +264,10 @@ def mine(documents: DataFrame, least: int = 10, cover: int = 50, top: int = 2000
     """
     words, stripes = merged_stripes(documents, least, limit)
     n = words.groupBy("lang").agg(F.sum("count").alias("n"))
-    seconds = stripes.groupBy("lang", "first", "second").agg(F.sum("count").alias("a"))
-    twos = written(seconds.where((F.col("second") != "") & (F.col("a") >= least)))
-    firsts = stripes.groupBy("lang", F.col("first").alias("word")).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    ones = written(firsts)
-    threes = written(stripes.where("third IS NOT NULL").withColumnRenamed("count", "a"))
+    twos = stripes.where("second IS NOT NULL AND third IS NULL").select("lang", "first", "second", F.col("count").alias("a"))
+    ones = stripes.where("second IS NULL").groupBy("lang", F.col("first").alias("word")).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+    ones = written(ones)
+    threes = stripes.where("third IS NOT NULL").withColumnRenamed("count", "a")
 
     def named(left: str, right: str) -> tuple[DataFrame, DataFrame]:
         return (
