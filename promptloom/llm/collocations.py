@@ -241,7 +241,7 @@ def _score(a: str, left: str, right: str):
     return F.expr(f"({a} * {a} * cast(1000000 AS decimal(38,0))) div ({left} * {right})")
 
 
-def mine(documents: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, limit: int = 1 << 23) -> DataFrame:
+def mine(documents: DataFrame, least: int = 10, cover: int = 50, top: int = 2000, limit: int = 1 << 21) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of two and three words.
 
     A phrase's words follow each other within a piece of a lower-cased text (pieces end at `.,;:!?` and line ends); a
