@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -37,20 +39,45 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
 
 
+#: Chunks whose parts the tokenizer keeps apart and takes as they are: lower-case letters that no normalisation changes,
+#: between signs. Not the apostrophe, which may begin a token with letters behind it.
+_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+_SPECIAL = "<|"  # begins the names of special tokens
+
+
+@lru_cache(maxsize=1)
+def _letters(name: str):
+    """The tokenizer's merges alone, for words that need no normalisation, and what it writes for letters beyond ASCII."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    form = json.loads(_tokenizer(name).to_str()) | {"normalizer": None, "pre_tokenizer": None}
+    signs = ByteLevel(add_prefix_space=False, use_regex=False)
+    character = {x: signs.pre_tokenize_str(chr(x))[0][0] for x in range(0xDF, 0x100)}
+    return Tokenizer.from_str(json.dumps(form)), str.maketrans(character)
+
+
 class ChunkTokens:
     """Ids of whole texts by way of their white-space-free chunks. The tokenizer drops white space and never merges
-    across it, so the ids of a text are those of its chunks in order; chunks come again and again."""
+    across it, so the ids of a text are those of its chunks in order; chunks come again and again. Of a chunk of letters
+    between signs the letters and the signs are tokenised apart, as the tokenizer does: the letters come again with
+    other signs, and need no more than the merges."""
 
     def __init__(self, tokenizer: str):
         self.tokenizer = _tokenizer(tokenizer)
+        self.merges, self.characters = _letters(tokenizer)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}  # what was known until `known` was full; what is met again moves back
+        self.parts: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [t.split() for t in texts]
+        # the tokenizer lower-cases; only a mark that follows a letter, or a special token's name, tells cases apart
+        chunks = [(t if b"\xcc" in t or _SPECIAL.encode() in t else t.lower()).split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
         known, fresh = self.known, []
         for c in {c for text in chunks for c in text if c not in known}:
             ids = self.before.get(c)
@@ -58,20 +85,44 @@ class ChunkTokens:
                 fresh.append(c)
             else:
                 known[c] = ids
-        for at in range(0, len(fresh), BATCH):
-            self._encode(fresh[at : at + BATCH])
+        self._learn(fresh)
         return [b"".join([known[c] for c in text]) for text in chunks]
 
-    def _encode(self, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: list[bytes]) -> None:
+        plain, other, parts = [], [], self.parts
+        for chunk in chunks:
+            text = chunk.decode()
+            found = _PLAIN.fullmatch(text)
+            if found and _SPECIAL not in text:
+                plain.append((chunk, found.groups()))
+            else:
+                other.append(text)
+        signs = list({s for _, (a, _, b) in plain for s in (a, b) if s not in parts})
+        letters = list({w for _, (_, w, _) in plain if w not in parts})
+        for at in range(0, len(signs), BATCH):
+            parts.update(zip(signs[at : at + BATCH], self._encode(signs[at : at + BATCH]), strict=True))
+        for at in range(0, len(letters), BATCH):
+            some = letters[at : at + BATCH]
+            parts.update(zip(some, self._encode_letters(some), strict=True))
+        for at in range(0, len(other), BATCH):
+            some = other[at : at + BATCH]
+            self.known.update(zip([c.encode() for c in some], self._encode(some), strict=True))
+        for chunk, (a, word, b) in plain:
+            self.known[chunk] = parts[a] + parts[word] + parts[b]
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
         """One text of the chunks, parted again by where the tokens begin: less per chunk than a text for each."""
-        parts = [c.decode() for c in chunks]
-        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(p) + 1 for p in chunks])).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        written = [w if w.isascii() else w.translate(self.characters) for w in words]
+        found = self.merges.encode(written, add_special_tokens=False, is_pretokenized=True)
         ids = np.array(found.ids, "<u4")
-        cuts = np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(p) + 1 for p in parts]))
-        at = 0
-        for chunk, cut in zip(chunks, cuts.tolist(), strict=True):
-            self.known[chunk] = ids[at:cut].tobytes()
-            at = cut
+        cuts = np.searchsorted(found.word_ids, np.arange(1, len(words) + 1)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 @lru_cache(maxsize=1)
