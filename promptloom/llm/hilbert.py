@@ -114,28 +114,30 @@ def _nearest(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["ordering", "block"], rows=1 << 13):
-            ordering, block, side, rep = (table.column(c).to_numpy() for c in ("ordering", "block", "side", "rep"))
+            ordering, block, side, rep, first = (table.column(c).to_numpy() for c in ("ordering", "block", "side", "rep", "first"))
             x = matrix(table.column("vector").combine_chunks())
             cuts = np.flatnonzero((ordering[1:] != ordering[:-1]) | (block[1:] != block[:-1])) + 1
             for part in np.split(np.arange(len(rep)), cuts):
                 q, c = part[side[part] == 1], part[side[part] == 0]
                 if not len(q) or not len(c):
                     continue
-                squares = (x[c] ** 2).sum(axis=1)
+                near = x[c] - x[c].mean(axis=0)  # about the block's centre, squares lose least
+                squares = (near**2).sum(axis=1)
                 for at in range(0, len(q), 256):
                     own = q[at : at + 256]
-                    rough = squares - 2 * x[own] @ x[c].T  # without the query's own square: the order is the same
-                    few = min(len(c), k + 8)
-                    best = np.argpartition(rough, few - 1, axis=1)[:, :few]
-                    gaps = np.sqrt(((x[c][best] - x[own][:, None, :]) ** 2).sum(axis=2))
-                    order = np.lexsort((rep[c][best], gaps), axis=1)[:, :k]
+                    asked = x[own] - x[c].mean(axis=0)
+                    rough = squares - 2 * asked @ near.T  # without the query's own square: the order is the same
+                    few = min(len(c), k)
+                    # all that may be as near as the k-th, whatever rounding did; ties are broken by exact distance and id
+                    slack = 1e-12 * (squares.max() + (asked**2).sum(axis=1)) * x.shape[1]
+                    i, j = np.nonzero(rough <= (np.partition(rough, few - 1, axis=1)[:, few - 1] + slack)[:, None])
+                    gaps = np.sqrt(((x[c][j] - x[own][i]) ** 2).sum(axis=1))
+                    order = np.lexsort((first[c][j], gaps, i))
+                    i, j, gaps = i[order], j[order], gaps[order]
+                    rank = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j, gaps = i[rank < k], j[rank < k], gaps[rank < k]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(rep[own], order.shape[1])),
-                            pa.array(np.take_along_axis(rep[c][best], order, 1).ravel()),
-                            pa.array(np.take_along_axis(gaps, order, 1).ravel()),
-                        ],
-                        ["query", "rep", "score"],
+                        [pa.array(rep[own][i]), pa.array(rep[c][j]), pa.array(first[c][j]), pa.array(gaps)], ["query", "rep", "first", "score"]
                     )
 
     return run
@@ -167,7 +169,8 @@ def search(
     Equal vectors become one, with its k + 1 smallest ids, before anything is ordered, so a vector that a third of
     all rows hold costs no more than another; ties go to the smaller vec_id. Null ids and vectors that are null,
     empty, zero or hold null or non-finite components take no part, nor do vectors of another length than most have.
-    An id that is repeated with other vectors stands for each of them. No usable query: no rows.
+    An id that is repeated with other vectors stands for each of them. Other columns are not looked at, whatever they are
+    called. No usable query: no rows.
     """
     spark = embeddings.sparkSession
     n = partitions(spark)
@@ -178,8 +181,9 @@ def search(
     rows = keyed(rows.where(F.size("vector") == dims), F.col("vector"))
     smallest = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     few = rows.withColumn("nth", smallest).where(F.col("nth") <= k + 1)
-    reps = few.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("vector").alias("vector"))
-    reps = settled(reps)
+    # a vector goes by its hash: its ids may be those of other vectors too
+    reps = few.groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("vector").alias("vector"))
+    reps = settled(reps.withColumn("rep", F.col("k1")))
     wanted = rows.where(F.col("vec_id") % every == 0).select("vec_id", "k1", "k2")
     queries = wanted.join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).distinct()
     queries = settled(queries)
@@ -189,7 +193,6 @@ def search(
     centre = np.sum([r["total"] for r in sums], axis=0) / max(count, 1) if sums else np.zeros(dims)
     spread = float(np.sqrt(max(sum(r["square"] for r in sums) / max(count * dims, 1) - float(centre @ centre) / dims, 1e-30)))
 
-    # repeated ids with other vectors: a representative is its id and key
     keys = reps.select("rep", "vector").mapInArrow(_curve_keys(orderings, dims, axes, bits, seed, centre, spread), "ordering int, key long, rep long")
     ordered = keys.repartitionByRange(n, "ordering", "key", "rep").sortWithinPartitions("ordering", "key", "rep")
     placed = settled(ordered.mapInArrow(_places, "ordering int, task int, place long, rep long"))
@@ -202,16 +205,16 @@ def search(
     blocks = blocks.groupBy("rep").agg(F.collect_set("at").alias("at"))
     far = int(np.ceil(reach * count / block_rows)) if count else 0
     asked = queries.select("query").distinct()
-    wide = reps.select("rep", "vector").join(blocks, "rep").join(asked, F.col("rep") == F.col("query"), "left")
-    wide = wide.select("rep", "vector", F.col("query").isNotNull().alias("asks"), F.explode("at").alias("at"))
+    wide = reps.select("rep", "first", "vector").join(blocks, "rep").join(asked, F.col("rep") == F.col("query"), "left")
+    wide = wide.select("rep", "first", "vector", F.col("query").isNotNull().alias("asks"), F.explode("at").alias("at"))
     last = max(0, (count - 1) // block_rows)
     reached = F.sequence(F.greatest(F.lit(0), F.col("at.block") - far), F.least(F.lit(last), F.col("at.block") + far))
-    here = wide.select(F.col("at.ordering").alias("ordering"), F.col("at.block").alias("block"), F.lit(0).alias("side"), "rep", "vector")
-    asking = wide.where("asks").select(F.col("at.ordering").alias("ordering"), F.explode(reached).alias("block"), F.lit(1).alias("side"), "rep", "vector")
+    here = wide.select(F.col("at.ordering").alias("ordering"), F.col("at.block").alias("block"), F.lit(0).alias("side"), "rep", "first", "vector")
+    asking = wide.where("asks").select(F.col("at.ordering").alias("ordering"), F.explode(reached).alias("block"), F.lit(1).alias("side"), "rep", "first", "vector")
     dealt = here.unionByName(asking).repartition(n, "ordering", "block").sortWithinPartitions("ordering", "block", "side")
-    found = dealt.mapInArrow(_nearest(k + 1), "query long, rep long, score double").distinct()
-    nearest = F.row_number().over(Window.partitionBy("query").orderBy("score", "rep"))
-    found = found.withColumn("nth", nearest).where(F.col("nth") <= k + 1).drop("nth")
+    found = dealt.mapInArrow(_nearest(k + 1), "query long, rep long, first long, score double").distinct()
+    nearest = F.row_number().over(Window.partitionBy("query").orderBy("score", "first"))
+    found = found.withColumn("nth", nearest).where(F.col("nth") <= k + 1).drop("nth", "first")
     ids = reps.select("rep", F.explode("ids").alias("vec_id"))
     pairs = queries.join(found.join(ids, "rep"), "query").where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -56,21 +56,23 @@ class Classifier:
     """Ridge regression in the space that the landmarks span. `weights` holds the Nystroem map and the regression in
     one matrix, so a score is one product with the kernel row."""
 
-    def __init__(self, rows: np.ndarray, langs: list[str], landmarks: int, ridge: float, longest: int):
+    def __init__(self, packed: np.ndarray, langs: list[str], landmarks: int, ridge: float, longest: int, at_once: int = 512):
+        """packed: the presence bits of each row, eight to a byte; only `at_once` rows are unpacked at a time."""
         self.names = sorted(set(langs))
-        self.longest, self.buckets = longest, rows.shape[1]
+        self.longest, self.buckets = longest, packed.shape[1] * 8
         labels = np.array([self.names.index(x) for x in langs])
         # landmarks: from each language in turn, in the sample's order
         turn = np.empty(len(labels), np.int64)
         for c in range(len(self.names)):
             own = np.flatnonzero(labels == c)
             turn[own] = np.arange(len(own))
-        self.landmarks = rows[np.lexsort((labels, turn))[:landmarks]]
+        self.landmarks = np.unpackbits(packed[np.lexsort((labels, turn))[:landmarks]], axis=1)
         inner = kernel(self.landmarks, self.landmarks).astype(np.float64)
         values, vectors = np.linalg.eigh((inner + inner.T) / 2)
         good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        features = np.concatenate((kernel(rows, self.landmarks) @ root, np.ones((len(rows), 1))), axis=1)
+        near = np.concatenate([kernel(np.unpackbits(packed[at : at + at_once], axis=1), self.landmarks) for at in range(0, len(packed), at_once)])
+        features = np.concatenate((near @ root, np.ones((len(packed), 1))), axis=1)
         targets = np.where(labels[:, None] == np.arange(len(self.names)), 1.0, -1.0)
         weight = (1 / np.bincount(labels, minlength=len(self.names)))[labels][:, None]  # languages count alike
         penalty = ridge * np.eye(features.shape[1]) * weight.sum() / len(self.names)
@@ -107,17 +109,20 @@ def fit(
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text"))
     rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     common = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).select("lang")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn("nth", first).where(F.col("nth") <= per_language)
-    chosen = F.broadcast(chosen.select("doc_id", "lang").distinct())  # per_language * languages ids at most
-    grams = rows.join(chosen, ["doc_id", "lang"]).select("lang", "text", "doc_id")
+    # an id on several rows: each text counts once, and the bound is one of rows
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    key = ["doc_id", "lang", "text_hash"]
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash"))
+    chosen = rows.select(*key).join(F.broadcast(common), "lang").withColumn("nth", first).where(F.col("nth") <= per_language)
+    chosen = F.broadcast(chosen.select(*key).distinct())  # per_language * languages at most
+    grams = rows.join(chosen, key).groupBy(*key).agg(F.first("text").alias("text"))
     # order by id, so that the model is the same in every run
     taught = grams.select("lang", "text").mapInArrow(_presences(longest, buckets), "lang string, grams binary").where("grams IS NOT NULL")
     taught = sorted((r["lang"], bytes(r["grams"])) for r in taught.collect())
     if not taught:
         return None
-    matrix = np.unpackbits(np.frombuffer(b"".join(g for _, g in taught), np.uint8).reshape(len(taught), -1), axis=1)
-    return Classifier(matrix, [lang for lang, _ in taught], landmarks, ridge, longest)
+    packed = np.frombuffer(b"".join(g for _, g in taught), np.uint8).reshape(len(taught), -1)
+    return Classifier(packed, [lang for lang, _ in taught], landmarks, ridge, longest)
 
 
 def _predict(shared, rows_at_once: int = 256):

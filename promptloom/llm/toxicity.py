@@ -179,7 +179,8 @@ def fit(
     """The index of at most `sample_rows` labelled documents.
 
     Its terms are the at most `vocabulary_size` words and word beginnings whose documents' share of the label is
-    `lift` times above or below the others', with a chi-square of `least` or more. Inverse document frequencies are
+    `lift` times above or below the others', with a chi-square of `least` or more (a third of the labelled rows, the
+    largest value that it can have, where those are so few that this is less). Inverse document frequencies are
     those of all `documents`. The index is bounded by sample_rows and vocabulary_size, and is what is broadcast.
     Without any labelled document all scores are the prior, 0.5.
     """
@@ -196,7 +197,7 @@ def fit(
     chosen = (
         counts.where(F.length("feature") > 0)
         .withColumn("chi", chi)
-        .where((F.col("chi") >= least) & (F.greatest(rate_t / rate_c, rate_c / rate_t) >= lift))
+        .where((F.col("chi") >= min(least, n / 3)) & (F.greatest(rate_t / rate_c, rate_c / rate_t) >= lift))
         .orderBy(F.col("chi").desc(), "feature")
         .limit(vocabulary_size)
     )
@@ -214,8 +215,9 @@ def fit(
     for r in held:
         frequency[r[0]] = r["n"]
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
-    # repeated rows of an id: one example for each
-    known = rows.where("label IS NOT NULL").dropDuplicates().orderBy("doc_id").collect()
+    # an id on several rows is one example: `sample_rows` bounds what comes to the driver, however often ids repeat
+    known = rows.where("label IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("label", "places", "counts")).alias("x"))
+    known = known.select("doc_id", "x.*").orderBy("doc_id").collect()
     return Index(vocabulary, idf, *([r[i] for r in known] for i in range(4)), k) if known else Index(vocabulary, idf, [0, 0], [0, 1], [[], []], [[], []], k)
 
 
@@ -224,7 +226,8 @@ def score(documents: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
     Votes of the nearest labelled documents weigh as the square of their cosine, and one vote of the prior is added, so
     little evidence stays near the prior. A text without any term, empty or null ones included, gets the share among
-    labelled documents without one. Whole texts are read; no row moves.
+    labelled documents without one. Whole texts are read; no row moves. Null ids and repeated rows are scored like others;
+    a column called `toxicity` is replaced, other columns stay as they are. An empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
@@ -238,6 +241,11 @@ def score(documents: DataFrame, index: Index, text: str = "text") -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """`documents` without those predicted toxic; columns and all other rows stay."""
+    """`documents` without those that labelled examples show to be toxic; columns and all other rows stay.
+
+    A document goes if it is predicted toxic and shares a term with a labelled one. Where no example speaks about it -
+    no labels, none that tell toxic from clean apart, a text without any of their terms - its score is a prior and no
+    evidence, and it stays.
+    """
     verdict = score(packed_rows(documents), fit(documents, labels), "row.text")
-    return verdict.where(F.col("toxicity.predicted") == 0).select("row.*")
+    return verdict.where((F.col("toxicity.predicted") == 0) | (F.size("toxicity.neighbours") == 0)).select("row.*")

@@ -465,3 +465,55 @@ def test_pii_discovers_by_contexts_of_what_it_found(spark):
     rows += [(100 + i, f"sums paid from {t} today") for i, t in enumerate([*first, "QQ-55-4321"])] + [(200, "room 12-4567-89 is free")]
     got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] == "card:15:28" and got[104] == "card:15:25" and got[200] == ""
+
+
+def test_neighbours_at_one_distance(spark):
+    """All others equally far: the smallest ids; and an id that two vectors share, each with its own distance."""
+    unit = [(i, [float(i == j) for j in range(64)]) for i in range(64)]
+    rows = [(100 if i == 63 else i, v) for i, v in unit]
+    got = hilbert.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, k=10).collect()
+    assert sorted((r.rank, r.vec_id) for r in got if r.query_id == 100) == [(n + 1, n) for n in range(10)]
+    rows = [(5, [1.0, 0.0]), (6, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.0, 1.0]), (10, [1.0, 0.1])]
+    got = hilbert.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=10).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 3)) for r in got] == [(5, 0.1), (6, 0.1), (5, 1.345), (7, 1.345)]
+    far = [(i, [1e8 + i * 1e-3, 1e8]) for i in range(40)]  # a common offset that squares would drown in
+    got = hilbert.search(spark.createDataFrame(far, "vec_id long, embedding array<double>"), every=20, k=3).collect()
+    gaps = sorted((abs(far[20][1][0] - v[0]), i) for i, v in far if i != 20)
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 20] == [i for _, i in gaps[:3]]
+
+
+def test_toxicity_drops_nothing_without_evidence(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} text", "x") for i in range(60)], "doc_id long, text string, toxicity string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(docs, none).count() == 60
+    half = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")  # no word tells them apart
+    alike = docs.withColumn("text", docs.toxicity)
+    assert toxicity.drop_toxic(alike, half).count() == 60
+    assert toxicity.drop_toxic(docs, none).columns == docs.columns
+
+
+def test_toxicity_of_few_labels_and_repeated_ids(spark):
+    """Under thirty labelled rows, toxic ones with one word in common; one id on many rows is one example."""
+    rows = [(i, f"plain talk {i} " + ("vilehead" if i % 3 == 0 else "kindly")) for i in range(40)] + [(3, f"vilehead again {n}") for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(29)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    assert len(index.ids) <= 29
+    got = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert got == {i for i in range(40) if i % 3}
+
+
+def test_language_sample_is_bounded_by_rows(spark):
+    """One id on many rows, and more languages than the driver could hold unpacked."""
+    rows = [(1, f"so many words of row {n} here", "en") for n in range(600)] + [(2 + i, f"lingua{i} lingua{i} parla {chr(97 + i % 26) * 5}", f"l{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_language=16)
+    assert "en" in model.names and len(model.names) > 20
+    plain = np.random.default_rng(1).integers(0, 2, (50, 64), dtype=np.uint8)
+    packed = np.packbits(plain, axis=1)
+    names = ["a" if r[:8].sum() > 4 else "b" for r in plain]
+    one, many = (langid.Classifier(packed, names, 16, 1e-3, 3, at_once=n) for n in (7, 1000))
+    assert np.allclose(one.scores(plain), many.scores(plain))
+    # the kernel, the landmarks' map and the ridge against their plain forms
+    inner = plain.astype(float) @ plain[:0:-1].T.astype(float)
+    assert np.allclose(langid.kernel(plain, plain[:0:-1]), inner / np.sqrt(plain.sum(1))[:, None] / np.sqrt(plain[:0:-1].sum(1)), atol=1e-5)
