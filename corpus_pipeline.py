@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from promptloom.llm import line_dedup, mixing, packing, simhash, toxicity
-from promptloom.llm.common import settled
+from promptloom.llm.common import written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +42,13 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Learned scores, fingerprints and tokens are beyond SQL; tests/llm holds every stage against a brute-force version.
+#: Learned scores, fingerprints and tokens are beyond SQL; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is written and read again."""
+    """All stages over `documents`; what a stage returns is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
