@@ -58,7 +58,7 @@ def main() -> None:
         whole.repartition(2 * int(cpus)).write.parquet(f"{split_dir}/{table}.parquet")
     sf_dir = split_dir
     rows = {
-        "prompts": spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").count(),
+        "prompts": spark.read.parquet(f"{sf_dir}/conversations.parquet").count(),
         "outputs": spark.read.parquet(f"{sf_dir}/documents.parquet").count(),
         "events": spark.read.parquet(f"{sf_dir}/events.parquet").count(),
     }

@@ -31,7 +31,7 @@ TABLES = {
         {START} + to_seconds(conv_id * 1000 + turn) AS created_at,
         {_list(derived.PROMPT_COMMANDS)}[conv_id % 3 + 1] AS command_name,
         CASE (conv_id * 7 + turn) % 12 {_prompt_text} END AS text
-        FROM conversations WHERE role = 'user'""",
+        FROM conversations""",
     "texts": """SELECT prompt_id AS id, text FROM prompts
         UNION ALL SELECT -doc_id - 1, text FROM documents""",
     "shell_starts": f"""SELECT event_id * 4 AS event_seq, ts, 'start' AS kind, 'bash' AS shell,
@@ -539,7 +539,7 @@ ORACLE["u1_merge_rules"] = query(
 )
 over("u2_line_picks", "tool_texts", "output_id",
      picks=s.compress_log("text"))
-_EXTRA = [q("Fix this."), q("Debug /tmp/app/main.py ValueError: bad config")]
+_EXTRA = [q("Fix this."), q("Debug /srv/jobs/report.py KeyError: no such region")]
 _extra_wins = " ".join(
     f"WHEN k_{i} < n_in AND {s.percent('n_in', f'k_{i}')} - r_{i} >= 3.0 THEN {i}" for i in (1, 2)
 )

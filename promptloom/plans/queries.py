@@ -691,7 +691,7 @@ over("u2_line_picks", tool_texts, "output_id", picks=lambda: compress.compress_l
 def u3(spark, sf_dir):
     """An extra candidate joins the two local ones; it wins only when those are not accepted."""
     prompts = derived.prompts(spark, sf_dir).withColumn(
-        "extra", F.array(F.lit("Fix this."), F.lit("Debug /tmp/app/main.py ValueError: bad config"))
+        "extra", F.array(F.lit("Fix this."), F.lit("Debug /srv/jobs/report.py KeyError: no such region"))
     )
     return opt.optimize(
         prompts, "moderate", min_score=3.0, extra_candidates="extra"

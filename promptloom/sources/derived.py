@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from promptloom.functions.staging import built_once
 
 TRACEBACK = (
-    'Traceback (most recent call last):\n  File "/tmp/app/main.py", line 4, in <module>\n'
-    "    run()\nValueError: bad config"
+    'Traceback (most recent call last):\n  File "/srv/jobs/report.py", line 27, in load\n'
+    "    rows = table[region]\nKeyError: no such region"
 )
 FENCE = "```python\ndef add(a, b):\n    return a + b\n```"
 PROMPT_COMMANDS = ["codex", "claude", "llm"]
@@ -19,9 +19,9 @@ PROMPT_TEMPLATES = [
     "Please please can you help me fix this issue. {T} Thanks in advance.",
     "{T} {T}",
     f"Refactor this please.\n{FENCE}\n{{T}}",
-    f"Please debug this.\n{TRACEBACK}\n\n{TRACEBACK}",
-    "git push origin main",
-    "rm -rf ./build",
+    f"Please debug this.\n{TRACEBACK}\n\n{TRACEBACK}\n{{T}}",
+    "git push origin main {T}",
+    "rm -rf ./build {T}",
     "2024-01-01 ERROR job failed\n" * 3 + "{T}",
     "I keep getting an error over and over.\n  - You must keep the format.\n\tDo not rename files. \n"
     "   Here is my log output below:\n I hope this helps you out.\n{T}",
@@ -98,7 +98,7 @@ def _fill(template: str, text: Column) -> Column:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = table(spark, sf_dir, "conversations")
 
     def filled() -> Column:
         number = (F.col("conv_id") * 7 + F.col("turn")) % 12
