@@ -48,6 +48,43 @@ class Rolling:
         return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
+class Spelling:
+    """Phrases of `size` words spelt out in two 64-bit numbers: a word is one letter, as many bits of its hash as fit. So
+    a phrase that recurs carries all that an automaton needs of it; phrases spelt alike by chance only give further
+    windows to look at."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.bits = next(b for b in (16, 8, 4, 2) if b * size <= 128)
+        self.per = 64 // self.bits
+
+    def letters(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.uint32)
+
+    def spell(self, letters: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases that start at the places `at`."""
+        halves = np.zeros((2, len(at)), np.uint64)
+        for k in range(self.size):
+            half = halves[k // self.per]
+            half <<= np.uint64(self.bits)
+            half |= letters[at + k]
+        return halves[0].view(np.int64), halves[1].view(np.int64)
+
+    def read(self, first: np.ndarray, second: np.ndarray) -> list[str]:
+        """The distinct phrases, a character a word."""
+        halves = np.unique(np.stack((first, second)), axis=1).view(np.uint64)
+        out = np.zeros((halves.shape[1], self.size), np.uint32)
+        for k in range(self.size):
+            last = min(self.size, (k // self.per + 1) * self.per) - 1
+            out[:, k] = halves[k // self.per] >> np.uint64((last - k) * self.bits) & np.uint64((1 << self.bits) - 1)
+        text = as_text(out)
+        return [text[i : i + self.size] for i in range(0, len(text), self.size)]
+
+
+def as_text(letters: np.ndarray) -> str:
+    return letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class Words:
     """The words of several texts in one sequence, with each word's text and its place there."""
 
@@ -89,29 +126,25 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchors(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(1)
+        rolling, spelling = Rolling(1), Spelling(phrase)
         for batch in slices(batches, "text"):
-            texts = byte_texts(batch)
             ids, known = _ids(batch.column(0))
-            words = Words(texts, rolling)
-            _, chosen, hashes = words.anchors(rolling, window, phrase)
-            at = np.unique(chosen)
+            words = Words(byte_texts(batch), rolling)
+            at = np.unique(words.anchors(rolling, window, phrase)[1])
             at = at[known[words.of[at]]]
-            of = words.of[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[at].view(np.int64)), pa.array(ids[of]), pa.array(_tags(texts)[of] | words.place[at])], ["h", "doc", "pos"]
-            )
+            spelt = spelling.spell(spelling.letters(words.hashes), at)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, spelt), pa.array(ids[words.of[at]])], ["p1", "p2", "doc"])
 
     return run
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted partition whose hash the row before or behind has as well. The first and the last row go on
-    as they are, whatever the neighbouring partitions hold: what follows only needs candidates."""
+    """Rows of a sorted partition whose phrase the row before or behind has as well: passages confirmed to recur. The
+    first and the last row go on as they are, whatever the neighbouring partitions hold."""
     held, alike = None, True
 
     def rows(table, keep):
-        return pa.RecordBatch.from_arrays([pa.array(table[1][keep]), pa.array(table[2][keep])], ["doc", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(column[keep]) for column in table], ["p1", "p2", "doc"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -119,7 +152,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = [batch.column(i).to_numpy() for i in range(3)]
         if held is not None:
             now = [np.concatenate((h, n)) for h, n in zip(held, now, strict=True)]
-        same = np.concatenate(([alike], now[0][1:] == now[0][:-1]))
+        same = np.concatenate(([alike], (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1])))
         keep = same.copy()
         keep[:-1] |= same[1:]
         yield rows(now, np.flatnonzero(keep[:-1]))
@@ -129,37 +162,24 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(window: int, phrase: int):
-    """Compiles the phrases that recur and that this shard of documents can hold, streams the shard's documents
-    through the automaton, and gives out the windows whose chosen phrase is among the occurrences."""
+    """Compiles the confirmed phrases of a shard of documents, streams its documents through the automaton, which alone
+    says where they stand, and gives out the windows whose chosen phrase is among the occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, second = Rolling(1), Rolling(2)
+        rolling, second, spelling = Rolling(1), Rolling(2), Spelling(phrase)
         for batch in slices(batches, "text"):
             texts = byte_texts(batch)
-            places = batch.column(2).to_pylist()
-            wanted = [i for i, p in enumerate(places) if p]
-            if not wanted:
-                continue
-            texts, places = [texts[i] for i in wanted], [places[i] for i in wanted]
-            ids = _ids(batch.column(0).take(pa.array(wanted)))[0]
+            ids = _ids(batch.column(0))[0]
             words, tags = Words(texts, rolling), _tags(texts)
             windows, chosen, _ = words.anchors(rolling, window, phrase)
             if not len(windows):
                 continue
-            letters = np.unique(words.hashes, return_inverse=True)[1] + 1
-            first = np.cumsum(words.counts) - words.counts
-            starts = []
-            for i, found in enumerate(places):
-                found = np.array(found, np.int64)
-                starts.append(found[(found >> 31) << 31 == tags[i]] - tags[i] + first[i])
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            for phrase_letters in {tuple(x) for x in letters[np.unique(np.concatenate(starts))[:, None] + np.arange(phrase)].tolist()}:
-                automaton.add_word(phrase_letters, 1)
-            occurs = np.zeros(len(letters), bool)
-            if len(automaton):
-                automaton.make_automaton()
-                ends = np.fromiter((end for end, _ in automaton.iter(tuple(letters.tolist()))), np.int64)
-                occurs[ends - phrase + 1] = True
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for spelt in spelling.read(*(half.to_numpy(zero_copy_only=False) for half in batch.column(2).flatten().flatten())):
+                automaton.add_word(spelt)
+            automaton.make_automaton()
+            occurs = np.zeros(len(words.of), bool)
+            occurs[np.fromiter((end for end, _ in automaton.iter(as_text(spelling.letters(words.hashes)))), np.int64) - phrase + 1] = True
             at = windows[occurs[chosen]]
             of = words.of[at]
             other = second.runs(mix(words.hashes), at, at + window)
@@ -204,10 +224,11 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, phrase: int = P
     Whole copies of another document, whose windows all do, and documents without any are left out. A start is a word's place in its text, behind the text's CRC-32 (bits 31 and up).
 
     1. Each window chooses one phrase of `phrase` words by its hash, so equal windows choose equal phrases: about one
-       place in seven. Their hashes are range-partitioned and sorted with the place; those met twice recur.
-    2. Documents meet their recurring phrases by id. A task compiles those of a shard of about 2 MB of text into an
-       Aho-Corasick automaton over word numbers and streams the shard through it: every occurrence is located, and an
-       automaton is as large as its shard's phrases, not as those of the corpus.
+       place in seven. The phrases, spelt out but without their places, are range-partitioned and sorted: those met
+       twice are confirmed.
+    2. Confirmed phrases go to the shards of documents that can hold them, about 2 MB of text each. A task compiles
+       those of a shard into an Aho-Corasick automaton over words and streams the shard through it. The places of
+       all occurrences come from the automaton; it is as large as its shard's phrases, not as those of the corpus.
     3. Windows around occurrences are range-partitioned by their 96-bit hash and place, sorted and streamed: all but
        the first of a hash repeat. A passage that a third of the documents share is spread by place over partitions;
        a partition only asks its neighbours about its first row.
@@ -230,10 +251,11 @@ def _with_copies(documents: DataFrame) -> DataFrame:
 def _starts(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     n = partitions(texts.sparkSession)
     narrow = texts.where("NOT copied").select("doc_id", "text")
-    anchors = narrow.mapInArrow(_anchors(window, phrase), "h long, doc long, pos long")
-    anchors = anchors.repartitionByRange(n, "h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
-    located = anchors.mapInArrow(_recurring, "doc long, pos long").groupBy("doc").agg(F.collect_list("pos").alias("places"))
-    shards = texts.join(located, texts["doc_id"] == located["doc"], "left").where("NOT copied").select("doc_id", "text", "places")
+    phrases = "p1 long, p2 long, doc long"
+    anchors = narrow.mapInArrow(_anchors(window, phrase), phrases)
+    anchors = anchors.repartitionByRange(n, "p1", "p2", "doc").sortWithinPartitions("p1", "p2")
+    confirmed = anchors.mapInArrow(_recurring, phrases).groupBy("doc").agg(F.collect_list(F.struct("p1", "p2")).alias("phrases"))
+    shards = texts.join(confirmed, texts["doc_id"] == confirmed["doc"]).where("NOT copied").select("doc_id", "text", "phrases")
     found = shards.mapInArrow(_candidates(window, phrase), "h1 long, h2 int, doc long, pos long")
     order = ("h1", "h2", "doc", "pos")
     found = found.repartitionByRange(n, *order).sortWithinPartitions(*order)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -260,6 +261,29 @@ def test_phrases(spark, docs, nothing, batch):
     assert phrases.remove_repeats(nothing).count() == 0
 
 
+def test_phrases_are_located_by_the_automaton():
+    """Only windows whose chosen phrase is among the confirmed ones come out, whatever else the shard holds."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 900, n)) for n in (400, 19, 60)]
+    for size in (3, 8, 11, 40):
+        window = size + 12
+        words = phrases.Words([t.encode() for t in texts], phrases.Rolling(1))
+        windows, chosen, _ = words.anchors(phrases.Rolling(1), window, size)
+        spelling = phrases.Spelling(size)
+        some = np.unique(chosen)[::5]
+        spelt = spelling.spell(spelling.letters(words.hashes), some)
+        letters = phrases.as_text(spelling.letters(words.hashes))
+        assert sorted(spelling.read(*spelt)) == sorted({letters[a : a + size] for a in some})
+        rows = [{"p1": int(a), "p2": int(b)} for a, b in zip(*spelt, strict=True)]
+        kind = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64())]))
+        batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(texts), pa.array([rows, rows[:1], rows[:2]], kind)], ["doc_id", "text", "phrases"])
+        (out,) = phrases._candidates(window, size)([batch])
+        at = windows[np.isin(chosen, some)]
+        assert len(at) > 30
+        places = [t & ((1 << 31) - 1) for t in out.column(3).to_pylist()]
+        assert list(zip(out.column(2).to_pylist(), places, strict=True)) == [([7, 8, 9][words.of[a]], words.place[a]) for a in at]
+
+
 def vectors():
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 16))
