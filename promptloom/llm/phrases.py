@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import SPACE, byte_texts, partitions, settled, slices, text_only, written
+from promptloom.llm.common import SPACE, byte_texts, partitions, run_starts, settled, slices, text_only, written
 
 WINDOW, PHRASE = 20, 8
 _IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE, np.uint8))
@@ -72,8 +72,11 @@ class Spelling:
 
     def read(self, first: np.ndarray, second: np.ndarray) -> list[str]:
         """The distinct phrases, a character a word."""
-        halves = np.unique(np.stack((first, second)), axis=1).view(np.uint64)
-        out = np.zeros((halves.shape[1], self.size), np.uint32)
+        order = np.lexsort((second, first))
+        halves = [half[order].view(np.uint64) for half in (first, second)]
+        starts = run_starts(*halves)
+        halves = [half[starts] for half in halves]
+        out = np.zeros((len(starts), self.size), np.uint32)
         for k in range(self.size):
             last = min(self.size, (k // self.per + 1) * self.per) - 1
             out[:, k] = halves[k // self.per] >> np.uint64((last - k) * self.bits) & np.uint64((1 << self.bits) - 1)
@@ -168,6 +171,7 @@ def _candidates(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, second, spelling = Rolling(1), Rolling(2), Spelling(phrase)
         for batch in slices(batches, "text"):
+            batch = batch.filter(batch.column(2).is_valid())
             texts = byte_texts(batch)
             ids = _ids(batch.column(0))[0]
             words, tags = Words(texts, rolling), _tags(texts)
@@ -255,7 +259,8 @@ def _starts(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     anchors = narrow.mapInArrow(_anchors(window, phrase), phrases)
     anchors = anchors.repartitionByRange(n, "p1", "p2", "doc").sortWithinPartitions("p1", "p2")
     confirmed = anchors.mapInArrow(_recurring, phrases).groupBy("doc").agg(F.collect_list(F.struct("p1", "p2")).alias("phrases"))
-    shards = texts.join(confirmed, texts["doc_id"] == confirmed["doc"]).where("NOT copied").select("doc_id", "text", "phrases")
+    # a left join, as everywhere below: an inner one would filter the texts first, and shuffle them once more for it
+    shards = texts.join(confirmed, texts["doc_id"] == confirmed["doc"], "left").where("NOT copied").select("doc_id", "text", "phrases")
     found = shards.mapInArrow(_candidates(window, phrase), "h1 long, h2 int, doc long, pos long")
     order = ("h1", "h2", "doc", "pos")
     found = found.repartitionByRange(n, *order).sortWithinPartitions(*order)
