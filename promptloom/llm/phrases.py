@@ -51,12 +51,14 @@ class Rolling:
 class Spelling:
     """Phrases of `size` words spelt out in two 64-bit numbers: a word is one letter, as many bits of its hash as fit. So
     a phrase that recurs carries all that an automaton needs of it; phrases spelt alike by chance only give further
-    windows to look at."""
+    windows to look at. As text, a letter is `width` characters of a byte: a node of the automaton goes through its
+    branches in turn, so it must not have one for every word."""
 
     def __init__(self, size: int):
         self.size = size
         self.bits = next(b for b in (16, 8, 4, 2) if b * size <= 128)
         self.per = 64 // self.bits
+        self.width = max(1, self.bits // 8)
 
     def letters(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.uint32)
@@ -70,8 +72,11 @@ class Spelling:
             half |= letters[at + k]
         return halves[0].view(np.int64), halves[1].view(np.int64)
 
+    def text(self, letters: np.ndarray) -> str:
+        return letters.astype(f"<u{self.width}").tobytes().decode("latin-1")
+
     def read(self, first: np.ndarray, second: np.ndarray) -> list[str]:
-        """The distinct phrases, a character a word."""
+        """The distinct phrases as text."""
         order = np.lexsort((second, first))
         halves = [half[order].view(np.uint64) for half in (first, second)]
         starts = run_starts(*halves)
@@ -80,12 +85,8 @@ class Spelling:
         for k in range(self.size):
             last = min(self.size, (k // self.per + 1) * self.per) - 1
             out[:, k] = halves[k // self.per] >> np.uint64((last - k) * self.bits) & np.uint64((1 << self.bits) - 1)
-        text = as_text(out)
-        return [text[i : i + self.size] for i in range(0, len(text), self.size)]
-
-
-def as_text(letters: np.ndarray) -> str:
-    return letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        text, length = self.text(out), self.size * self.width
+        return [text[i : i + length] for i in range(0, len(text), length)]
 
 
 class Words:
@@ -182,8 +183,9 @@ def _candidates(window: int, phrase: int):
             for spelt in spelling.read(*(half.to_numpy(zero_copy_only=False) for half in batch.column(2).flatten().flatten())):
                 automaton.add_word(spelt)
             automaton.make_automaton()
+            ends = np.fromiter((end for end, _ in automaton.iter(spelling.text(spelling.letters(words.hashes)))), np.int64) + 1
             occurs = np.zeros(len(words.of), bool)
-            occurs[np.fromiter((end for end, _ in automaton.iter(as_text(spelling.letters(words.hashes)))), np.int64) - phrase + 1] = True
+            occurs[ends[ends % spelling.width == 0] // spelling.width - phrase] = True
             at = windows[occurs[chosen]]
             of = words.of[at]
             other = second.runs(mix(words.hashes), at, at + window)

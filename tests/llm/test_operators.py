@@ -272,8 +272,8 @@ def test_phrases_are_located_by_the_automaton():
         spelling = phrases.Spelling(size)
         some = np.unique(chosen)[::5]
         spelt = spelling.spell(spelling.letters(words.hashes), some)
-        letters = phrases.as_text(spelling.letters(words.hashes))
-        assert sorted(spelling.read(*spelt)) == sorted({letters[a : a + size] for a in some})
+        letters = spelling.text(spelling.letters(words.hashes))
+        assert sorted(spelling.read(*spelt)) == sorted({letters[a * spelling.width : (a + size) * spelling.width] for a in some})
         rows = [{"p1": int(a), "p2": int(b)} for a, b in zip(*spelt, strict=True)]
         kind = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64())]))
         batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(texts), pa.array([rows, rows[:1], rows[:2]], kind)], ["doc_id", "text", "phrases"])
