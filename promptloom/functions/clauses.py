@@ -11,9 +11,12 @@ import math
 import re
 import sys
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -48,14 +51,18 @@ class Overlaps:
 
     def __init__(self, bags: list[set[str]], threshold: float):
         self.threshold = threshold
-        self.often = Counter(word for bag in bags for word in bag)
+        often = Counter(word for bag in bags for word in bag)
+        self.place = {word: n for n, word in enumerate(sorted(often, key=lambda w: (often[w], w)))}
+        self.latest: tuple[set[str], list[str]] = (set(), [])
         self.by_first: dict[str, list[int]] = defaultdict(list)
         self.by_any: dict[str, list[int]] = defaultdict(list)
         self.bags: dict[int, set[str]] = {}
 
     def _first(self, bag: set[str]) -> list[str]:
-        need = max(1, math.ceil(self.threshold * len(bag) - 1e-9))
-        return sorted(bag, key=lambda w: (self.often[w], w))[: len(bag) - need + 1]
+        if self.latest[0] is not bag:  # a set is looked up, then added
+            need = max(1, math.ceil(self.threshold * len(bag) - 1e-9))
+            self.latest = (bag, sorted(bag, key=self.place.__getitem__)[: len(bag) - need + 1])
+        return self.latest[1]
 
     def near(self, bag: set[str]) -> Iterator[int]:
         """Positions of the sets that overlap ``bag``, each once, in no order."""
@@ -121,3 +128,51 @@ def overlap_udf(threshold: float):
         return texts.map(report)
 
     return overlaps
+
+
+#: Pairs given out at a time.
+PAIRS = 1 << 16
+
+
+def pairs_within(threshold: float, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, at, words), sorted by key and at, to rows (key, first place, second place, words shared), called
+    ``names``, of those that overlap under one key. Holds one key's rows at a time, and no more than ``PAIRS`` pairs of it besides one row's."""
+
+    def overlapping(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, group in groupby(rows, itemgetter(0)):
+            places, bags = [], []
+            for _, at, words in group:
+                places.append(at)
+                bags.append(set(words.split(" ")))
+            if len(bags) == 1:
+                continue
+            known = Overlaps(bags, threshold)
+            for i, bag in enumerate(bags):
+                for j in known.near(bag):
+                    if places[j] < places[i]:
+                        yield key, places[j], places[i], len(bag & bags[j])
+                known.add(i, bag)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                types[:] = batch.schema.types
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        def table(found: list[tuple]) -> pa.RecordBatch:
+            key, place, _ = types
+            columns = zip(zip(*found, strict=True), (key, place, place, pa.int32()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=names)
+
+        found: list[tuple] = []
+        for pair in overlapping(rows()):
+            found.append(pair)
+            if len(found) == PAIRS:
+                yield table(found)
+                found = []
+        if found:
+            yield table(found)
+
+    return pairs

@@ -198,3 +198,27 @@ def test_pairs_of_overlapping_clauses(spark):
     long = spark.range(1).select("id", F.array_join(sentences, " ").alias("text"))
     many = overlapping_pairs(clause_bags(long, "id", "text"), "id", 0.9)
     assert many.count() == 0
+
+
+def test_pairs_travel_once_by_text(spark):
+    """Short and long texts give the pairs of all rows against all, also where a key comes twice: a repeated row takes
+    no keyword's place among those that a class looks up. Sentences are shuffled once."""
+    from promptloom.operators.intext import clause_bags, overlapping_pairs
+
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega", "theta", "lambda", "upsilon"]
+    text = "Alone alpha beta gamma delta kappa sigma. Alpha beta gamma delta kappa sigma omega theta. "
+    text += "Omega theta. Alone again. " + " ".join(" ".join(rng.sample(words, rng.randint(1, 9))) + "." for _ in range(30))
+    rows = [(1, text), (1, text), (2, text), (3, "Alpha beta. Beta alpha gamma."), (3, "Gamma. Delta gamma."), (None, text)]
+    bags = clause_bags(spark.createDataFrame(rows, "id bigint, text string"), "id", "text")
+    assert bags._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    found = [(r.id, r.pos, set(r.bag)) for r in bags.collect() if r.pos == r.first_pos]
+    want = sorted(
+        (i, a, b, len(x & y)) for i, a, x in found for j, b, y in found
+        if i == j and a < b and len(x & y) / min(len(x), len(y)) >= 0.85
+    )
+    assert want.count((1, 0, 1, 6)) == 4 and want.count((2, 0, 1, 6)) == 1
+    for most in (1, 30, 4096):
+        got = overlapping_pairs(bags, "id", 0.85, most=most)
+        assert got.columns == ["id", "first_pos", "second_pos", "shared"]
+        assert sorted(tuple(r) for r in got.collect()) == want
