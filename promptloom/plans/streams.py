@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,19 @@ from promptloom.sources.tables import FEEDBACK, RUNS, SHELL_EVENTS, DayTable, Ro
 from promptloom.streaming import events as live
 
 
-def _source(spark: SparkSession, sf_dir: str, root: str, files_per_trigger: int | None = 1) -> DataFrame:
-    """The events as files of a time range each; by default every file is a micro-batch."""
+#: Events in a file of a stream's input: a file is about what one task reads.
+EVENTS_PER_FILE = 100_000
+
+
+def _source(spark: SparkSession, sf_dir: str, root: str, batches: int = 4) -> DataFrame:
+    """The events as files of a time range each, a quarter of the files a micro-batch. There are as many files as the
+    events ask for, so that a batch is read by many tasks however much it holds."""
+    count = derived.table(spark, sf_dir, "events").count()
+    at_once = max(1, math.ceil(count / (batches * EVENTS_PER_FILE)))
     typed(derived.shell_events(spark, sf_dir), SHELL_EVENTS).repartitionByRange(
-        4, "ts", "event_seq"
+        batches * at_once, "ts", "event_seq"
     ).write.parquet(f"{root}/in")
-    return live.read_event_stream(spark, f"{root}/in", files_per_trigger=files_per_trigger)
+    return live.read_event_stream(spark, f"{root}/in", files_per_trigger=at_once)
 
 
 def _run(stream: DataFrame, root: str) -> None:

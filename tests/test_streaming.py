@@ -94,3 +94,22 @@ def test_stored_events_age_as_they_arrive(spark, tmp_path):
     for number, days in enumerate(([1, 2], [9, 5], [5, 7], [5, 7], [10])):
         step(spark.createDataFrame([(d, d * 86_400 + 7) for d in days], "id bigint, sec bigint").selectExpr("id", "timestamp_seconds(sec) AS at"), number)
     assert sorted(r.id for r in table.read().collect()) == [7, 7, 9, 10]
+
+
+def test_micro_batches_of_many_files(spark, tmp_path, monkeypatch):
+    """More events make more files of a micro-batch, not larger ones: a batch is read by many tasks."""
+    monkeypatch.setattr(streams, "EVENTS_PER_FILE", 50)
+    columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
+    rows = spark.range(1000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 7) AS ts", "id % 40 AS user_id", "'view' AS event_type"
+    )
+    rows.union(spark.createDataFrame([(None, None, None, None)], columns)).write.parquet(f"{tmp_path}/events.parquet")
+    stream = streams._source(spark, str(tmp_path), str(tmp_path / "work"))
+    files = spark.read.parquet(f"{tmp_path}/work/in").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 12 and max(r["count"] for r in files) < 400
+    sizes = []
+    streams.run_batches(stream, lambda batch, n: sizes.append(batch.select(F.input_file_name()).distinct().count()), str(tmp_path / "run"))
+    assert 3 <= len(sizes) <= 4 and max(sizes) > 3 and sum(sizes) == len(files)
+    logged = log_events(derived.shell_events(spark, str(tmp_path)).where("kind = 'start'")).select("event_id", "risk_level")
+    got = streams.ingested(spark, str(tmp_path)).select("event_id", "risk_level")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, logged.collect()), key=repr)
