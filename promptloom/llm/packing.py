@@ -41,7 +41,9 @@ def _tokenizer(name: str):
 
 #: Chunks whose parts the tokenizer keeps apart and takes as they are: lower-case letters that no normalisation changes,
 #: between signs. Not the apostrophe, which may begin a token with letters behind it.
-_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = r"([!-&(-/:-@\[-`{-~]*)([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)"
+#: Lines of one chunk each: its three parts, or the chunk itself. Chunks hold no line ends.
+_PARTED = re.compile(f"^(?:{_PLAIN}|(.+))$", re.M)
 _SPECIAL = "<|"  # begins the names of special tokens
 
 
@@ -57,6 +59,14 @@ def _letters(name: str):
     return Tokenizer.from_str(json.dumps(form)), str.maketrans(character)
 
 
+def _places_of_none(items: list) -> list[int]:
+    places, at = [], -1
+    for _ in range(items.count(None)):
+        at = items.index(None, at + 1)
+        places.append(at)
+    return places
+
+
 class ChunkTokens:
     """Ids of whole texts by way of their white-space-free chunks. The tokenizer drops white space and never merges
     across it, so the ids of a text are those of its chunks in order; chunks come again and again. Of a chunk of letters
@@ -79,26 +89,33 @@ class ChunkTokens:
         if len(self.parts) > REMEMBERED:
             self.parts = {"": b""}
         known, fresh = self.known, []
-        for c in {c for text in chunks for c in text if c not in known}:
+        found = [list(map(known.get, text)) for text in chunks]  # the one look-up of a known chunk
+        missing = [(text, ids, _places_of_none(ids)) for text, ids in zip(chunks, found, strict=True)]
+        for c in {text[at] for text, _, places in missing for at in places}:
             ids = self.before.get(c)
             if ids is None:
                 fresh.append(c)
             else:
                 known[c] = ids
         self._learn(fresh)
-        return [b"".join([known[c] for c in text]) for text in chunks]
+        for text, ids, places in missing:
+            for at in places:
+                ids[at] = known[text[at]]
+        return [b"".join(ids) for ids in found]
 
     def _learn(self, chunks: list[bytes]) -> None:
+        if not chunks:
+            return
         plain, other, parts = [], [], self.parts
-        for chunk in chunks:
-            text = chunk.decode()
-            found = _PLAIN.fullmatch(text)
-            if found and _SPECIAL not in text:
-                plain.append((chunk, found.groups()))
+        joined = b"\n".join(chunks).decode()
+        special = _SPECIAL in joined
+        for chunk, (a, word, b, text) in zip(chunks, _PARTED.findall(joined), strict=True):
+            if word and not (special and _SPECIAL in a + " " + b):
+                plain.append((chunk, a, word, b))
             else:
-                other.append(text)
-        signs = list({s for _, (a, _, b) in plain for s in (a, b) if s not in parts})
-        letters = list({w for _, (_, w, _) in plain if w not in parts})
+                other.append(text or a + word + b)
+        signs = list({s for _, a, _, b in plain for s in (a, b) if s not in parts})
+        letters = list({w for _, _, w, _ in plain if w not in parts})
         for at in range(0, len(signs), BATCH):
             parts.update(zip(signs[at : at + BATCH], self._encode(signs[at : at + BATCH]), strict=True))
         for at in range(0, len(letters), BATCH):
@@ -107,7 +124,7 @@ class ChunkTokens:
         for at in range(0, len(other), BATCH):
             some = other[at : at + BATCH]
             self.known.update(zip([c.encode() for c in some], self._encode(some), strict=True))
-        for chunk, (a, word, b) in plain:
+        for chunk, a, word, b in plain:
             self.known[chunk] = parts[a] + parts[word] + parts[b]
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
@@ -115,14 +132,16 @@ class ChunkTokens:
         found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         cuts = np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(p) + 1 for p in chunks])).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts, strict=False)]
+        whole = ids.tobytes()
+        return [whole[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def _encode_letters(self, words: list[str]) -> list[bytes]:
         written = [w if w.isascii() else w.translate(self.characters) for w in words]
         found = self.merges.encode(written, add_special_tokens=False, is_pretokenized=True)
         ids = np.array(found.ids, "<u4")
         cuts = np.searchsorted(found.word_ids, np.arange(1, len(words) + 1)).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts, strict=False)]
+        whole = ids.tobytes()
+        return [whole[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 @lru_cache(maxsize=1)

@@ -541,3 +541,31 @@ def test_language_sample_is_bounded_by_rows(spark):
     # the kernel, the landmarks' map and the ridge against their plain forms
     inner = plain.astype(float) @ plain[:0:-1].T.astype(float)
     assert np.allclose(langid.kernel(plain, plain[:0:-1]), inner / np.sqrt(plain.sum(1))[:, None] / np.sqrt(plain[:0:-1].sum(1)), atol=1e-5)
+
+
+def test_packing_looks_a_known_chunk_up_once():
+    """The ids of known chunks cost one look-up each; fresh ones, also repeated or in odd forms, get the tokenizer's."""
+    from promptloom.llm.packing import TOKENIZER, ChunkTokens
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+    texts = ["one two, two (three) it's 'tis", "", "Über <| x <|y z\u0301 \U0001f600! a1 <|", "two two one \x0b\x0c zz\x1cq \x85 end"]
+    tokens = ChunkTokens(TOKENIZER)
+    want = [np.array(tokens.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert tokens([x.encode() for x in texts]) == want
+    tokens.known = Counted(tokens.known)
+    assert tokens([x.encode() for x in texts]) == want
+    assert 0 < tokens.known.asked <= sum(len(x.encode().split()) for x in texts)
