@@ -1,4 +1,4 @@
-"""Greedy clause de-duplication: the one text step that runs in Python, as an Arrow batch UDF.
+"""Overlapping clauses: greedy de-duplication and pairs, the text steps that run in Python on Arrow batches.
 
 A sentence goes if it repeats one kept before it, inside one text. Only sentences that share a rare
 word are compared, so the work grows about with the text. Batches cross to Python as Arrow; each text
