@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +17,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import byte_texts, settled, single_thread, slices, text_only
+from promptloom.llm.common import SPACE, byte_texts, settled, single_thread, slices, text_only
 
 LENGTH, END_ID, OPEN_WINDOWS = 4096, 2, 64
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks whose ids a worker remembers; it then starts anew.
+#: Atoms whose ids a worker remembers, and as many again of those before; it then drops the older half.
 REMEMBERED = 400_000
-#: Chunks encoded at a time: the library's results are large beside the ids.
+#: Atoms encoded at a time: the library's results are large beside the ids.
 BATCH = 1024
+#: Bytes of text whose atoms are found at once; the texts of a batch come in slices of as much.
+BLOCK = 1 << 22
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"
 _ARROW = pa.schema(
@@ -39,109 +43,147 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
 
 
-#: Chunks whose parts the tokenizer keeps apart and takes as they are: lower-case letters that no normalisation changes,
-#: between signs. Not the apostrophe, which may begin a token with letters behind it.
-_PLAIN = r"([!-&(-/:-@\[-`{-~]*)([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)"
-#: Lines of one chunk each: its three parts, or the chunk itself. Chunks hold no line ends.
-_PARTED = re.compile(f"^(?:{_PLAIN}|(.+))$", re.M)
-_SPECIAL = "<|"  # begins the names of special tokens
+#: Kinds of bytes. Letters are ASCII's and the lower-case ones of Latin-1 (0xC3 and a byte), which no normalisation but
+#: lower-casing changes. ODD are all other bytes and the apostrophe, which may begin a token with letters behind it.
+#: CASED begin the marks that follow a letter, whose case may then tell.
+_SPACE, _LETTER, _SIGN, _DIGIT, _ODD, _CASED = range(6)
+_FORMS = rb"[ \t-\r]", rb"[A-Za-z\xc3\x9f-\xb6\xb8-\xbf]", rb"[!-&(-/:-@\[-`{-~]", rb"[0-9]", rb"[^\xcc\xcd]", rb"."
+_KINDS = bytes(next(kind for kind, form in enumerate(_FORMS) if re.match(form, bytes([x]))) for x in range(256))
+_SPECIAL = b"<|"  # begins the names of special tokens
 
 
 @lru_cache(maxsize=1)
 def _letters(name: str):
-    """The tokenizer's merges alone, for words that need no normalisation, and what it writes for letters beyond ASCII."""
+    """The tokenizer's merges alone, for words that need no normalisation, and the characters that it writes for bytes."""
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
     form = json.loads(_tokenizer(name).to_str()) | {"normalizer": None, "pre_tokenizer": None}
     signs = ByteLevel(add_prefix_space=False, use_regex=False)
-    character = {x: signs.pre_tokenize_str(chr(x))[0][0] for x in range(0xDF, 0x100)}
-    return Tokenizer.from_str(json.dumps(form)), str.maketrans(character)
-
-
-def _places_of_none(items: list) -> list[int]:
-    places, at = [], -1
-    for _ in range(items.count(None)):
-        at = items.index(None, at + 1)
-        places.append(at)
-    return places
+    characters = [chr(x) for x in range(256)]
+    for x in range(0xC0, 0x100):  # in UTF-8 0xC3 and a second byte
+        characters[0xC3], characters[x - 0x40] = signs.pre_tokenize_str(chr(x))[0][0]
+    return Tokenizer.from_str(json.dumps(form)).model, "".join(characters)
 
 
 class ChunkTokens:
-    """Ids of whole texts by way of their white-space-free chunks. The tokenizer drops white space and never merges
-    across it, so the ids of a text are those of its chunks in order; chunks come again and again. Of a chunk of letters
-    between signs the letters and the signs are tokenised apart, as the tokenizer does: the letters come again with
-    other signs, and need no more than the merges."""
+    """Ids of whole texts by way of their atoms. The tokenizer drops white space and never merges across it, and in a
+    chunk without white space it takes runs of letters, runs of signs and single digits each by itself: these are the
+    atoms, and a chunk with anything else in it is one as a whole. Atoms are found and told apart for many texts at
+    once, so that only distinct ones are looked up, and only those not met before tokenised."""
 
     def __init__(self, tokenizer: str):
         self.tokenizer = _tokenizer(tokenizer)
         self.merges, self.characters = _letters(tokenizer)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}  # what was known until `known` was full; what is met again moves back
-        self.parts: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # the tokenizer lower-cases; only a mark that follows a letter, or a special token's name, tells cases apart
-        chunks = [(t if b"\xcc" in t or _SPECIAL.encode() in t else t.lower()).split() for t in texts]
+        if sum(map(len, texts)) <= BLOCK:
+            return self._ids(texts)
+        return [b"".join(part for block in _blocks(text) for part in self._ids([block])) for text in texts]
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        joined = b"\n".join([*texts, b""])
+        atoms, kinds, starts = _atoms(joined)
+        distinct = atoms.dictionary_encode()
+        places = distinct.indices.to_numpy()
+        kind = np.empty(len(distinct.dictionary), np.uint8)
+        kind[places] = kinds
+        ids = pa.array(self._look_up(distinct.dictionary.to_pylist(), kind), pa.large_binary()).take(distinct.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        cuts = np.frombuffer(offsets, np.int64)[ends].tolist() if len(ids) else [0] * len(texts)
+        whole = memoryview(data) if data else b""
+        return [bytes(whole[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _look_up(self, atoms: list[bytes], kinds: np.ndarray) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        known, fresh = self.known, []
-        found = [list(map(known.get, text)) for text in chunks]  # the one look-up of a known chunk
-        missing = [(text, ids, _places_of_none(ids)) for text, ids in zip(chunks, found, strict=True)]
-        for c in {text[at] for text, _, places in missing for at in places}:
-            ids = self.before.get(c)
-            if ids is None:
-                fresh.append(c)
-            else:
-                known[c] = ids
-        self._learn(fresh)
-        for text, ids, places in missing:
-            for at in places:
-                ids[at] = known[text[at]]
-        return [b"".join(ids) for ids in found]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if not chunks:
-            return
-        plain, other, parts = [], [], self.parts
-        joined = b"\n".join(chunks).decode()
-        special = _SPECIAL in joined
-        for chunk, (a, word, b, text) in zip(chunks, _PARTED.findall(joined), strict=True):
-            if word and not (special and _SPECIAL in a + " " + b):
-                plain.append((chunk, a, word, b))
+        ids = list(map(self.known.get, atoms))
+        letters = (kinds == _LETTER).tolist()
+        fresh: tuple[list[int], list[int]] = [], []
+        at = -1
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            ids[at] = self.before.get(atoms[at])
+            if ids[at] is None:
+                fresh[letters[at]].append(at)
             else:
-                other.append(text or a + word + b)
-        signs = list({s for _, a, _, b in plain for s in (a, b) if s not in parts})
-        letters = list({w for _, _, w, _ in plain if w not in parts})
-        for at in range(0, len(signs), BATCH):
-            parts.update(zip(signs[at : at + BATCH], self._encode(signs[at : at + BATCH]), strict=True))
-        for at in range(0, len(letters), BATCH):
-            some = letters[at : at + BATCH]
-            parts.update(zip(some, self._encode_letters(some), strict=True))
-        for at in range(0, len(other), BATCH):
-            some = other[at : at + BATCH]
-            self.known.update(zip([c.encode() for c in some], self._encode(some), strict=True))
-        for chunk, a, word, b in plain:
-            self.known[chunk] = parts[a] + parts[word] + parts[b]
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        """One text of the chunks, parted again by where the tokens begin: less per chunk than a text for each."""
-        found = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        cuts = np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(p) + 1 for p in chunks])).tolist()
-        whole = ids.tobytes()
-        return [whole[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        written = [w if w.isascii() else w.translate(self.characters) for w in words]
-        found = self.merges.encode(written, add_special_tokens=False, is_pretokenized=True)
-        ids = np.array(found.ids, "<u4")
-        cuts = np.searchsorted(found.word_ids, np.arange(1, len(words) + 1)).tolist()
-        whole = ids.tobytes()
-        return [whole[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
+                self.known[atoms[at]] = ids[at]
+        for places, encode in zip(fresh, (self._encode, self._encode_letters), strict=True):
+            for i in range(0, len(places), BATCH):
+                some = places[i : i + BATCH]
+                for at, found in zip(some, encode([atoms[at] for at in some]), strict=True):
+                    ids[at] = self.known[atoms[at]] = found
+        return ids
+
+    def _encode(self, atoms: list[bytes]) -> list[bytes]:
+        """One text of the atoms, parted again by where the tokens begin: less per atom than a text for each."""
+        joined = b" ".join(atoms).decode()
+        found = self.tokenizer.encode(joined, add_special_tokens=False)
+        return _parted(found.ids, np.searchsorted([a for a, _ in found.offsets], np.cumsum([len(p) + 1 for p in joined.split(" ")])))
+
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
+        written = codecs.charmap_decode(b"\n".join(words), "strict", self.characters)[0].split("\n")
+        found = [[token.id for token in self.merges.tokenize(word)] for word in written]
+        return _parted(list(chain.from_iterable(found)), np.cumsum(list(map(len, found))))
+
+
+def _blocks(text: bytes) -> Iterator[bytes]:
+    """The text in runs of about BLOCK bytes, cut at white space only."""
+    start, any_space = 0, re.compile(_FORMS[_SPACE])
+    while len(text) - start > BLOCK:
+        space = any_space.search(text, start + BLOCK)
+        stop = space.end() if space else len(text)
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
+
+
+def _atoms(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of each atom its bytes, lower-cased where the tokenizer does no more than that, its kind and where it begins."""
+    kinds = np.frombuffer(bytearray(text.translate(_KINDS)), np.uint8)
+    if _SPECIAL in text:
+        kinds[[m.start() for m in re.finditer(re.escape(_SPECIAL), text)]] = _CASED
+    begins = kinds == _DIGIT
+    begins[1:] |= kinds[1:] != kinds[:-1]
+    begins[:1] = True
+    starts = np.flatnonzero(begins)
+    kind = kinds[starts]
+    written = text.lower()
+    odd = kind >= _ODD
+    if odd.any():
+        space = kind == _SPACE
+        chunk = np.cumsum(space)  # with the white space before it
+        worst = np.zeros(chunk[-1] + 1, np.uint8)
+        worst[chunk[odd]] = _ODD
+        worst[chunk[kind == _CASED]] = _CASED
+        worst = worst[chunk]
+        whole = (worst >= _ODD) & ~space
+        kind = np.where(whole, worst, kind)
+        kept = ~whole
+        kept[1:] |= space[:-1]
+        kept[:1] = True
+        starts, kind = starts[kept], kind[kept]
+        if _CASED in kind:
+            changed = bytearray(written)
+            for at in np.flatnonzero(kind == _CASED).tolist():
+                part = slice(int(starts[at]), int(starts[at + 1]))
+                changed[part] = text[part]
+            written = bytes(changed)
+    inside = kind != _SPACE
+    offsets = np.zeros(int(inside.sum()) + 1, np.int32)
+    np.cumsum(np.diff(starts, append=len(text))[inside], out=offsets[1:])
+    characters = written.translate(None, SPACE)
+    atoms = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(characters)])
+    return atoms, kind[inside], starts[inside]
+
+
+def _parted(ids: list[int], cuts: np.ndarray) -> list[bytes]:
+    whole, ends = np.array(ids, "<u4").tobytes(), (4 * cuts).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -213,7 +255,7 @@ def _pack(tokenizer: str, end_id: int, length: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer, out = _chunk_tokens(tokenizer), Packer(length, most), _Out(0, TaskContext.get().partitionId())
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BLOCK):
             for doc, ids in zip(batch.column(0).to_pylist(), tokens(byte_texts(batch)), strict=True):
                 ids += end
                 n = len(ids) // 4

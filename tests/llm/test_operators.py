@@ -569,3 +569,42 @@ def test_packing_looks_a_known_chunk_up_once():
     tokens.known = Counted(tokens.known)
     assert tokens([x.encode() for x in texts]) == want
     assert 0 < tokens.known.asked <= sum(len(x.encode().split()) for x in texts)
+
+
+def test_packing_looks_up_and_tokenises_distinct_atoms_only(monkeypatch):
+    """Words, signs and digits that come again, in whatever company, cost one look-up a batch and are tokenised once."""
+    asked = Counter()
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked[key] += 1
+            return super().get(key, default)
+
+    tokens = packing.ChunkTokens(packing.TOKENIZER)
+    tokens.known = Counted()
+    learned = []
+    for name in ("_encode", "_encode_letters"):
+        monkeypatch.setattr(tokens, name, lambda atoms, by=getattr(tokens, name): learned.extend(atoms) or by(atoms))
+    texts = ["Word " * 50 + "word, (word) word2 größe", "word22word\tGröße. (größe, 2)", "it's " * 9]
+    want = [np.array(tokens.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert tokens([x.encode() for x in texts]) == want
+    assert sorted(learned) == sorted(x.encode() for x in ("word", "größe", ",", "(", ")", "2", "it's", "."))
+    assert set(asked.values()) == {1}
+    assert tokens([x.encode() for x in texts]) == want
+    assert len(learned) == 8 and set(asked.values()) == {2}
+
+
+def test_packing_ids_of_odd_texts(monkeypatch):
+    """Ids equal to the tokenizer's on texts of odd bytes, marks, cases and special names; cut in blocks, and forgotten."""
+    rng = random.Random(7)
+    some = [*"abTWhIJ09 \t\n\x0b'\"!<|>-_.,\x00\x1c\x7f\x85\xa0\xdf\xc4\xe4\xf1\xd7\xf7\xff\u0100", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'T"]
+    some += "\u0301\u0308\u0344\u0341\u212a\u0130\u03a3\u4e2d\ud55c\u1100\u1161\U0001f600\u0663\xb2\u2003\ufeff\u01c4"
+    texts = ["", " ", "T\u0344 t\u0344 J\u0341", *("".join(rng.choices(some, k=rng.randint(1, 40))) for _ in range(1500))]
+    tokens = packing.ChunkTokens(packing.TOKENIZER)
+    want = [np.array(tokens.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert tokens([]) == [] and tokens([b""]) == [b""]
+    assert tokens([x.encode() for x in texts]) == want
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    assert tokens([x.encode() for x in texts]) == want
+    assert len(tokens.known) < 200
