@@ -140,9 +140,10 @@ def rated_live(spark: SparkSession, feedback: DataFrame, runs: DataFrame) -> Dat
     root = work_dir(spark)
     _files(typed(runs, RUNS), f"{root}/runs", 2)
     _files(typed(feedback, FEEDBACK), f"{root}/feedback", 2)
-    rated = live.rate_stream(_stream(spark, f"{root}/feedback", FEEDBACK), _stream(spark, f"{root}/runs", RUNS), f"{rules.HISTORY_DAYS} days")
-    _run(rated, root)
-    return spark.read.schema(rated.schema).parquet(f"{root}/out")
+    rating = live.Rating(spark, f"{root}/rating")
+    both = live.rate_stream(_stream(spark, f"{root}/feedback", FEEDBACK), _stream(spark, f"{root}/runs", RUNS))
+    run_batches(both, rating, root)
+    return rating.rated()
 
 
 def retained_table(spark: SparkSession, sf_dir: str, days: int = 7) -> DataFrame:

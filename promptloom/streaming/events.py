@@ -16,6 +16,12 @@ COMPLETED = (
     "completed_at timestamp, exit_code int"
 )
 WAITING = SHELL_EVENTS + ", settled_until bigint, newest bigint"
+ARRIVED = (
+    "kind string, run_id string, created_at timestamp, feedback_id string, rating string, "
+    "pattern_hash string, was_optimized boolean"
+)
+FIRST_SEEN = "pattern_hash string, first_seen_at timestamp"
+RATED = "feedback_id string, created_at timestamp, rating string, pattern_hash string"
 
 
 def _names(schema: str) -> list[str]:
@@ -150,23 +156,61 @@ class Mining:
             self.rollup.compact()
 
 
-def rate_stream(feedback: DataFrame, runs: DataFrame, delay: str, history_days: int = rules.HISTORY_DAYS) -> DataFrame:
-    """Feedback that reached a pattern, as it comes in: the streaming form of joining feedback to runs and patterns.
+def rate_stream(feedback: DataFrame, runs: DataFrame) -> DataFrame:
+    """Feedback and runs as one stream, for :class:`Rating`: the streaming form of joining feedback to runs and patterns.
+
+    No watermark: rows of any time, in any order, take part.
+    """
+    given = feedback.select(F.lit("feedback").alias("kind"), "run_id", "created_at", "feedback_id", "rating")
+    known = runs.select(F.lit("run").alias("kind"), "run_id", "created_at", "pattern_hash", "was_optimized")
+    return given.unionByName(known, allowMissingColumns=True)
+
+
+class Rating:
+    """Feedback that reached a pattern, as it comes in: a ``foreachBatch`` step over :func:`rate_stream`.
 
-    Feedback meets its run (within ``history_days`` before it, or ``delay`` after it), and then any optimized run of the
-    same shape that came no later than itself: that is what it takes for the pattern to exist, and the shape's hash
-    holds the type. Both joins are between intervals, so their state goes once the watermarks, ``delay`` behind the newest
-    times, have passed. Rows that come later than that take part no more; :class:`LateRows` keeps them.
+    Feedback meets the runs of its id, and then any optimized run of the same shape that came no later than itself: that
+    is what it takes for the pattern to exist, and the shape's hash holds the type. Each may arrive before the other by
+    any time, so nothing expires. Under ``root`` stand what arrived, the first time of each shape, the feedback that met
+    its run and waits for its pattern, and what came out. Each pair of feedback and run is found once, by the batch that
+    brings the later of the two; a shape's first time only moves back, so what came out stays right. A batch that runs
+    again finds what stood before it and replaces its own output. The joins are Spark jobs in the session's own
+    settings, so adaptive execution may split the feedback of a popular run or shape over tasks.
     """
-    past = f"INTERVAL {history_days} DAYS"
-    given = feedback.withWatermark("created_at", delay).alias("f")
-    known = runs.select("run_id", F.col("created_at").alias("run_at"), F.col("pattern_hash")).withWatermark("run_at", delay).alias("r")
-    near = f"f.run_id = r.run_id AND r.run_at >= f.created_at - {past} AND r.run_at <= f.created_at + INTERVAL {delay}"
-    rated = given.join(known, F.expr(near)).select("feedback_id", "f.created_at", "rating", "pattern_hash").alias("g")
-    shapes = runs.where("was_optimized").select(F.col("created_at").alias("seen_at"), "pattern_hash", "input_type").withWatermark("seen_at", delay).alias("s")
-    first = shapes.dropDuplicates(["seen_at", "pattern_hash"]).alias("s")
-    earlier = f"g.pattern_hash = s.pattern_hash AND s.seen_at <= g.created_at AND s.seen_at >= g.created_at - {past}"
-    return rated.join(first, F.expr(earlier), "left_semi")
+
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = 32):
+        self.spark, self.root, self.compact_every = spark, root.rstrip("/"), compact_every
+        self.shapes = Rollup(spark, f"{self.root}/shapes", FIRST_SEEN, self._merge)
+        self.waiting = Versions(spark, f"{self.root}/waiting", RATED)
+
+    @staticmethod
+    def _merge(partials: DataFrame) -> DataFrame:
+        return partials.groupBy("pattern_hash").agg(F.min("first_seen_at").alias("first_seen_at"))
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        typed(batch, ARRIVED).write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/arrived/batch={number}")
+        arrived = read_parts(self.spark, f"{self.root}/arrived", ARRIVED).where(F.col("batch") <= number)
+        given = arrived.where("kind = 'feedback' AND run_id IS NOT NULL AND created_at IS NOT NULL").select(
+            "run_id", "feedback_id", "created_at", "rating", "batch"
+        )
+        known = arrived.where("kind = 'run' AND pattern_hash IS NOT NULL")
+        seen = known.where((F.col("batch") == number) & F.col("was_optimized") & F.col("created_at").isNotNull())
+        self.shapes.add(self._merge(seen.withColumnRenamed("created_at", "first_seen_at")), number)
+        known = known.where("run_id IS NOT NULL").select("run_id", "pattern_hash", "batch")
+        new, old = F.col("batch") == number, F.col("batch") < number
+        met = given.where(new).join(known.drop("batch"), "run_id").unionByName(given.where(old).join(known.where(new).drop("batch"), "run_id"))
+        pairs = self.waiting.before(number).unionByName(met.select(*_names(RATED)))
+        reached = F.coalesce(F.col("first_seen_at") <= F.col("created_at"), F.lit(False))
+        pairs = pairs.join(self.shapes.read(), "pattern_hash", "left").select(*_names(RATED), reached.alias("reached")).persist()
+        pairs.where("reached").drop("reached").write.mode("overwrite").parquet(f"{self.root}/out/batch={number}")
+        self.waiting.write(pairs.where("NOT reached").drop("reached"), number)
+        pairs.unpersist()
+        if number % self.compact_every == self.compact_every - 1:
+            self.shapes.compact()
+
+    def rated(self) -> DataFrame:
+        """The feedback that reached a pattern so far."""
+        return read_parts(self.spark, f"{self.root}/out", RATED).drop("batch")
 
 
 class LateRows:

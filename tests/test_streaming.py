@@ -6,8 +6,8 @@ from promptloom.operators.events import complete_events, log_events
 from promptloom.operators.history import command_patterns
 from promptloom.plans import streams
 from promptloom.sources import derived
-from promptloom.sources.tables import DayTable
-from promptloom.streaming.events import Completion, LateRows, Retention
+from promptloom.sources.tables import FEEDBACK, RUNS, DayTable, typed
+from promptloom.streaming.events import Completion, LateRows, Rating, Retention, rate_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +113,59 @@ def test_micro_batches_of_many_files(spark, tmp_path, monkeypatch):
     logged = log_events(derived.shell_events(spark, str(tmp_path)).where("kind = 'start'")).select("event_id", "risk_level")
     got = streams.ingested(spark, str(tmp_path)).select("event_id", "risk_level")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, logged.collect()), key=repr)
+
+
+def given_frame(spark, rows):
+    """Feedback out of (id, day, run)."""
+    rows = spark.createDataFrame(rows, "feedback_id string, day double, run_id string")
+    at = F.timestamp_seconds(F.col("day") * 86_400)
+    return typed(rows.select("*", at.alias("created_at"), F.lit("good").alias("rating"), F.lit("").alias("notes")), FEEDBACK)
+
+
+def known_frame(spark, rows):
+    """Runs out of (id, day, shape, optimized)."""
+    rows = spark.createDataFrame(rows, "run_id string, day double, pattern_hash string, was_optimized boolean")
+    rows = rows.withColumn("created_at", F.timestamp_seconds(F.col("day") * 86_400))
+    others = [name for name in (f.split()[0] for f in RUNS.split(", ")) if name not in rows.columns]
+    return typed(rows.select("*", *[F.lit(None).alias(c) for c in others]), RUNS)
+
+
+def expected(given, known):
+    """Feedback with each run of its id, where an optimized run of the shape came no later."""
+    first = {}
+    for _, day, shape, optimized in known:
+        if optimized and day is not None and shape is not None:
+            first[shape] = min(day, first.get(shape, day))
+    return sorted(
+        (f, shape) for f, at, run in given for key, _, shape, _ in known
+        if run is not None and run == key and at is not None and shape in first and first[shape] <= at
+    )
+
+
+def test_feedback_of_any_time_is_rated_live(spark):
+    """Years between feedback, its run and the first run of the shape, in either order; times before 1970."""
+    known = [(f"r{i}", -2000.0 + 97 * i, f"s{i % 7}", i % 14 < 7) for i in range(60)]
+    given = [(f"f{i}", -1990.0 + 53 * i, f"r{i * 31 % 64}") for i in range(100)]
+    got = streams.rated_live(spark, given_frame(spark, given), known_frame(spark, known))
+    want = expected(given, known)
+    assert got.columns == ["feedback_id", "created_at", "rating", "pattern_hash"]
+    assert sorted((r.feedback_id, r.pattern_hash) for r in got.collect()) == want and 50 < len(want) < 94
+
+
+def test_rating_by_batches_in_any_order(spark, tmp_path):
+    """Repeated keys, missing values, batches of one kind or of nothing, batches that run again: as the batch form."""
+    rng = random.Random(7)
+    ids, days = [*(f"r{i}" for i in range(12)), None], [*(40.0 * i for i in range(20)), None]
+    shapes = ["s0", "s1", "s2", "s3", None]
+    known = [(rng.choice(ids), rng.choice(days), rng.choice(shapes), rng.choice([True, False, None])) for _ in range(30)]
+    known += [("r0", 0.0, "never", False), known[0]]
+    given = [(f"f{i % 50}", rng.choice(days), rng.choice(ids)) for i in range(60)] + [("late", 900.0, "r0")] * 2
+    parts = [(given[:20], known[:3]), (given[20:40], []), ([], []), ([], known[3:20]), (given[40:], known[20:])]
+    rating = Rating(spark, str(tmp_path), compact_every=2)
+    for number, (some, others) in enumerate(parts):
+        for _ in range(1 + (number in (1, 3))):
+            rating(rate_stream(given_frame(spark, some), known_frame(spark, others)), number)
+        got = sorted((r.feedback_id, r.pattern_hash) for r in rating.rated().collect())
+        come = parts[: number + 1]
+        assert got == expected([r for p in come for r in p[0]], [r for p in come for r in p[1]])
+    assert len(got) > 40 and ("late", "never") not in got
